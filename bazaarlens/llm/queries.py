@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, topk
+from . import exact_dedup, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": simhash.op1_simhash,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op10_exact_topk": topk.op10_exact_topk,
 }
