@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash, topk
+from . import exact_dedup, simhash, substring_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op5_substring_dedup": substring_dedup.ORACLE,
     "op10_exact_topk": topk.ORACLE,
 }
