@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash, substring_dedup, topk
+from . import exact_dedup, mixing, packing, simhash, substring_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_packing": packing.op7_packing,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
