@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, simhash, substring_dedup, topk
+from . import exact_dedup, language, mixing, packing, simhash, substring_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_language": language.op2_language,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_mixing": mixing.op6_mixing,
