@@ -6,20 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, mixing, packing, simhash, substring_dedup, topk
+from . import exact_dedup, language, line_dedup, mixing, packing, quality, simhash, substring_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_language": language.op2_language,
+    "op3_quality": quality.op3_quality,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_packing": packing.op7_packing,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
     "op10_exact_topk": topk.ORACLE,
 }
