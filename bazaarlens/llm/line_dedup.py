@@ -73,32 +73,30 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "d
     ranks = saved(_ranked(names, ["name"]))
     level = saved(numbered.join(ranks, "name", "left").select(*doc, "at", "line", "words", F.coalesce("rank", F.lit(0)).cast("long").alias("rank")))
     reach = saved(_reach(level.select(*doc, "line", "words"), min_words))
-    repeated = level.where("rank > 0").select(*doc, "at", "line", "rank").join(reach, [*doc, "line"])
-    now = saved(repeated)  # positions whose prefix of ``size`` lines occurs twice
+    # the least runs of enough words, by where they begin: those that a line begins and those that a line ends
+    begin = reach.where("ahead > 0").select(*doc, F.col("line").cast("long").alias("from"), F.col("ahead").alias("lines"))
+    end = reach.where("back > 0").select(*doc, (F.col("line") + 1 - F.col("back")).cast("long").alias("from"), F.col("back").alias("lines"))
+    runs = begin.unionAll(end).distinct()
+    now = level.where("rank > 0").select(*doc, F.col("line").cast("long").alias("line"), "rank")
+    now = saved(now)  # positions whose prefix of ``size`` lines occurs twice
     size, gone = 1, None
     while True:
-        # the intervals whose length lies in [size, 2 * size): two prefixes of this size name them
-        for length, shift in (("ahead", 0), ("back", 1)):
-            first = F.col("line") if not shift else F.col("line") + 1 - F.col(length)
-            runs = now.where((F.col(length) >= size) & (F.col(length) < 2 * size))
-            # where the run begins and where its last prefix of this size begins
-            runs = runs.select(*doc, first.cast("long").alias("from"), F.col(length).alias("lines"))
-            at = now.select(*doc, F.col("line").cast("long").alias("x"), "rank")
-            runs = runs.join(at.withColumnRenamed("x", "from").withColumnRenamed("rank", "r1"), [*doc, "from"])
-            runs = runs.withColumn("second", F.col("from") + F.col("lines") - size)
-            runs = runs.join(at.withColumnRenamed("x", "second").withColumnRenamed("rank", "r2"), [*doc, "second"])
-            place = F.struct("doc", "digest", "from")
-            least = runs.groupBy("lines", "r1", "r2").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-            later = runs.join(least, ["lines", "r1", "r2"]).where(place != F.col("least")).select(*doc, "from", "lines")
-            gone = later if gone is None else gone.unionAll(later)
-        if now.where((F.col("ahead") >= 2 * size) | (F.col("back") >= 2 * size)).isEmpty():
+        runs = saved(runs.where(F.col("lines") >= size).join(now.select(*doc, F.col("line").alias("from"), F.col("rank").alias("first")), [*doc, "from"]))
+        # the intervals of a length in [size, 2 * size): the ranks of two prefixes of this size name them
+        named = runs.where(F.col("lines") < 2 * size).withColumn("line", F.col("from") + F.col("lines") - size)
+        named = named.join(now.withColumnRenamed("rank", "last"), [*doc, "line"])
+        interval, place = ["lines", "first", "last"], F.struct(*doc, "from")
+        least = named.groupBy(*interval).agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+        later = saved(named.join(least, interval).where(place != F.col("least")).select(*doc, "from", "lines"))
+        gone = later if gone is None else gone.unionAll(later)
+        runs = runs.where(F.col("lines") >= 2 * size).drop("first")
+        if runs.isEmpty():
             break
         other = now.select(*doc, (F.col("line") - size).alias("line"), F.col("rank").alias("rank2"))
-        pairs = now.join(other, [*doc, "line"]).withColumnRenamed("rank", "rank1")
+        pairs = now.withColumnRenamed("rank", "rank1").join(other, [*doc, "line"])
         twice = pairs.groupBy("rank1", "rank2").agg(F.count("*").alias("n")).where("n > 1").select("rank1", "rank2")
         ranks = saved(_ranked(twice, ["rank1", "rank2"]))
-        gone = saved(gone)
-        now = saved(pairs.join(ranks, ["rank1", "rank2"]).select(*doc, "at", "line", "ahead", "back", "rank"))
+        now = saved(pairs.join(ranks, ["rank1", "rank2"]).select(*doc, "line", "rank"))
         size *= 2
     lines = gone.select(*doc, F.explode(F.sequence(F.col("from"), F.col("from") + F.col("lines") - 1)).alias("line")).distinct()
     return level.select(*doc, "at", F.col("line").cast("long").alias("line")).join(lines, [*doc, "line"], "left_semi").select(*doc, "at")
