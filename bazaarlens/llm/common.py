@@ -108,15 +108,15 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def chunked(docs: DataFrame, total: int, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, doc_id, text), dealt by chunk: a chunk is a set of documents picked by a hash of the id.
+def chunked(docs: DataFrame, total: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``docs`` (doc_id, text and what else there is) with their chunk, dealt by it: a chunk is a set of documents picked by a hash of the id.
 
     Used more than once in a plan, the one exchange below it is reused.
     """
     chunks = max(1, math.ceil(total / chunk_bytes))
     # salted, so that the chunk number is not the hash by which Spark deals rows to partitions
-    chunk = F.pmod(F.xxhash64(F.col(doc_id), F.lit(chunks)), F.lit(chunks)).cast("int")
-    return docs.select(chunk.alias("chunk"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("chunk")
+    chunk = F.pmod(F.xxhash64("doc_id", F.lit(chunks)), F.lit(chunks)).cast("int")
+    return docs.select(chunk.alias("chunk"), *docs.columns).repartition("chunk")
 
 
 def buckets_for(total: int) -> int:

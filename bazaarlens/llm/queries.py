@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, line_dedup, mixing, packing, quality, simhash, substring_dedup, topk
+from . import exact_dedup, language, line_dedup, maxent_lm, mixing, packing, quality, simhash, substring_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": mixing.op6_mixing,
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_maxent_lm": maxent_lm.op9_maxent_lm,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
