@@ -13,8 +13,8 @@ from __future__ import annotations
 import heapq
 import math
 import os
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +40,10 @@ STEP = 4 << 20
 #: The pattern by which the tokenizer file splits normalised text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+#: The characters that stand for bytes in the tokenizer's merges.  Printable ones stand for themselves.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
 TOKENS = "doc_id long, n_tokens long, full array<long>, tail binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -51,15 +55,18 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     @staticmethod
-    def split(word: str) -> list[str]:
-        """Parts that the tokenizer handles one by one; the whole word where normalisation may move their borders."""
+    def split(word: str) -> list[str] | None:
+        """Normalised parts, of which the tokenizer merges each by itself; None where that takes more than lower case."""
+        if word.isascii() and word.isalpha():
+            return [word.lower()]
         # up to U+012F letters are lower-cased one for one and nothing composes
-        return PIECES.findall(word.lower()) if word.isascii() or max(word) < "İ" and not any(unicodedata.combining(c) for c in word) else [word]
+        return PIECES.findall(word.lower()) if word.isascii() or max(word) < "İ" else None
 
     def encode(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian 16-bit numbers."""
@@ -68,14 +75,17 @@ class WordTokenizer:
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
         known, pieces = self.words, self.pieces
-        new = {w: self.split(w) for w in words if w not in known}
-        unseen = list({p: None for parts in new.values() for p in parts if p not in pieces})
-        for at in range(0, len(unseen), 20_000):
-            some = unseen[at : at + 20_000]
-            for piece, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                pieces[piece] = np.array(e.ids, "<u2").tobytes()
-        for w, parts in new.items():
-            known[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+        for w in words:
+            if w not in known:
+                parts = self.split(w)
+                if parts is None:
+                    known[w] = array("H", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
+                    continue
+                for piece in parts:
+                    if piece not in pieces:
+                        merged = self.model.tokenize(piece.encode().decode("latin-1").translate(BYTES))
+                        pieces[piece] = array("H", [t.id for t in merged]).tobytes()
+                known[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
         return [known[w] for w in words]
 
 
