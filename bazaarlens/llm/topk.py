@@ -94,6 +94,8 @@ def _search(pairs: pd.DataFrame, axes: np.ndarray, k: int, leading: int) -> pd.D
         ids = np.frombuffer(block.ids, np.int64)
         x = np.zeros((len(ids), width))
         x[:, : block.width] = np.frombuffer(block.data, np.float64).reshape(len(ids), -1)
+        if float(length.max(initial=0)) * block.top >= 2.0**63:
+            raise OverflowError("an inner product doesn't fit in 64 bits")
         exact = float(np.abs(x).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(width, 1) < EXACT_FLOAT
         slack = 1e-6 * (1 + length * block.top)  # for rounding in the rotated sums
         live = np.flatnonzero(length * block.top + slack >= floor_)
@@ -137,7 +139,7 @@ def exact_topk(rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", ve
 
     ``is_query`` is a condition on ``vec_id``; every row but the query's own is a candidate.  Fewer candidates than k give
     fewer rows; an empty table gives none.  Shorter vectors count as filled up with zeros.  Repeated rows are one each;
-    a repeated id is never its own candidate.
+    a repeated id is never its own candidate.  Vectors so long that a product may not fit in 64 bits raise an error.
     """
     rows_ = integer_vectors(rows, vec_id, vector)
     vectors = saved(rows_)
