@@ -509,7 +509,7 @@ def f15_momentum(spark, sf_dir):
     return rounded(out.select("market", "date", "standard", "moving_average", "exponential"))
 
 
-@query(P + "SELECT market, date, CASE WHEN conflict_intensity >= 0.5 THEN 1.0 ELSE 0.0 END AS above, round(price * CASE WHEN conflict_intensity >= 0.5 THEN 1 ELSE 0 END, 6) AS price_above, round(price * CASE WHEN conflict_intensity >= 0.5 THEN 0 ELSE 1 END, 6) AS price_below FROM panel")
+@query(P + "SELECT market, date, CAST(CASE WHEN conflict_intensity >= 0.5 THEN 1 ELSE 0 END AS DOUBLE) AS above, round(price * CASE WHEN conflict_intensity >= 0.5 THEN 1 ELSE 0 END, 6) AS price_above, round(price * CASE WHEN conflict_intensity >= 0.5 THEN 0 ELSE 1 END, 6) AS price_below FROM panel")
 def f16_heaviside(spark, sf_dir):
     return rounded(features.heaviside(market_panel(spark, sf_dir), "price", "conflict_intensity", 0.5).select("market", "date", "above", "price_above", "price_below"))
 

@@ -1,0 +1,5 @@
+"""Nothing of its own: there is no stream in what this library covers.
+
+The stateless operators of ``operators.project`` (filters, adjusted prices, interactions, time features, stars) work on
+streaming DataFrames as they are.  Lags, windows and models order whole series and are batch operators.
+"""
