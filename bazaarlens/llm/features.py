@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import U64, buffers, mix
 
 START, END = 2, 3
+#: Distinct words whose n-grams are laid out at once.
+SLICE = 1 << 15
 
 
 def grams(words: pa.Array, sizes: tuple[int, ...], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -54,6 +56,12 @@ def summed(found: list[tuple[np.ndarray, np.ndarray]], values: np.ndarray) -> np
     return total
 
 
+def gram_sums(words: pa.Array, sizes: tuple[int, ...], values: np.ndarray) -> np.ndarray:
+    """``summed`` over the n-grams of each word, some words at a time: what it holds doesn't grow with their number."""
+    parts = [summed(grams(words.slice(at, SLICE), sizes, len(values)), values) for at in range(0, len(words), SLICE)]
+    return np.concatenate(parts) if parts else np.zeros((0, *values.shape[1:]))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], step: int, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``step`` bytes of text, or one row."""
     for whole in batches:
@@ -63,6 +71,7 @@ def pieces(batches: Iterator[pa.RecordBatch], step: int, column: int = 1) -> Ite
             to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + step, "right")) - 1)
             yield whole.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
 
 def sample_ids(rows: DataFrame, label: str, each: int, seed: int = 5) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import encoded, split_words, table, training_rows, word_hashes
-from .features import grams, pieces, sample_ids, summed
+from .features import gram_sums, grams, pieces, sample_ids, summed
 
 UNKNOWN = "und"
 #: Training documents over all languages, and words in the span taken of each: the bounds of the sample.
@@ -29,7 +29,7 @@ SIZES, BUCKETS = (1, 2, 3, 4), 1 << 15
 SEQUENCES, LENGTH, EPOCHS, RATE = 1200, 48, 4, 0.2
 #: A word is in the lexicon of a language if it was seen so often and so purely there.
 SEEN, PURITY = 3, 0.9
-STEP = 8 << 20
+STEP = 3 << 20
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -62,7 +62,7 @@ class Field:
 
     def states(self, words: pa.Array) -> np.ndarray:
         """Scores of distinct words in each language."""
-        return summed(grams(words, SIZES, self.buckets), self.weights) + self.lexicon(word_hashes(words)) @ self.lexical
+        return gram_sums(words, SIZES, self.weights) + self.lexicon(word_hashes(words)) @ self.lexical
 
     def marginals(self, states: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Forward-backward over all sequences of a batch at once: step t is taken by those longer than t."""
@@ -72,20 +72,21 @@ class Field:
         longest = int(lengths.max(initial=0))
         active = np.searchsorted(-lengths, -np.arange(longest), "left")  # sequences longer than t
         local = np.exp(states - states.max(1, keepdims=True, initial=-np.inf)) if len(states) else states
-        move = np.exp(self.transition)
+        move = np.exp(self.transition).astype(local.dtype)
+        initial = np.exp(self.initial).astype(local.dtype)
         forward, backward = np.empty_like(local), np.ones_like(local)
         a = None
         for t in range(longest):
             at = first[: active[t]] + t
-            a = local[at] * (np.exp(self.initial) if t == 0 else a[: active[t]] @ move)
+            a = local[at] * (initial if t == 0 else a[: active[t]] @ move)
             a /= a.sum(1, keepdims=True)
             forward[at] = a
         for t in range(longest - 2, -1, -1):
             at = first[: active[t + 1]] + t  # those that have a word t + 1
             b = (local[at + 1] * backward[at + 1]) @ move.T
             backward[at] = b / b.sum(1, keepdims=True)
-        out = forward * backward
-        return out / out.sum(1, keepdims=True) if len(out) else out
+        forward *= backward
+        return forward / forward.sum(1, keepdims=True) if len(forward) else forward
 
 
 def _sequences(words: list[list[str]], labels: np.ndarray, count: int, rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
@@ -198,8 +199,8 @@ def _predict(model):
             lettered = np.array([bool(x and LETTER.search(x)) for x in batch.column(1).to_pylist()], bool)
             names, scores = [UNKNOWN] * n, np.zeros(n)
             if field.labels and len(code):
-                p = field.marginals(field.states(distinct)[code], offsets)
-                running = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
+                p = field.marginals(field.states(distinct).astype(np.float32)[code], offsets)
+                running = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0, dtype=np.float64)])
                 share = (running[offsets[1:]] - running[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)[:, None]
                 best = share.argmax(1)
                 scores = np.where(lettered, np.clip(share[np.arange(n), best], 0, 1), 0.0)

@@ -19,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import encoded, split_words, table
+from .features import pieces
 
 LENGTH = 2048
 END_ID = 1
@@ -32,8 +32,8 @@ END_ID = 1
 GROUP_DOCS = 4096
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n^2.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-#: Words and pieces of words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Words and pieces of words whose ids a task remembers.
+REMEMBERED = 250_000
 #: Bytes of text whose ids are laid out at once.
 STEP = 4 << 20
 
@@ -68,13 +68,17 @@ class WordTokenizer:
         # up to U+012F letters are lower-cased one for one and nothing composes
         return PIECES.findall(word.lower()) if word.isascii() or max(word) < "İ" else None
 
+    def forget(self) -> None:
+        """Give the memory back at the end of a task: the worker may be kept for others."""
+        self.words, self.pieces = {}, {}
+
     def encode(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian 16-bit numbers."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
-        known, pieces = self.words, self.pieces
+        known, parts_known = self.words, self.pieces
         for w in words:
             if w not in known:
                 parts = self.split(w)
@@ -82,10 +86,10 @@ class WordTokenizer:
                     known[w] = array("H", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
                     continue
                 for piece in parts:
-                    if piece not in pieces:
+                    if piece not in parts_known:
                         merged = self.model.tokenize(piece.encode().decode("latin-1").translate(BYTES))
-                        pieces[piece] = array("H", [t.id for t in merged]).tobytes()
-                known[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+                        parts_known[piece] = array("H", [t.id for t in merged]).tobytes()
+                known[w] = parts_known[parts[0]] if len(parts) == 1 else b"".join([parts_known[p] for p in parts])
         return [known[w] for w in words]
 
 
@@ -123,20 +127,15 @@ def checksum(ids: np.ndarray) -> int:
 
 def _tokenized(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
-            at = 0
-            while at < whole.num_rows:
-                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + STEP, "right")) - 1)
-                batch = whole.slice(at, to - at)
-                at = to
-                ids, bounds = document_ids(batch.column(1), path)
-                full, tails = [], []
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    cut = b - (b - a) % length
-                    full.append([checksum(ids[i : i + length]) for i in range(a, cut, length)])
-                    tails.append(ids[cut:b].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(full, pa.list_(pa.int64())), pa.array(tails, pa.binary())], names=["doc_id", "n_tokens", "full", "tail"])
+        for batch in pieces(batches, STEP):
+            ids, bounds = document_ids(batch.column(1), path)
+            full, tails = [], []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                cut = b - (b - a) % length
+                full.append([checksum(ids[i : i + length]) for i in range(a, cut, length)])
+                tails.append(ids[cut:b].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(full, pa.list_(pa.int64())), pa.array(tails, pa.binary())], names=["doc_id", "n_tokens", "full", "tail"])
+        tokenizer(path).forget()
 
     return run
 

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, encoded, mix2, split_words, table, training_rows, word_hashes
-from .features import grams, pieces, sample_ids, summed
+from .common import U64, buffers, encoded, mix2, split_words, table, training_rows, word_hashes
+from .features import gram_sums, grams, pieces, sample_ids
 
 #: Bound of the training sample: documents over both classes.
 TRAIN_DOCS = 3000
@@ -130,9 +130,9 @@ def _scored(model):
         values, bias = model.value
         for batch in pieces(batches, STEP):
             code, distinct, own, pair, inside, offsets = _parts(batch.column(1), len(values))
-            found = grams(distinct, SIZES, len(values))
-            score = (values[own] + summed(found, values))[code] if len(code) else np.zeros(0)
-            number = (1 + sum(np.diff(at) for _, at in found))[code] if len(code) else np.zeros(0)
+            lengths = np.diff(buffers(distinct)[1]) + 2
+            score = (values[own] + gram_sums(distinct, SIZES, values))[code]
+            number = (1 + sum(np.maximum(lengths - size + 1, 0) for size in SIZES))[code]
             pairs = np.append(np.where(inside, values[pair[: len(inside)]], 0.0), 0.0)[: len(code)]
             counted = np.append(inside, False)[: len(code)]
             total = [np.concatenate([[0.0], np.cumsum(x)]) for x in (score + pairs, number + counted)]
