@@ -57,6 +57,10 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        contents = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        if any(c.split() != [c] for c in contents):
+            raise ValueError("an added token with white space can't be found in words")
+        self.added = regex.compile("|".join(map(regex.escape, contents)) or r"(?!)")
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -81,7 +85,8 @@ class WordTokenizer:
         known, parts_known = self.words, self.pieces
         for w in words:
             if w not in known:
-                parts = self.split(w)
+                # added tokens are found in raw or in normalised text, before the model's merges
+                parts = None if self.added.search(w) or self.added.search(w.lower()) else self.split(w)
                 if parts is None:
                     known[w] = array("H", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
                     continue

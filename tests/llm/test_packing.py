@@ -24,6 +24,16 @@ def test_ids_equal_whole_text_encoding():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == [*model.encode(t or "", add_special_tokens=False).ids, 1], t
 
 
+def test_added_tokens_inside_and_beside_words():
+    model = Tokenizer.from_file(PATH)
+    tokens = [t.content for t in model.get_added_tokens_decoder().values()]
+    texts = [f for t in tokens for f in (t, f"a {t} b", f"a{t}b", f"{t}{t}", f"don't{t}\n12{t}é!", f"İ{t}x", t.upper(), f"a{t.title()}b", t[:-1], f"<{t}>")]
+    ids, bounds = packing.document_ids(pa.array(texts), PATH)
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == [*model.encode(t, add_special_tokens=False).ids, 1], t
+    assert len(tokens) == 2 and 49407 in ids.tolist()
+
+
 @pytest.mark.parametrize("group", [4, 4096])
 def test_every_id_is_packed_once(spark, group):
     rng = np.random.default_rng(7)
