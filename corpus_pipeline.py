@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import language, line_dedup, mixing, packing, simhash
+from bazaarlens.llm import jaccard, language, line_dedup, mixing, packing
 from bazaarlens.llm.common import shared_folder, table
 
 
@@ -30,10 +30,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows of one id are one document."""
-    groups = simhash.near_duplicates(docs)
-    least = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(least, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Of each group of linked documents (five-word shingles, Jaccard 0.8) the row with the smallest id, then text hash, stays.
+
+    Of the rows of one id that stay, one is kept.
+    """
+    roots = jaccard.links(docs).toDF("near_node", "near_root")
+    rows = jaccard.named(docs, node="near_node").join(roots, "near_node", "left").withColumn("near_root", F.coalesce("near_root", "near_node"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.length("text"), F.xxhash64(*docs.columns)]
+    first = F.row_number().over(Window.partitionBy("near_root").orderBy(*order))
+    kept = rows.withColumn("near_row", first).where("near_row = 1").select(docs.columns)
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text")))
     return kept.withColumn("row_of_id", first).where("row_of_id = 1").select(docs.columns)
 
