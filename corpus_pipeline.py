@@ -32,15 +32,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents (five-word shingles, Jaccard 0.8) the row with the smallest id, then text hash, stays.
 
-    Of the rows of one id that stay, one is kept.
+    Documents are rows: an id that is repeated or null (the last) links nothing.
     """
     roots = jaccard.links(docs).toDF("near_node", "near_root")
     rows = jaccard.named(docs, node="near_node").join(roots, "near_node", "left").withColumn("near_root", F.coalesce("near_root", "near_node"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.length("text"), F.xxhash64(*docs.columns)]
     first = F.row_number().over(Window.partitionBy("near_root").orderBy(*order))
-    kept = rows.withColumn("near_row", first).where("near_row = 1").select(docs.columns)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text")))
-    return kept.withColumn("row_of_id", first).where("row_of_id = 1").select(docs.columns)
+    return rows.withColumn("near_row", first).where("near_row = 1").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

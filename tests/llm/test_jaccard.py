@@ -55,6 +55,15 @@ def test_stage_links_jaccard(spark):
     assert 12 < len(groups) < len(texts) - 24
 
 
+def test_rows_of_one_id_are_documents(spark):
+    """Distinct texts under a repeated or null id all stay; of linked rows the least id, then text hash."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (1, b), (1, a), (None, c), (None, d), (None, a), (7, b + " more"), (9, c), (9, None), (None, "x")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, a), (1, b), (None, d), (9, c), (9, None), (None, "x")], key=str)
+
+
 def test_nodes_of_a_bucket_come_in_several_batches():
     rows = [(1, 4), (1, 6), (2, 3), (2, 5), (2, 8), (2, 9), (3, 1), (4, 2), (4, 7)]
     want = [(1, 4, 6), (2, 3, 5), (2, 3, 8), (2, 3, 9), (4, 2, 7)]
