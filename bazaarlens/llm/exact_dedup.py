@@ -109,12 +109,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot
     merged = saved(dealt.mapInArrow(_merge, MERGED))
     winners = merged.where(F.col("body").isNotNull()).select("sha", "salt_keep", "body")
     winners = winners.repartition("sha").sortWithinPartitions("sha", F.desc("salt_keep")).mapInArrow(_combine, "sha binary, salt_keep long, keep_id long")
-    moved = saved(winners.where("keep_id != salt_keep").select("salt_keep", "keep_id").distinct())
-    named = merged.select("doc_id", "sha", "salt_keep", "lead").join(moved, "salt_keep", "left")
+    moved = saved(winners.where("keep_id != salt_keep").select("sha", "salt_keep", "keep_id").distinct())
+    named = merged.select("doc_id", "sha", "salt_keep", "lead").join(moved, ["sha", "salt_keep"], "left")
     named = saved(named.select("doc_id", "sha", F.coalesce("keep_id", "salt_keep").alias("keep_id"), "lead"))
-    sizes = saved(named.groupBy("keep_id").agg(F.count("*").alias("group_size")).where("group_size > 1"))
+    sizes = saved(named.groupBy("sha", "keep_id").agg(F.count("*").alias("group_size")).where("group_size > 1"))
     null = lambda c: F.when(F.col(c) != -(2**63), F.col(c)).alias(c)
-    return named.join(sizes, "keep_id", "left").select(
+    return named.join(sizes, ["sha", "keep_id"], "left").select(
         null("doc_id"), null("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("lead") & (F.col("doc_id") == F.col("keep_id"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 

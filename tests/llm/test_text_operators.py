@@ -55,6 +55,16 @@ def test_exact_dedup(spark, hot):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_exact_dedup_of_repeated_and_null_ids(spark, hot):
+    rows = [(None, "a"), (None, "a"), (None, "b"), (7, "c"), (7, "d"), (3, "d"), (9, "e")] + [(i, "hot") for i in range(100, 140)] + [(i, f"alone {i}") for i in range(100, 140)]
+    options = {"hot_share": 10_000, "hot_rows": 3, "salts": 4} if hot else {}
+    got = exact_dedup.exact_dedup(docs(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(5), **options).collect()
+    sizes = Counter(hashlib.sha256(t.encode()).hexdigest() for _, t in rows)
+    assert len(got) == len(rows) and all(r.group_size == sizes[r.text_sha256] for r in got)
+    assert Counter(r.text_sha256 for r in got if r.kept) == Counter(list(sizes))
+
+
 # substring dedup
 
 
