@@ -172,8 +172,8 @@ def phillips_perron(data: DataFrame, keys: Sequence[str], order: Sequence[str],
     fits = grouped_ols(rows, keys, "x", xs, const=trend != "n")
     e = F.col("x") - F.coalesce(F.element_at("coef", "const"), F.lit(0.0)) - F.element_at("coef", "z") * F.col("z") - (F.element_at("coef", "t") * F.col("t") if trend == "ct" else 0.0)
     residuals = rows.join(fits.where("status = 'ok'").select(*keys, "coef"), list(keys)).withColumn("e", e)
-    most = max_lags if max_lags is not None else 30
-    lags = F.least(F.ceil(12 * F.pow((F.col("n") - 1) / 100.0, 0.25)), F.lit(most)).cast("int") if max_lags is None else F.lit(max_lags)
+    lags = F.ceil(12 * F.pow((F.col("n") - 1) / 100.0, 0.25)).cast("int") if max_lags is None else F.lit(max_lags)
+    most = max_lags if max_lags is not None else rows.agg(F.max(lags)).first()[0] or 0
     variance = _variance(residuals, keys, order, "e", lags, most)
     counts = rows.groupBy(*keys).agg(F.max("n").alias("n_series"), F.max(lags).alias("n_lags"))
     found = fits.select(*keys, "n_obs", "sigma2", F.element_at("coef", "z").alias("b"), F.element_at("se", "z").alias("se")).join(variance, list(keys)).join(counts, list(keys))

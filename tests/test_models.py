@@ -396,3 +396,21 @@ def test_bootstrap_statistic(spark):
     r = describe.bootstrap(rows, "price", "mean", 200, keys=["market"]).first()
     own = describe.bootstrap(rows, "price", lambda x: x.mean(), 50, keys=["market"]).first()
     assert r.lower < 24.5 < r.upper and r.statistic == own.statistic == 24.5
+
+
+def test_phillips_perron_window_of_long_series(spark):
+    """32 lags for 5,000 observations: no bound on the Bartlett window."""
+    v = np.cumsum(np.random.default_rng(12).normal(size=5000))
+    data = spark.range(5000).selectExpr("'a' AS market", "date_add(date'2000-01-01', cast(id AS int)) AS date", "cast(id AS int) AS i").join(spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, price double"), "i")
+    got = unitroot.phillips_perron(data, ["market"], ["date"]).first()
+    z, x = v[:-1], v[1:]
+    X = np.column_stack([np.ones(len(z)), z])
+    b = np.linalg.lstsq(X, x, rcond=None)[0]
+    e = x - X @ b
+    n, lags = len(e), int(np.ceil(12 * (4999 / 100) ** 0.25))
+    s2 = e @ e / (n - 2)
+    se = np.sqrt(s2 * np.linalg.inv(X.T @ X)[1, 1])
+    g0 = e @ e / n
+    lrv = g0 + 2 * sum((1 - k / (lags + 1)) * (e[k:] @ e[:-k]) for k in range(1, lags + 1)) / n
+    want = np.sqrt(g0 / lrv) * (b[1] - 1) / se - 0.5 * (lrv - g0) / np.sqrt(lrv) * n * se / np.sqrt(s2)
+    assert lags > 30 and got.n_lags == lags and np.isclose(got.statistic, want, rtol=1e-6)
