@@ -8,7 +8,6 @@ that two tasks that never meet give one word the same name.
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +15,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaarlens.plans.lineage import saved, shared_folder  # noqa: F401
+
 #: Raw text bytes that one chunk of documents holds on average: a unit of work that fits in a Python worker many times.
 CHUNK_BYTES = 2 << 20
 #: Raw text bytes behind one bucket of a shuffled census.
 BUCKET_BYTES = 32 << 20
 
+#: Raw text bytes behind one partition of a shuffle.
+PARTITION_BYTES = 16 << 20
+
 U64 = np.uint64
 
 
@@ -28,23 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir, which all executors share.
-
-    Where the setting is absent (tests on one machine), a fresh temporary folder serves.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def training_rows(divisor: int, held: int, doc_id: str = "doc_id"):
     """Whether a document is held out: crc32 of its id as text leaves the remainder ``held``."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % divisor == held, F.lit(False))
@@ -122,7 +109,12 @@ def chunked(docs: DataFrame, total: int, chunk_bytes: int = CHUNK_BYTES) -> Data
     chunks = max(1, math.ceil(total / chunk_bytes))
     # salted, so that the chunk number is not the hash by which Spark deals rows to partitions
     chunk = F.pmod(F.xxhash64("doc_id", F.lit(chunks)), F.lit(chunks)).cast("int")
-    return docs.select(chunk.alias("chunk"), *docs.columns).repartition("chunk")
+    return docs.select(chunk.alias("chunk"), *docs.columns).repartition(partitions_for(docs.sparkSession, total), "chunk")
+
+
+def partitions_for(spark: SparkSession, total: int) -> int:
+    """Shuffle partitions for work that grows with ``total`` bytes of text: the session's number, or more for large inputs."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PARTITION_BYTES))
 
 
 def buckets_for(total: int) -> int:

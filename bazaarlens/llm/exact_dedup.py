@@ -2,7 +2,7 @@
 
 1. Locally: within each Arrow batch of the scan, equal texts meet in a content dictionary; only the one with the largest
    id carries its text on, the others carry that id instead.
-2. Salted merge: rows are dealt by (SHA-256, salt) and stream past in order; a text is compared in full with the texts
+2. Salted merge: rows are dealt by (SHA-256, salt), a hot digest having as many salts as its rows need, and stream past in order; a text is compared in full with the texts
    of the same digest, so a collision of digests can't join different texts.  Only hot digests have more than one salt.
 3. Globally: the salt winners of hot digests are dealt by digest alone and compared in full again.
 
@@ -12,6 +12,7 @@ No stage holds a group: each keeps the texts that share the digest now passing,
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ from .common import saved, table
 HOT_SHARE = 10_000
 #: and at least this many rows.
 HOT_ROWS = 64
-SALTS = 32
+#: Rows of a hot digest that one salt has on average, and the salts of all hot digests at most (apart from one each).
+SALT_ROWS, MOST_SALTS = 1 << 14, 100_000
 
 LOCAL = "doc_id long, sha binary, local_keep long, body string"
 MERGED = "doc_id long, sha binary, salt_keep long, lead boolean, body string"
@@ -90,7 +92,7 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keeps, pa.int64())], names=["sha", "salt_keep", "keep_id"])
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_share: int = HOT_SHARE, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_share: int = HOT_SHARE, hot_rows: int = HOT_ROWS, salt_rows: int = SALT_ROWS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are; a null text is an empty one.  The row with the largest id of a group stays.
@@ -102,19 +104,25 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot
     digests = digests.where(F.col("count") > hot_rows)
     total = docs.count()
     # at most hot_share digests can have more than total / hot_share rows each: the broadcast has a fixed bound
-    hot = digests.where(F.col("count") * hot_share > total).select("sha", F.lit(True).alias("hot"))
+    each = max(salt_rows, math.ceil(total / MOST_SALTS))
+    hot = digests.where(F.col("count") * hot_share > total).select("sha", F.ceil(F.col("count") / each).cast("int").alias("salts"))
     local = rows.mapInArrow(_local, LOCAL).join(F.broadcast(hot), "sha", "left")
-    salted = local.select("sha", F.when(F.col("hot"), F.pmod(F.xxhash64("local_keep"), F.lit(salts))).otherwise(F.lit(0)).cast("int").alias("salt"), "local_keep", "body", F.coalesce("hot", F.lit(False)).alias("hot"), "doc_id")
+    salted = local.select("sha", F.coalesce(F.pmod(F.xxhash64("local_keep"), "salts"), F.lit(0)).cast("int").alias("salt"), "local_keep", "body", F.col("salts").isNotNull().alias("hot"), "doc_id")
     dealt = salted.repartition("sha", "salt").sortWithinPartitions("sha", "salt", F.desc("local_keep"), F.col("body").isNull())
     merged = saved(dealt.mapInArrow(_merge, MERGED))
     winners = merged.where(F.col("body").isNotNull()).select("sha", "salt_keep", "body")
     winners = winners.repartition("sha").sortWithinPartitions("sha", F.desc("salt_keep")).mapInArrow(_combine, "sha binary, salt_keep long, keep_id long")
     moved = saved(winners.where("keep_id != salt_keep").select("sha", "salt_keep", "keep_id").distinct())
-    named = merged.select("doc_id", "sha", "salt_keep", "lead").join(moved, ["sha", "salt_keep"], "left")
+    # one row per salt of a hot digest (and per text, where digests collide): a fixed bound
+    named = merged.select("doc_id", "sha", "salt_keep", "lead").join(F.broadcast(moved), ["sha", "salt_keep"], "left")
     named = saved(named.select("doc_id", "sha", F.coalesce("keep_id", "salt_keep").alias("keep_id"), "lead"))
-    sizes = saved(named.groupBy("sha", "keep_id").agg(F.count("*").alias("group_size")).where("group_size > 1"))
+    key = ["sha", "keep_id"]
+    sizes = saved(named.groupBy(*key).agg(F.count("*").alias("group_size")).where("group_size > 1"))
+    # the sizes of large groups, at most hot_share of them, are broadcast: their rows don't meet in a task
+    large = named.join(F.broadcast(sizes.where(F.col("group_size") * hot_share > total)), key, "left")
+    others = large.where("group_size is null").drop("group_size").join(sizes.where(F.col("group_size") * hot_share <= total), key, "left")
     null = lambda c: F.when(F.col(c) != -(2**63), F.col(c)).alias(c)
-    return named.join(sizes, ["sha", "keep_id"], "left").select(
+    return large.where("group_size is not null").unionByName(others).select(
         null("doc_id"), null("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("lead") & (F.col("doc_id") == F.col("keep_id"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 

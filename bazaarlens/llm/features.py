@@ -74,13 +74,56 @@ def pieces(batches: Iterator[pa.RecordBatch], step: int, column: int = 1) -> Ite
     pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
 
-def sample_ids(rows: DataFrame, label: str, each: int, seed: int = 5) -> DataFrame:
-    """(doc_id, label): for each label the rows with the least keyed hashes, at most ``each`` of them.
+def sample(rows: DataFrame, label: str, each: int, text: str = "text", seed: int = 5) -> DataFrame:
+    """(key, label, text): for each label the distinct texts with the least keyed hashes, at most ``each`` of them.
 
-    A first cut by the hash leaves about four times as many rows as wanted, so that no label's rows all meet in one task.
+    Rows alike in label and text count once.  The cut by hash that each label needs is found first and applied in the scan, so
+    that about four times the wanted rows are ordered within their label, and a label with most rows sends no more than others.
     """
-    key = F.xxhash64("doc_id", F.lit(seed))
-    counts = rows.groupBy(F.col(label).alias("of")).agg(F.least(F.lit(1.0), F.lit(4.0 * each) / F.count("*")).alias("share"))
-    cut = rows.select("doc_id", label).join(counts, F.col(label) == F.col("of")).where(F.pmod(key, F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
-    return cut.select("doc_id", label).withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).drop("n")
+    keyed = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(text, F.lit(seed)).alias("key"), label, text)
+    # one row per label, and a label has a model of its own to hold in memory: a fixed bound
+    counts = keyed.select("key", label).distinct().groupBy(label).count().limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in {label}")
+    spark = rows.sparkSession
+    shares = spark.createDataFrame([(r[0], min(1.0, 4.0 * each / r[1])) for r in counts], rows.select(F.col(label).alias("of"), F.lit(0.0).alias("share")).schema)
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
+    cut = keyed.join(F.broadcast(shares), F.col(label) == F.col("of")).where(place < F.col("share") * (1 << 30))
+    order = Window.partitionBy(label).orderBy(F.xxhash64("key", F.lit(seed + 1)), "key")
+    chosen = cut.select("key", label).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).drop("n")
+    # at most ``each`` keys of at most MOST_LABELS labels
+    return keyed.join(F.broadcast(chosen), ["key", label]).dropDuplicates(["key", label])
+
+
+#: Labels of which a sample can be drawn at most.
+MOST_LABELS = 1000
+#: Shards in which a sample is learned from.
+SHARDS = 8
+
+
+def averaged(sample_: DataFrame, learn, model: list[np.ndarray], rounds: int) -> list[np.ndarray]:
+    """Stochastic gradient descent with parameter mixing.
+
+    In each round every shard of ``sample_`` starts from the same arrays and learns from its rows; the arrays are averaged,
+    weighted by what was learned from.  ``learn(batches, arrays, turn)`` changes the arrays and returns that weight.  Only
+    arrays of the model's fixed size reach the driver.
+    """
+    context = sample_.sparkSession.sparkContext
+    for turn in range(rounds):
+        shared = context.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            arrays = [x.copy() for x in shared.value]
+            n = float(learn(batches, arrays, turn))
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([[x.tobytes() for x in arrays]], pa.list_(pa.binary()))], names=["n", "arrays"])
+
+        total, sums = 0.0, [np.zeros(x.shape) for x in model]
+        for r in sample_.mapInArrow(run, "n double, arrays array<binary>").toLocalIterator():
+            total += r["n"]
+            for s, x in zip(sums, r["arrays"], strict=True):
+                s += r["n"] * np.frombuffer(bytes(x), np.float64).reshape(s.shape)
+        shared.unpersist()
+        if total:
+            model = [s / total for s in sums]
+    return model

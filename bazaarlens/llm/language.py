@@ -4,8 +4,9 @@ A word's state scores come from its affixes, its byte n-grams and a lexicon lear
 transition scores tie neighbouring words.  Forward-backward gives every word a distribution over languages, so that
 code-switched texts are labelled word by word; a document's language is the one with most of the expected words.
 
-The field is fitted on a bounded sample of labelled documents: spans of them are strung together, several languages to a
-sequence, and the exact gradient (expected minus observed features) is followed by Adagrad.  Scoring runs in the scan.
+The field is fitted on a bounded sample of labelled documents, of which every word is learned from: spans of different
+documents are strung together, several languages to a sequence, and the exact gradient (expected minus observed features)
+is followed by Adagrad.  Shards of the sample learn in tasks and their fields are averaged.  Scoring runs in the scan.
 """
 
 from __future__ import annotations
@@ -18,18 +19,19 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoded, split_words, table, training_rows, word_hashes
-from .features import gram_sums, grams, pieces, sample_ids, summed
+from .common import U64, encoded, saved, split_words, table, training_rows, word_hashes
+from .features import MOST_LABELS, SHARDS, averaged, gram_sums, grams, pieces, sample, summed
 
 UNKNOWN = "und"
-#: Training documents over all languages, and words in the span taken of each: the bounds of the sample.
-TRAIN_DOCS, SPAN = 2400, 64
+#: Training documents over all languages: the bound of the sample.
+TRAIN_DOCS = 2400
 SIZES, BUCKETS = (1, 2, 3, 4), 1 << 15
-#: Made-up sequences, their length, passes over them, learning rate.
-SEQUENCES, LENGTH, EPOCHS, RATE = 1200, 48, 4, 0.2
-#: A word is in the lexicon of a language if it was seen so often and so purely there.
-SEEN, PURITY = 3, 0.9
-STEP = 3 << 20
+#: Words in a sequence, sequences in a gradient step, passes over the sample, learning rate.
+LENGTH, BATCH, EPOCHS, RATE = 48, 32, 2, 0.2
+#: A word is in the lexicon of a language if it was seen so often and so purely there; the lexicon has the most frequent ones.
+SEEN, PURITY, LEXICON = 3, 0.9, 1 << 17
+#: Bytes of text that are scored at once, and that sequences are made of at once.
+STEP, LEARNED = 3 << 20, 1 << 19
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -45,14 +47,6 @@ class Field:
         self.initial = np.zeros(n)
         self.known, self.of = np.zeros(0, np.uint64), np.zeros((0, n))
 
-    def learn_lexicon(self, words: np.ndarray, labels: np.ndarray) -> None:
-        known, at = np.unique(words, return_inverse=True)
-        count = np.zeros((len(known), len(self.labels)))
-        np.add.at(count, (at, labels), 1)
-        total = count.sum(1)
-        kept = (total >= SEEN) & (count.max(1, initial=0) >= PURITY * total)
-        self.known, self.of = known[kept], (count[kept] >= PURITY * total[kept, None]).astype(float)
-
     def lexicon(self, hashes: np.ndarray) -> np.ndarray:
         """(words, languages): 1 where the word is in the language's lexicon."""
         if not len(self.known):
@@ -89,70 +83,101 @@ class Field:
         return forward / forward.sum(1, keepdims=True) if len(forward) else forward
 
 
-def _sequences(words: list[list[str]], labels: np.ndarray, count: int, rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
-    """``count`` sequences of LENGTH words, each of one to four spans of documents of any language."""
-    of = [np.flatnonzero(labels == i) for i in range(int(labels.max(initial=-1)) + 1)]
-    text, truth = [], []
-    for _ in range(count):
-        parts = int(rng.integers(1, 5))
-        cuts = np.diff([0, *np.sort(rng.choice(np.arange(1, LENGTH), parts - 1, replace=False)).tolist(), LENGTH])
-        for need in cuts.tolist():
-            label = int(rng.integers(len(of)))
-            while need:
-                doc = words[rng.choice(of[label])]
-                at = int(rng.integers(len(doc)))
-                got = doc[at : at + need]
-                text += got
-                truth += [label] * len(got)
-                need -= len(got)
-    return text, np.array(truth)
-
-
-def fit(words: list[list[str]], labels: list[str], seed: int = 3) -> Field:
-    """Fit a field on word lists with their languages."""
-    names = sorted(set(labels))
-    field = Field(names)
-    truth = np.array([names.index(x) for x in labels], np.int64)
-    if not names:
-        return field
-    rng = np.random.default_rng(seed)
-    flat = pa.array([w for doc in words for w in doc], pa.large_string())
-    field.learn_lexicon(word_hashes(flat), np.repeat(truth, [len(doc) for doc in words]))
-    text, truth = _sequences(words, truth, SEQUENCES, rng)
-    code, distinct = encoded(pa.array(text, pa.large_string()))
-    found, lexicon = grams(distinct, SIZES, field.buckets), field.lexicon(word_hashes(distinct))
-    n = len(names)
-    size, batch = 1e-8 + np.zeros((field.buckets, n)), 32
-    sizes = {k: np.full(getattr(field, k).shape, 1e-8) for k in ("lexical", "transition", "initial")}
-    for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(SEQUENCES), SEQUENCES // batch):
-            at = (part[:, None] * LENGTH + np.arange(LENGTH)).ravel()
-            used, here = np.unique(code[at], return_inverse=True)
-            index = [np.concatenate([i[o[w] : o[w + 1]] for w in used]) for i, o in found]
-            counts = [o[used + 1] - o[used] for _, o in found]
-            own = [(i, np.concatenate([[0], np.cumsum(c)])) for i, c in zip(index, counts, strict=True)]
-            states = (summed(own, field.weights) + lexicon[used] @ field.lexical)[here]
-            p = field.marginals(states, np.arange(0, len(at) + 1, LENGTH))
-            want = np.zeros_like(p)
-            want[np.arange(len(at)), truth[at]] = 1
-            error = p - want
-            by_word = np.zeros((len(used), n))
-            np.add.at(by_word, here, error)
-            rows, grad = np.concatenate(index), np.concatenate([np.repeat(by_word, c, axis=0) for c in counts])
-            touched, where = np.unique(rows, return_inverse=True)
-            step = np.zeros((len(touched), n))
-            np.add.at(step, where, grad)
-            size[touched] += step**2
-            field.weights[touched] -= RATE * step / np.sqrt(size[touched])
-            # pairs of neighbours: expected under the field minus seen
-            grid, wants = p.reshape(-1, LENGTH, n), want.reshape(-1, LENGTH, n)
-            local, move = np.exp(states - states.max(1, keepdims=True)).reshape(-1, LENGTH, n), np.exp(field.transition)
-            pair = _pairs(local, move, np.exp(field.initial))
-            grads = {"lexical": lexicon[used].T @ by_word, "transition": pair - np.einsum("stk,stl->kl", wants[:, :-1], wants[:, 1:]), "initial": (grid[:, 0] - wants[:, 0]).sum(0)}
-            for k, g in grads.items():
-                sizes[k] += g**2
-                getattr(field, k)[...] -= RATE * g / np.sqrt(sizes[k])
-    return field
+def lower_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of each text in lower case (of all alphabets): learned from and scored alike."""
+    return split_words(pa.array([x.lower() if x else None for x in text.to_pylist()], pa.large_string()))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, label, n) of each piece of (text, label)."""
+    for batch in pieces(batches, LEARNED, 0):
+        flat, offsets = lower_words(batch.column(0))
+        code, distinct = encoded(flat)
+        label = np.repeat(batch.column(1).to_numpy(), np.diff(offsets))
+        key, n = np.unique(label.astype(np.int64) * len(distinct) + code, return_counts=True)
+        words = word_hashes(distinct).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(words[key % max(len(distinct), 1)]), pa.array((key // max(len(distinct), 1)).astype(np.int32)), pa.array(n)], names=["word", "label", "n"])
+
+
+def learn_lexicon(rows: DataFrame, field: Field) -> None:
+    """The words of ``rows`` (text, label) that nearly always are of one language."""
+    counts = rows.mapInArrow(_counted, "word long, label int, n long").groupBy("word", "label").agg(F.sum("n").alias("n"))
+    words = counts.groupBy("word").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("most"))
+    kept = words.where((F.col("total") >= SEEN) & (F.col("most.n") >= PURITY * F.col("total")))
+    found = kept.orderBy(F.desc("total"), "word").limit(LEXICON).select("word", "most.label").toPandas()
+    known = found["word"].to_numpy(np.int64).view(U64)
+    order = np.argsort(known)
+    field.known, field.of = known[order], np.eye(len(field.labels))[found["label"].to_numpy(np.int64)[order]]
+
+
+def sequences(offsets: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """All words, each once, in sequences of LENGTH: documents are cut into spans, and the spans are shuffled.
+
+    What the last sequence lacks is taken from the beginning.
+    """
+    spans = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        while a < b:
+            to = min(b, a + int(rng.integers(LENGTH // 4, LENGTH + 1)))
+            spans.append(np.arange(a, to))
+            a = to
+    if not spans:
+        return np.zeros((0, LENGTH), np.int64)
+    order = np.concatenate([spans[i] for i in rng.permutation(len(spans))])
+    return np.resize(order, (-(-len(order) // LENGTH), LENGTH))
+
+
+def _learn(labels: list[str], known: np.ndarray, of: np.ndarray, buckets: int):
+    """Adagrad over the words of some rows (text, label): the arrays are the field's parameters."""
+
+    def run(batches: Iterator[pa.RecordBatch], arrays: list[np.ndarray], turn: int) -> int:
+        field = Field(labels, buckets)
+        field.known, field.of = known, of
+        field.weights, field.lexical, field.transition, field.initial = arrays
+        sizes = [np.full(x.shape, 1e-8) for x in arrays]
+        rng, n = np.random.default_rng(3 + turn), 0
+        for batch in pieces(batches, LEARNED, 0):
+            flat, offsets = lower_words(batch.column(0))
+            truth = np.repeat(batch.column(1).to_numpy(), np.diff(offsets))
+            rows = sequences(offsets, rng)
+            n += len(flat)
+            if not len(rows):
+                continue
+            code, distinct = encoded(flat)
+            found, lexicon = grams(distinct, SIZES, buckets), field.lexicon(word_hashes(distinct))
+            for part in range(0, len(rows), BATCH):
+                at = rows[part : part + BATCH].ravel()
+                _step(field, sizes, code[at], truth[at], found, lexicon)
+        return n
+
+    return run
+
+
+def _step(field: Field, sizes: list[np.ndarray], code: np.ndarray, truth: np.ndarray, found: list, lexicon: np.ndarray) -> None:
+    """One step on sequences of LENGTH words: expected features under the field minus those seen."""
+    n = len(field.labels)
+    used, here = np.unique(code, return_inverse=True)
+    counts = [o[used + 1] - o[used] for _, o in found]
+    index = [i[np.repeat(o[used] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))] for (i, o), c in zip(found, counts, strict=True)]
+    own = [(i, np.concatenate([[0], np.cumsum(c)])) for i, c in zip(index, counts, strict=True)]
+    states = (summed(own, field.weights) + lexicon[used] @ field.lexical)[here]
+    p = field.marginals(states, np.arange(0, len(code) + 1, LENGTH))
+    want = np.zeros_like(p)
+    want[np.arange(len(code)), truth] = 1
+    by_word = np.zeros((len(used), n))
+    np.add.at(by_word, here, p - want)
+    rows, grad = np.concatenate(index), np.concatenate([np.repeat(by_word, c, axis=0) for c in counts])
+    touched, where = np.unique(rows, return_inverse=True)
+    step = np.stack([np.bincount(where, grad[:, k], len(touched)) for k in range(n)], 1)
+    sizes[0][touched] += step**2
+    field.weights[touched] -= RATE * step / np.sqrt(sizes[0][touched])
+    grid, wants = p.reshape(-1, LENGTH, n), want.reshape(-1, LENGTH, n)
+    local = np.exp(states - states.max(1, keepdims=True)).reshape(-1, LENGTH, n)
+    pair = _pairs(local, np.exp(field.transition), np.exp(field.initial))
+    grads = lexicon[used].T @ by_word, pair - np.einsum("stk,stl->kl", wants[:, :-1], wants[:, 1:]), (grid[:, 0] - wants[:, 0]).sum(0)
+    for x, size, g in zip((field.lexical, field.transition, field.initial), sizes[1:], grads, strict=True):
+        size += g**2
+        x -= RATE * g / np.sqrt(size)
 
 
 def _pairs(local: np.ndarray, move: np.ndarray, initial: np.ndarray) -> np.ndarray:
@@ -168,32 +193,28 @@ def _pairs(local: np.ndarray, move: np.ndarray, initial: np.ndarray) -> np.ndarr
     return (joint / joint.sum((2, 3), keepdims=True)).sum((0, 1))
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each sampled document the words around its middle: at most SPAN."""
-    for batch in batches:
-        words = [(x or "").lower().split() for x in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([w[max(0, len(w) // 2 - SPAN // 2) :][:SPAN] for w in words], pa.list_(pa.string())), batch.column(1)], names=["words", "lang"])
-
-
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
-    """Fit a field on at most ``train_docs`` rows (doc_id, text, lang), as many of each language."""
-    some = docs.where("lang is not null and text is not null")
-    languages = some.select("lang").distinct().count()
+    """Fit a field on at most ``train_docs`` distinct texts of the rows (text, lang), as many of each language."""
+    languages = [r[0] for r in docs.where("lang is not null and text is not null").select("lang").distinct().orderBy("lang").limit(MOST_LABELS + 1).collect()]
+    field = Field(languages)
     if not languages:
-        return Field([])
-    ids = sample_ids(some, "lang", max(1, train_docs // languages))
-    # the sample has at most train_docs rows: the broadcast has a fixed bound
-    texts = some.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"]).select("text", "lang")
-    rows = [r for r in texts.mapInArrow(_spans, "words array<string>, lang string").collect() if r.words]
-    rows.sort(key=lambda r: (r.lang, r.words))
-    return fit([r.words for r in rows], [r.lang for r in rows])
+        return field
+    some = sample(docs, "lang", max(1, train_docs // len(languages)))
+    # names are few (the sample checks it); an index of -1 is none
+    label = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int") - 1
+    rows = some.select("key", "text", label.alias("label")).repartition(SHARDS, "key").sortWithinPartitions("key").select("text", "label")
+    rows = saved(rows)
+    learn_lexicon(rows, field)
+    arrays = averaged(rows, _learn(languages, field.known, field.of, field.buckets), [field.weights, field.lexical, field.transition, field.initial], EPOCHS)
+    field.weights, field.lexical, field.transition, field.initial = arrays
+    return field
 
 
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field: Field = model.value
         for batch in pieces(batches, STEP):
-            flat, offsets = split_words(pa.array([x.lower() if x else None for x in batch.column(1).to_pylist()], pa.large_string()))
+            flat, offsets = lower_words(batch.column(1))
             code, distinct = encoded(flat)
             n = len(offsets) - 1
             lettered = np.array([bool(x and LETTER.search(x)) for x in batch.column(1).to_pylist()], bool)
@@ -223,7 +244,7 @@ def identify(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str =
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = training_rows(5, 0)
-    field = train(docs.select("doc_id", "text", "lang").where(~held))
+    field = train(docs.where(~held).select("text", "lang"))
     return identify(docs, field).withColumn("held_out", held)
 
 

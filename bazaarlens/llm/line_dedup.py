@@ -20,6 +20,8 @@ from .common import saved, table
 
 #: Words that a repeated run must have at least.
 MIN_WORDS = 10
+#: A line or interval is hot if it has more than this share of all lines (1 / HOT_SHARE), so there are at most HOT_SHARE hot ones.
+HOT_SHARE = 10_000
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -68,10 +70,15 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "d
     # rows alike in id and text are one document here
     found = saved(_lines(docs, doc_id, text).dropDuplicates([*doc, "at"]))
     numbered = found.withColumn("line", F.row_number().over(Window.partitionBy(*doc).orderBy("at")) - 1)
-    names = numbered.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    total = found.count()
+    names = saved(numbered.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"))
     # a line that occurs once is in no repeated run: it has rank 0 and ends every match
-    ranks = saved(_ranked(names, ["name"]))
-    level = saved(numbered.join(ranks, "name", "left").select(*doc, "at", "line", "words", F.coalesce("rank", F.lit(0)).cast("long").alias("rank")))
+    ranks = saved(_ranked(names.select("name"), ["name"]))
+    # the most frequent lines, at most HOT_SHARE of them, are broadcast
+    hot = ranks.join(F.broadcast(names.where(F.col("n") * HOT_SHARE > total).select("name")), "name", "left_semi")
+    known = numbered.join(F.broadcast(hot), "name", "left")
+    rare = known.where("rank is null").drop("rank").join(ranks, "name", "left")
+    level = saved(known.where("rank is not null").unionByName(rare).select(*doc, "at", "line", "words", F.coalesce("rank", F.lit(0)).cast("long").alias("rank")))
     reach = saved(_reach(level.select(*doc, "line", "words"), min_words))
     # the least runs of enough words, by where they begin: those that a line begins and those that a line ends
     begin = reach.where("ahead > 0").select(*doc, F.col("line").cast("long").alias("from"), F.col("ahead").alias("lines"))
@@ -86,8 +93,13 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "d
         named = runs.where(F.col("lines") < 2 * size).withColumn("line", F.col("from") + F.col("lines") - size)
         named = named.join(now.withColumnRenamed("rank", "last"), [*doc, "line"])
         interval, place = ["lines", "first", "last"], F.struct(*doc, "from")
-        least = named.groupBy(*interval).agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-        later = saved(named.join(least, interval).where(place != F.col("least")).select(*doc, "from", "lines"))
+        named = saved(named)
+        least = saved(named.groupBy(*interval).agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1"))
+        # intervals of very many members, at most HOT_SHARE of them, are broadcast: their members don't meet in a task
+        hot = F.col("n") * HOT_SHARE > total
+        known = named.join(F.broadcast(least.where(hot).drop("n")), interval, "left")
+        rare = known.where("least is null").drop("least").join(least.where(~hot).drop("n"), interval)
+        later = saved(known.where("least is not null").unionByName(rare).where(place != F.col("least")).select(*doc, "from", "lines"))
         gone = later if gone is None else gone.unionAll(later)
         runs = runs.where(F.col("lines") >= 2 * size).drop("first")
         if runs.isEmpty():
@@ -108,20 +120,25 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str
     A run of lines is deleted if it has ``min_words`` words in all, and the same lines (those without a word apart) follow
     each other earlier: in a document of smaller id, or further up.  Lines end at a line feed.  A null text stays null; a
     text of which every line goes is empty.  Rows alike in id and text count once and have one result; a null id counts as
-    the smallest.  An empty table gives an empty result.  ``counts`` adds n_lines and n_removed.
+    the smallest.  An empty table gives an empty result.  Other columns stay as they are, whatever their names.  ``counts``
+    adds n_removed, in place of a column of that name.
     """
     key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col(text), F.lit("")))]
     gone = repeated_lines(docs, min_words, doc_id, text).groupBy("doc", "digest").agg(F.sort_array(F.collect_list("at")).alias("gone_at"))
-    rows = docs.withColumns({"key_doc": key[0], "key_digest": key[1]})
-    joined = rows.join(gone.withColumnsRenamed({"doc": "key_doc", "digest": "key_digest"}), ["key_doc", "key_digest"], "left")
-    lines = F.split(text, "\n")
+    others = [c for c in docs.columns if c != text and not (counts and c == "n_removed")]
+    row = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    joined = docs.select(key[0].alias("doc"), key[1].alias("digest"), F.col(text).alias("body"), row.alias("row")).join(gone, ["doc", "digest"], "left")
+    lines = F.split("body", "\n")
     # a map of the deleted numbers: looking one up doesn't depend on how many there are
     marks = F.map_from_arrays("gone_at", F.transform("gone_at", lambda x: F.lit(True)))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.map_contains_key(marks, i)), "\n")
-    out = joined.withColumn(text, F.when(F.col("gone_at").isNull(), F.col(text)).otherwise(kept))
+    columns = {c: F.col("row").getField(f"c{i}") for i, c in enumerate(others)}
+    columns[text] = F.when(F.col("gone_at").isNull(), F.col("body")).otherwise(kept)
+    names = [c for c in docs.columns if c in columns]
     if counts:
-        out = out.withColumn("n_removed", F.coalesce(F.size("gone_at"), F.lit(0)).cast("long"))
-    return out.select(*docs.columns, *(["n_removed"] if counts else []))
+        columns["n_removed"] = F.when(F.col("gone_at").isNull(), 0).otherwise(F.size("gone_at")).cast("long")
+        names.append("n_removed")
+    return joined.select(*[columns[c].alias(c) for c in names])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ from .common import saved, table
 TARGET, REPEATS = 0.97, 2.0
 SEED = 17
 BLOCK_TOKENS = 1 << 20
+#: Ranges of a source's permutation, as a power of two, and sources whose plan is broadcast at most.
+BIN_BITS, BROADCAST_SOURCES = 10, 100_000
 #: Exponents tried at once, and rounds: 64^5 steps of the unit interval.
 ARMS, ROUNDS = 64, 5
 
@@ -87,15 +89,23 @@ def mixed(docs: DataFrame, target: float = TARGET, repeats: float = REPEATS, bud
     plan = plan.withColumn("blocks", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int") + 1).withColumn("whole", F.floor("epochs").cast("int"))
     plan = saved(plan.withColumn("rest", F.floor((F.col("epochs") - F.col("whole")) * F.col("tokens"))))
 
-    def by_source(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right.withColumnRenamed("source", "s"), left["source"].eqNullSafe(F.col("s"))).drop("s")
-
-    placed = by_source(rows, plan).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int"))
+    named = plan.withColumnRenamed("source", "s")
+    if plan.count() <= BROADCAST_SOURCES:  # more than that, and no source can hold most rows of a shuffle's task for long
+        named = F.broadcast(named)
+    placed = rows.join(named, rows["source"].eqNullSafe(F.col("s"))).drop("s")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int"))
     placed = saved(placed.select("doc_id", "source", "n_tokens", "digest", "weight", "epochs", "whole", "rest", "block"))
     filled = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"), F.first("rest").alias("rest"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "source", "block"), "block")
-    filled = filled.withColumn("before", F.sum("size").over(order) - F.col("size"))
-    filled = filled.withColumn("room", F.col("rest") - F.col("before")).where("room > 0 and size > 0")
+    filled = saved(filled.withColumn("turn", F.xxhash64(F.lit(seed), "source", "block")))
+    # the permutation in two steps: BINS ranges of the hash, and the blocks of a range
+    filled = filled.withColumn("bin", F.shiftright("turn", 64 - BIN_BITS))
+    bins = filled.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
+    bins = bins.withColumn("earlier", F.sum("in_bin").over(Window.partitionBy("source").orderBy("bin")) - F.col("in_bin")).drop("in_bin")
+    bins = bins.toDF("s", "b", "earlier")
+    order = Window.partitionBy("source", "bin").orderBy("turn", "block")
+    filled = filled.withColumn("inner", F.sum("size").over(order) - F.col("size"))
+    filled = filled.join(bins, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b"))).drop("s", "b")
+    filled = filled.withColumn("room", F.col("rest") - F.col("earlier") - F.col("inner")).where("room > 0 and size > 0")
     # blocks within the budget as a whole, and the one in which it ends
     filled = saved(filled.select("source", F.col("block").alias("b"), (F.col("room") >= F.col("size")).alias("all"), "room"))
     key = (F.col("source").eqNullSafe(F.col("s"))) & (F.col("block") == F.col("b"))
@@ -110,17 +120,18 @@ def mixed(docs: DataFrame, target: float = TARGET, repeats: float = REPEATS, bud
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mixture has it; the columns are those of ``docs``."""
     doc_id, text, source = (options.get(k, k) for k in ("doc_id", "text", "source"))
-    copies = mixed(docs, **options).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("digest").alias("m_digest"), "copies")
+    copies = mixed(docs, **options).select(F.struct("doc_id", "source", "digest").alias("key"), "copies")
     # rows alike in id, source and text may have been given different numbers of copies: they share the sum
-    copies = saved(copies.groupBy("m_id", "m_source", "m_digest").agg(F.sum("copies").alias("m_copies"), F.count("*").alias("m_rows")))
-    same = (F.col(doc_id).cast("long").eqNullSafe(F.col("m_id"))) & (F.col(source).eqNullSafe(F.col("m_source"))) & (F.xxhash64(text) == F.col("m_digest"))
-    joined = docs.join(copies, same)
-    once = joined.where("m_rows = 1").withColumn("m_n", F.col("m_copies"))
-    alike = joined.where("m_rows > 1")
-    number = F.row_number().over(Window.partitionBy("m_id", "m_source", "m_digest").orderBy("m_id"))
-    alike = alike.withColumn("m_n", F.floor(F.col("m_copies") / F.col("m_rows")) + (number <= F.col("m_copies") % F.col("m_rows")).cast("int"))
-    every = once.unionByName(alike).where("m_n > 0").withColumn("m_turn", F.explode(F.sequence(F.lit(1), F.col("m_n").cast("int"))))
-    return every.select(docs.columns)
+    copies = saved(copies.groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")))
+    key = F.struct(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.xxhash64(text).alias("digest"))
+    # a row is one column, whatever the names of its own
+    joined = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(copies, "key")
+    once = joined.where("rows = 1").withColumn("n", F.col("copies"))
+    alike = joined.where("rows > 1")
+    number = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
+    alike = alike.withColumn("n", F.floor(F.col("copies") / F.col("rows")) + (number <= F.col("copies") % F.col("rows")).cast("int"))
+    every = once.unionByName(alike).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("turn"))
+    return every.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

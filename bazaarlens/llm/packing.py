@@ -1,7 +1,8 @@
 """Cost-balanced packing of documents into sequences of a fixed number of tokens.
 
-A document's ids are cut into full sequences and a tail.  Tails are dealt into groups by a hash of the document; in a group
-they are taken by descending length, each going to the sequence of lowest estimated cost (a linear term plus a quadratic
+A document's ids are cut into full sequences and a tail.  A full sequence has no room for another piece, so its cost can't be
+balanced; tails are dealt into groups by a hash of the document and its place in the input, so that rows which are alike
+spread like others.  In a group they are taken by descending length, each going to the sequence of lowest estimated cost (a linear term plus a quadratic
 one for attention inside the piece) that has room for all of it.  A group opens only as many sequences as its tokens fill;
 tails that fit nowhere whole are cut over what room is left, so at most the last sequence of a group is padded.
 
@@ -216,7 +217,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, linear: flo
     groups = max(1, math.ceil(rows.count() / group_docs))
     tokens = rows.mapInArrow(_tokenized(tokenizer_path, length), TOKENS)
     # the number of groups salts the hash: a group number is not the hash by which Spark deals rows
-    grouped = tokens.withColumn("group", F.pmod(F.xxhash64("doc_id", "n_tokens", "tail", F.lit(groups)), F.lit(groups)))
+    place = F.monotonically_increasing_id()
+    grouped = tokens.withColumn("group", F.pmod(F.xxhash64("doc_id", "n_tokens", place, F.lit(groups)), F.lit(groups)))
     return grouped.groupBy("group").applyInArrow(_packed(length, linear, quadratic), PACKED)
 
 

@@ -2,7 +2,7 @@
 
 A document is the mean of the learned vectors of its words, its word pairs and its words' byte n-grams, each hashed into a
 bucket; a softmax layer on the mean gives the classes.  Vectors and layer are learned together by stochastic gradient
-descent in numpy, on a bounded sample of labelled documents whose features are counted in the executors.
+descent in numpy, on a bounded sample of labelled documents: shards of it learn in tasks and their models are averaged.
 
 As the mean and the layer are linear, a bucket's vector times the layer is one number per class: scoring a text of any
 length is a sum of such numbers over its features, in the scan.
@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, encoded, mix2, split_words, table, training_rows, word_hashes
-from .features import gram_sums, grams, pieces, sample_ids
+from .common import U64, buffers, encoded, mix2, saved, split_words, table, training_rows, word_hashes
+from .features import SHARDS, averaged, gram_sums, grams, pieces, sample
 
 #: Bound of the training sample: documents over both classes.
 TRAIN_DOCS = 3000
@@ -42,28 +42,22 @@ class Embeddings:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 9) -> None:
+    def step(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, sizes: list[np.ndarray], rate: float = RATE) -> None:
         """``docs``: buckets and their counts.  Steps are scaled per number by the squares of the gradients so far."""
-        rng = np.random.default_rng(seed)
-        size = [np.full(x.shape, 1e-6) for x in (self.vectors, self.layer, self.bias)]
-        for _ in range(epochs):
-            order = rng.permutation(len(docs))
-            for at in range(0, len(docs), BATCH):
-                part = order[at : at + BATCH]
-                index, where = np.unique(np.concatenate([docs[i][0] for i in part]), return_inverse=True)
-                share = np.concatenate([docs[i][1] / max(docs[i][1].sum(), 1) for i in part])
-                owner = np.repeat(np.arange(len(part)), [len(docs[i][0]) for i in part])
-                weight = np.zeros((len(part), len(index)))
-                weight[owner, where] = share
-                mean = weight @ self.vectors[index]
-                error = self.probabilities(mean)
-                error[np.arange(len(part)), labels[part]] -= 1
-                grads = weight.T @ (error @ self.layer.T), mean.T @ error, error.sum(0)
-                size[0][index] += grads[0] ** 2
-                self.vectors[index] -= rate * grads[0] / np.sqrt(size[0][index])
-                for x, s, g in ((self.layer, size[1], grads[1]), (self.bias, size[2], grads[2])):
-                    s += g**2
-                    x -= rate * g / np.sqrt(s)
+        index, where = np.unique(np.concatenate([d[0] for d in docs]), return_inverse=True)
+        share = np.concatenate([d[1] / max(d[1].sum(), 1) for d in docs])
+        owner = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
+        weight = np.zeros((len(docs), len(index)))
+        weight[owner, where] = share
+        mean = weight @ self.vectors[index]
+        error = self.probabilities(mean)
+        error[np.arange(len(docs)), labels] -= 1
+        grads = weight.T @ (error @ self.layer.T), mean.T @ error, error.sum(0)
+        sizes[0][index] += grads[0] ** 2
+        self.vectors[index] -= rate * grads[0] / np.sqrt(sizes[0][index])
+        for x, s, g in ((self.layer, sizes[1], grads[1]), (self.bias, sizes[2], grads[2])):
+            s += g**2
+            x -= rate * g / np.sqrt(s)
 
     def flattened(self) -> np.ndarray:
         """Per bucket the difference of the two class scores."""
@@ -84,44 +78,58 @@ def _parts(text: pa.Array, buckets: int):
     return code, distinct, own, pair, inside, offsets
 
 
-def _counts(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            index, count = [], []
-            for i in range(batch.num_rows):
-                code, distinct, own, pair, inside, _ = _parts(batch.column(0).slice(i, 1), buckets)
-                times = np.bincount(code, minlength=len(distinct))
-                found = grams(distinct, SIZES, buckets)
-                rows = np.concatenate([own, pair[inside], *(x for x, _ in found)])
-                each = np.concatenate([times, np.ones(int(inside.sum()), np.int64), *(np.repeat(times, np.diff(at)) for _, at in found)])
-                used, where = np.unique(rows, return_inverse=True)
-                index.append(used.astype(np.int32).tobytes())
-                count.append(np.bincount(where, each, len(used)).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(index, pa.binary()), pa.array(count, pa.binary())], names=["label", "index", "count"])
-
-    return run
+def counts(text: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of one text's features, and how often they come."""
+    code, distinct, own, pair, inside, _ = _parts(text, buckets)
+    times = np.bincount(code, minlength=len(distinct))
+    found = grams(distinct, SIZES, buckets)
+    rows = np.concatenate([own, pair[inside], *(x for x, _ in found)])
+    each = np.concatenate([times, np.ones(int(inside.sum()), np.int64), *(np.repeat(times, np.diff(at)) for _, at in found)])
+    used, where = np.unique(rows, return_inverse=True)
+    return used, np.bincount(where, each, len(used))
+
+
+def _learn(batches: Iterator[pa.RecordBatch], arrays: list[np.ndarray], turn: int) -> int:
+    """Gradient steps on BATCH documents at a time, of which only the features are held."""
+    model = Embeddings(len(arrays[0]), arrays[0].shape[1])
+    model.vectors, model.layer, model.bias = arrays
+    sizes, n = [np.full(x.shape, 1e-6) for x in arrays], 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    labels: list[int] = []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            held.append(counts(batch.column(0).slice(i, 1), model.buckets))
+            labels.append(batch.column(1)[i].as_py())
+            n += 1
+            if len(held) == BATCH:
+                model.step(held, np.array(labels), sizes)
+                held, labels = [], []
+    if held:
+        model.step(held, np.array(labels), sizes)
+    return n
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, label: str = "quality") -> tuple[np.ndarray, float]:
-    """(score per bucket, bias), fitted on at most ``train_docs`` rows of ``labels``, as many of each class.
+    """(score per bucket, bias), fitted on at most ``train_docs`` texts with a row in ``labels``, as many of each class.
 
     The bias is set back to the classes' true proportion, counted over all given labels.
     """
     known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
     seen = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    ids = sample_ids(known, "label", train_docs // 2)
-    # the sample has at most train_docs rows: the broadcast has a fixed bound
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label")
-    rows = texts.mapInArrow(_counts(BUCKETS), "label int, index binary, count binary").collect()
-    rows = sorted((r.label, bytes(r["index"]), bytes(r["count"])) for r in rows)
+    if len(seen) < 2:
+        return np.zeros(BUCKETS), (1.0 if next(iter(seen)) else -1.0) if seen else 0.0
+    # an id that is repeated, on either side, stands for one text and label: no id multiplies the sample
+    first = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*by))).where("n = 1").drop("n")
+    texts = docs.where("text is not null").select("doc_id", "text")
+    ids = sample(known.withColumn("text", F.col("doc_id").cast("string")), "label", train_docs // 2)
+    ids = first(ids.select(F.col("text").cast("long").alias("doc_id"), "label"), "label")
+    # at most train_docs rows: the broadcast has a fixed bound
+    some = first(texts.join(F.broadcast(ids), "doc_id"), F.xxhash64("text"), "text")
+    rows = saved(some.withColumn("key", F.xxhash64("doc_id", F.lit(9))).repartition(SHARDS, "key").sortWithinPartitions("key", "doc_id").select("text", "label"))
+    drawn = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     model = Embeddings()
-    if len(seen) < 2 or not rows:
-        only = next(iter(seen), 0)
-        return np.zeros(BUCKETS), (1.0 if only else -1.0) if seen else 0.0
-    truth = np.array([r[0] for r in rows])
-    model.fit([(np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in rows], truth)
-    drawn = [max(1, int((truth == c).sum())) for c in (0, 1)]
-    bias = model.bias[1] - model.bias[0] + np.log(seen[1] / seen[0]) - np.log(drawn[1] / drawn[0])
+    model.vectors, model.layer, model.bias = averaged(rows, _learn, [model.vectors, model.layer, model.bias], EPOCHS)
+    bias = model.bias[1] - model.bias[0] + np.log(seen[1] / seen[0]) - np.log(max(1, drawn.get(1, 0)) / max(1, drawn.get(0, 0)))
     return model.flattened(), float(bias)
 
 

@@ -7,6 +7,15 @@ by the same argument on the bits that are left, and what is still larger gets se
 shard.  The trees travel to the tasks of their shard and not by a broadcast variable, as fingerprints grow with the corpus.
 
 A shard reports a star per group of linked fingerprints and never its pairs; the stars are joined into components.
+
+``similar_texts`` links texts by the Jaccard similarity of their shingle sets.  At 0.8 fingerprints differ in about 10 of 64
+bits and in up to WIDE; blocks of bits are no shards for so wide a radius, so shards are the buckets of MinHash bands: BANDS
+bands of ROWS minima, which a pair at 0.8 misses with a chance of (1 - 0.8^ROWS)^BANDS = 1.3e-7.  In a shard the fingerprints
+within the radius are candidates, and the sets themselves decide.  First every member is tried with one of its shard, then,
+where members are still in different components, with another one (every band has a shard of its own, so a text is tried
+with many); for what is left BK-trees over the shard find all pairs across components, of which a sketch of 1024 more minima
+rules out most that the sets would.  So each pair that meets is compared
+or already linked, and a group of copies that are alike in part costs no more than some stars.
 """
 
 from __future__ import annotations
@@ -15,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import saved, table
 from .components import components
 
@@ -26,6 +37,10 @@ RADIUS = 4
 NODES = 2048
 #: Queries that walk the trees at once, and fingerprints of one shard that look into a tree in one task.
 SLICE, QUERIES = 4096, 65536
+#: Queries of which all pairs within the radius are held.
+PAIRED = 256
+#: Bits in which the fingerprints of texts of a similarity of 0.8 may differ: five standard deviations above their mean.
+WIDE = 26
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -139,18 +154,60 @@ def _stars(values: np.ndarray, shard: np.ndarray, node: np.ndarray, radius: int)
     return values[moved], values[label[moved]]
 
 
-def _probe(radius: int):
+def _linked(radius: int):
+    def link(rows: pa.Table) -> pa.RecordBatch:
+        """Stars of the linked fingerprints of whole shards."""
+        _, shard = np.unique(rows["shard"].to_numpy(), return_inverse=True)
+        values = rows["fp"].to_numpy().astype(np.int64).view(np.uint64)
+        a, b = _stars(values, shard, rows["member"].to_numpy().astype(bool), radius)
+        a, b = a.view(np.int64), b.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+
+    return link
+
+
+def _across(radius: int):
+    def link(rows: pa.Table) -> pa.RecordBatch:
+        """Pairs of nodes (u > v) of one shard and of different roots whose fingerprints, and sketches, are near enough."""
+        _, shard = np.unique(rows["shard"].to_numpy(), return_inverse=True)
+        values = rows["fp"].to_numpy().astype(np.int64).view(np.uint64)
+        node, root = (rows[c].to_numpy().astype(np.int64) for c in ("node", "root"))
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(values), -1)
+        inside = np.flatnonzero(rows["member"].to_numpy().astype(bool))
+        forest = Forest(values[inside], shard[inside])
+        own, lists = rows["own_bucket"].to_numpy(), rows["buckets"].combine_chunks()
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        in_buckets = np.full((len(own), int(sizes.max(initial=1))), -(2**63))  # no bucket's number
+        in_buckets[np.repeat(np.arange(len(own)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy()
+        found = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(values), PAIRED):
+            here = np.arange(at, min(at + PAIRED, len(values)))
+            known = shard[here] < len(forest.roots)
+            q, n = forest.search(values[here[known]], forest.roots[shard[here[known]]], radius) if len(forest.roots) else (np.zeros(0, np.int64),) * 2
+            q, n = here[known][q], inside[n]
+            apart = root[q] != root[n]
+            q, n = q[apart], n[apart]
+            near = np.bitwise_count(sketch[q] ^ sketch[n]).sum(1, dtype=np.int64) <= shingles.APART
+            q, n = q[near], n[near]
+            # a pair of several buckets is told by the least of them
+            first = np.zeros(len(q), bool)
+            for i in range(0, len(q), SLICE):
+                a, b = in_buckets[q[i : i + SLICE]], in_buckets[n[i : i + SLICE]]
+                shared = ((a[:, :, None] == b[:, None, :]) & (a != -(2**63))[:, :, None]).any(2)
+                first[i : i + SLICE] = np.where(shared, a, 2**63 - 1).min(1) == own[q[i : i + SLICE]]
+            u, v = node[q[first]], node[n[first]]
+            found.append(np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    return link
+
+
+def _probe(link):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (shard, fp, node) come by shard; whole shards are linked together, some at a time."""
+        """Rows (shard, fp, ...) come by shard; whole shards are linked together, some at a time."""
         kept: list[pa.RecordBatch] = []
 
-        def link(rows: pa.Table) -> pa.RecordBatch:
-            _, shard = np.unique(rows["shard"].to_numpy(), return_inverse=True)
-            values = rows["fp"].to_numpy().astype(np.int64).view(np.uint64)
-            a, b = _stars(values, shard, rows["node"].to_numpy().astype(bool), radius)
-            a, b = a.view(np.int64), b.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
-
         for batch in batches:
             shard = batch.column(0).to_numpy()
             cut = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0
@@ -176,14 +233,29 @@ def _ranges(start: int, bits: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def _spread(rows: DataFrame, shard: list[str], own: str, nodes: int) -> DataFrame:
+    """``rows`` with (shard, member): a shard of more than ``nodes`` rows gets several trees, and slices of questions.
+
+    ``own`` names a row.  A row is a member of one tree, and each slice of a shard's rows looks into each of its trees.
+    """
+    counted = rows.groupBy(*shard).count().where(F.col("count") > nodes)
+    sizes = saved(counted.select(*shard, F.ceil(F.col("count") / nodes).cast("int").alias("trees"), F.ceil(F.col("count") / QUERIES).cast("int").alias("slices")))
+    rows_ = rows.join(sizes, shard, "left").na.fill(1, ["trees", "slices"])
+    rows_ = rows_.withColumn("home", F.pmod(F.xxhash64(own), "trees")).withColumn("own", F.pmod(F.xxhash64(own, "trees"), "slices"))
+    asked = rows_.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1))).withColumn("slice", F.col("own")).withColumn("member", F.col("tree") == F.col("home"))
+    sent = rows_.where("slices > 1").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).where("slice != own").withColumn("tree", F.col("home")).withColumn("member", F.lit(True))
+    others = [c for c in rows.columns if c not in shard]
+    return asked.unionByName(sent).select(F.xxhash64(*shard, "tree", "slice").alias("shard"), *others, "member")
+
+
 def shards(fps: DataFrame, radius: int, nodes: int) -> DataFrame:
-    """(shard, fp, node): each pair within the radius meets in a shard of which one of the two is a node."""
+    """(shard, fp, member): each pair within the radius meets in a shard in whose tree one of the two is."""
     parts = radius + 1
     keyed = fps.select("fp", F.explode(_blocks(F.col("fp"), _ranges(0, 64, parts))).alias("key"))
     large = saved(keyed.groupBy("key").count().where(F.col("count") > nodes).select("key"))
-    plain = lambda df: df.select(F.xxhash64("key").alias("shard"), "key", "fp", F.lit(True).alias("node"))
+    plain = lambda df: df.select(F.xxhash64("key").alias("shard"), "fp", F.lit(True).alias("member"))
     if large.isEmpty():
-        return plain(keyed).drop("key")
+        return plain(keyed)
     # a large shard: what agrees on this block within the radius agrees on a block of the remaining bits as well
     small, big = keyed.join(large, "key", "left_anti"), keyed.join(large, "key")
     rotated, ranges = F.col("fp"), _ranges(0, 64, parts)
@@ -193,15 +265,87 @@ def shards(fps: DataFrame, radius: int, nodes: int) -> DataFrame:
         turned = F.shiftleft(rotated, 64 - turn).bitwiseOR(F.shiftrightunsigned(rotated, turn)) if turn else rotated
         rest = F.when(F.shiftright("key", 52) == i, _blocks(turned, _ranges(0, 64 - width, parts))).otherwise(rest)
     finer = big.select("fp", "key", F.explode(rest).alias("finer"))
-    counted = finer.groupBy("key", "finer").count().where(F.col("count") > nodes)
-    sizes = saved(counted.select("key", "finer", F.ceil(F.col("count") / nodes).cast("int").alias("trees"), F.ceil(F.col("count") / QUERIES).cast("int").alias("slices")))
-    finer = finer.join(sizes, ["key", "finer"], "left").na.fill(1, ["trees", "slices"])
-    finer = finer.withColumn("home", F.pmod(F.xxhash64("fp"), "trees")).withColumn("own", F.pmod(F.xxhash64("fp", "trees"), "slices"))
-    # each slice of a shard's fingerprints looks into each of its trees
-    asked = finer.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1))).withColumn("slice", F.col("own")).withColumn("node", F.col("tree") == F.col("home"))
-    sent = finer.where("slices > 1").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).where("slice != own").withColumn("tree", F.col("home")).withColumn("node", F.lit(True))
-    both = asked.unionByName(sent).select(F.xxhash64("key", "finer", "tree", "slice").alias("shard"), "fp", "node")
-    return plain(small).drop("key").unionByName(both)
+    return plain(small).unionByName(_spread(finer, ["key", "finer"], "fp", nodes))
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, node, fp, root) come by bucket: each of a bucket but the first, with the first."""
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, *own = (batch.column(i).to_numpy() for i in range(4))
+        first = np.concatenate([[before is None or bucket[0] != before[0]], bucket[1:] != bucket[:-1]])
+        at = np.maximum.accumulate(np.where(first, np.arange(len(first)), -1))
+        heads = [x[np.maximum(at, 0)] for x in own]
+        if at[0] < 0:
+            heads = [np.where(at < 0, old, x) for old, x in zip(before[1:], heads, strict=True)]
+        before = [bucket[-1], *(x[-1] for x in heads)]
+        yield pa.RecordBatch.from_arrays([pa.array(x[~first]) for x in (bucket, *heads, *own)], names=MET.replace(" long", "").split(", "))
+
+
+MET = "bucket long, head long, head_fp long, head_root long, node long, fp long, root long"
+#: Turns of stars before all pairs are looked for.
+TURNS = 3
+
+
+def _stars_of(members: DataFrame, turn: int) -> DataFrame:
+    """Members (bucket, node, fp, root) beside the first one of their bucket in an order that depends on the turn."""
+    order = F.col("node") if turn == 0 else F.xxhash64("bucket", "node", F.lit(turn))
+    dealt = members.repartition("bucket").sortWithinPartitions("bucket", order, "node")
+    return dealt.select("bucket", "node", "fp", "root").mapInArrow(_met, MET)
+
+
+def similar_texts(docs: DataFrame, radius: int = WIDE, nodes: int = NODES, text: str = "text") -> DataFrame:
+    """(u, v): each node (the name of a shingle set, see ``shingles``) that isn't the least of its component, and that least one.
+
+    Two nodes are linked if they have at least ``shingles.SIMILARITY`` of their shingles in common.  Nulls and texts without
+    words are one node; an empty table gives no rows.
+    """
+    rows = shingles.signed(docs, text)
+    members = rows.select(F.explode("bands").alias("bucket"), "node", "fp", F.col("node").alias("root"))
+    met = saved(_stars_of(members, 0))
+    members = met.select("bucket", "node", "fp").unionByName(met.select("bucket", F.col("head").alias("node"), F.col("head_fp").alias("fp")).distinct())
+    texts = shingles.texts(docs, members.select("node").distinct(), text)
+    tried, edges = None, None
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= radius
+    pair = [F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")]
+    for turn in range(TURNS + 1):
+        if turn:
+            members = members.drop("root").join(edges.toDF("node", "r"), "node", "left").select("bucket", "node", "fp", F.coalesce("r", "node").alias("root"))
+            open_ = members.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("bucket")
+            members = saved(members.join(open_, "bucket", "left_semi"))
+            if members.isEmpty():
+                return edges
+        if turn < TURNS:
+            found = (_stars_of(members, turn) if turn else met).where(near & (F.lit(turn == 0) | (F.col("root") != F.col("head_root")))).select(*pair)
+        else:
+            own = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+            sketched = shingles.sketches(texts, own.select("node")).join(own, "node")
+            members = members.join(sketched, "node").withColumn("own_bucket", F.col("bucket"))
+            walked = _spread(members, ["bucket"], "node", nodes).repartition("shard").sortWithinPartitions("shard")
+            found = walked.mapInArrow(_probe(_across(radius)), "u long, v long")
+        found = found.distinct()
+        found = saved(found if tried is None else found.join(tried, ["u", "v"], "left_anti"))
+        tried = found if tried is None else tried.unionByName(found)
+        linked = shingles.similar(found, texts)
+        edges = components(linked if edges is None else edges.unionByName(linked))
+    return edges
+
+
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of similar texts: that with the smallest id, then text hash.
+
+    Documents are rows: an id that is repeated or null (the last) links nothing.  Rows that are alike in all columns are
+    copies of one text, and one of them stays.  Other columns are carried along whatever their names.
+    """
+    names = docs.columns
+    row = docs.select(F.col(text).alias("body"), F.col(doc_id).alias("number"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    roots = similar_texts(docs, text=text).toDF("node", "root")
+    rows = shingles.named(row, "body").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = [F.col("number").asc_nulls_last(), F.xxhash64("body"), F.length("body"), F.xxhash64("row")]
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(*order))).where("place = 1")
+    return first.select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, nodes: int = NODES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,7 +359,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, nodes
     marked = saved(fingerprints(docs, words, doc_id, text))
     fps = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     dealt = shards(fps.select("fp"), radius, nodes).repartition("shard").sortWithinPartitions("shard")
-    stars = components(dealt.mapInArrow(_probe(radius), "u long, v long"))
+    stars = components(dealt.mapInArrow(_probe(_linked(radius)), "u long, v long"))
     rooted = fps.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = saved(rooted)
     least = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, buckets_for, by_bucket, chunked, encoded, in_doc_order, mix, mix2, split_words, table, text_bytes, word_hashes
+from .common import U64, buckets_for, by_bucket, chunked, encoded, in_doc_order, mix, mix2, partitions_for, split_words, table, text_bytes, word_hashes
 
 WINDOW = 20
 ROUNDS = 3
@@ -256,13 +256,13 @@ def drop_repeats(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, doc
     """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text).alias("text"))
     total = text_bytes(rows)
-    buckets = buckets_for(total)
+    buckets, parts = buckets_for(total), partitions_for(docs.sparkSession, total)
     dealt = chunked(rows, total)
     chunks = dealt.groupBy("chunk")
     names = chunks.applyInArrow(_census(width, rounds, buckets), SENT)
-    shared = names.groupBy("bucket").applyInArrow(_shared, BACK)
+    shared = names.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_shared, BACK)
     windows = chunks.cogroup(shared.groupBy("chunk")).applyInArrow(_candidates(width, rounds, buckets), SENT)
-    later = windows.groupBy("bucket").applyInArrow(_later, BACK)
+    later = windows.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_later, BACK)
     found = chunks.cogroup(later.groupBy("chunk")).applyInArrow(_removed(width, not digests), "doc_id long, n_words long, n_removed long, kept string")
     return found.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
 

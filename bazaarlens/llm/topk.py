@@ -6,7 +6,8 @@ the second-moment matrix, found by a symmetric eigenproblem of the bounded d x d
 give a partial product, and the Cauchy-Schwarz bound on the rest, |rest of q| * |rest of x|, rules out most candidates.
 What is left is scored exactly in integers.
 
-Two Spark passes: the block of the longest vectors gives every query a first threshold; then each (stripe of candidate
+Two Spark passes: the block of the longest vectors gives every query a first threshold; a block of candidates is then sent to
+those blocks of queries alone of which the longest vector can reach the lowest threshold, and each (stripe of candidate
 blocks, block of queries) is a task that walks its blocks in order.
 """
 
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 #: Candidates in a block, queries in a block, blocks that one task walks.
-BLOCK, QUERIES, STRIPE = 4096, 1024, 8
+BLOCK, QUERIES, STRIPE = 4096, 1024, 2
+#: The bytes of minus infinity, in hexadecimal digits.
+NOTHING = np.array([-np.inf], "<f8").tobytes().hex()
 #: Rotated coordinates of the partial product.
 LEADING = 16
 EXACT_FLOAT = 2.0**53
@@ -156,33 +159,36 @@ def exact_topk(rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", ve
     asked = vectors.where(is_query)
     query_blocks = max(1, -(-asked.count() // QUERIES))
     queries = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).groupBy("block").applyInPandas(_pack, schema)
-    queries = queries.select(F.col("block").alias("q_block"), F.col("n").alias("q_n"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    queries = saved(queries.select(F.col("block").alias("q_block"), F.col("n").alias("q_n"), F.col("width").alias("q_width"), F.col("top").alias("q_top"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")))
 
     joined = "stripe int, query_id long, vec_id long, score long"
 
     def scored(c: DataFrame, q: DataFrame) -> DataFrame:
-        # each stripe of candidates is sent to each block of queries: keys, not a cross join
-        sent = c.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-        pairs = sent.join(q, "q_block").groupBy("q_block", "stripe")
+        # numbers of blocks and bounds first: a pair of blocks that can't hold a result is not sent
+        reach = q.select("q_block", "q_top", "q_least")
+        sent = c.select("block", "top", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q_block")).join(reach, "q_block")
+        sent = sent.where(F.col("top") * F.col("q_top") * (1 + 1e-6) + 1e-6 >= F.col("q_least")).select("block", "q_block")
+        pairs = sent.join(c, "block").join(q, "q_block").groupBy("q_block", "stripe")
         return pairs.applyInPandas(lambda frame: _search(frame, axes, k, leading).assign(stripe=int(frame["stripe"].iloc[0])), joined).drop("stripe")
 
     striped = candidates.withColumn("stripe", F.floor(F.col("block") / STRIPE).cast("int"))
-    nothing = F.udf(lambda n: np.full(n, -np.inf).tobytes(), "binary")
     longest = candidates.agg(F.max(F.struct("top", -F.col("block"))).alias("m")).select((-F.col("m.col2")).alias("block"))
     first = striped.join(F.broadcast(longest), "block", "left_semi").withColumn("stripe", F.lit(0))
-    seed = _top(scored(first, queries.withColumn("q_floor", nothing("q_n"))), k)
+    seed = _top(scored(first, queries.withColumn("q_floor", F.unhex(F.expr(f"repeat('{NOTHING}', q_n)"))).withColumn("q_least", F.lit(float("-inf")))), k)
     seed = seed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
 
     def floors(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return left.assign(q_floor=[])
+            return left.assign(q_floor=[], q_least=[])
         known = dict(zip(right["query_id"], right["floor"], strict=True))
         ids = np.frombuffer(left["q_ids"].iloc[0], np.int64)
         least = np.array([known.get(i, np.nan) for i in ids], float)
-        return left.assign(q_floor=[np.where(np.isnan(least), -np.inf, least).tobytes()])
+        least = np.where(np.isnan(least), -np.inf, least)
+        return left.assign(q_floor=[least.tobytes()], q_least=[float(least.min())])
 
     seed = seed.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
-    asked_ = queries.groupBy("q_block").cogroup(seed.groupBy("q_block")).applyInPandas(floors, "q_block int, q_n int, q_width int, q_ids binary, q_data binary, q_floor binary")
+    asked_ = queries.groupBy("q_block").cogroup(seed.groupBy("q_block")).applyInPandas(floors, "q_block int, q_n int, q_width int, q_top double, q_ids binary, q_data binary, q_floor binary, q_least double")
+    asked_ = saved(asked_)
     return _top(scored(striped, asked_), k).select("query_id", "rank", "vec_id", "score")
 
 

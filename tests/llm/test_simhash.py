@@ -58,7 +58,7 @@ def test_links_equal_brute_force_with_large_shards(spark, monkeypatch, nodes, qu
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     df = spark.createDataFrame([(v,) for v in signed], "fp long")
     dealt = simhash.shards(df, 4, nodes).repartition("shard").sortWithinPartitions("shard")
-    got = {r.u: r.v for r in components(dealt.mapInArrow(simhash._probe(4), "u long, v long")).collect()}
+    got = {r.u: r.v for r in components(dealt.mapInArrow(simhash._probe(simhash._linked(4)), "u long, v long")).collect()}
     label = brute_components(values, 4)
     groups, want = {}, {}
     for v, at in zip(signed, label, strict=True):

@@ -39,7 +39,7 @@ def sample(seed=1, n=40, vocabulary=12):
 def test_exact_dedup(spark, hot):
     texts = ["a", "b", "a", "", None, "a ", "A", "b", "long " * 5000, "long " * 5000] + ["hot"] * 40
     ids = [5, 6, 9, 1, 2, 3, 4, 6, 20, 21, *range(100, 140)]
-    options = {"hot_share": 10_000, "hot_rows": 3, "salts": 4} if hot else {}
+    options = {"hot_share": 10_000, "hot_rows": 3, "salt_rows": 10} if hot else {}
     got = exact_dedup.exact_dedup(docs(spark, texts, ids).repartition(5), **options).collect()
     assert len(got) == len(texts)
     groups = {}
@@ -58,7 +58,7 @@ def test_exact_dedup(spark, hot):
 @pytest.mark.parametrize("hot", [False, True])
 def test_exact_dedup_of_repeated_and_null_ids(spark, hot):
     rows = [(None, "a"), (None, "a"), (None, "b"), (7, "c"), (7, "d"), (3, "d"), (9, "e")] + [(i, "hot") for i in range(100, 140)] + [(i, f"alone {i}") for i in range(100, 140)]
-    options = {"hot_share": 10_000, "hot_rows": 3, "salts": 4} if hot else {}
+    options = {"hot_share": 10_000, "hot_rows": 3, "salt_rows": 10} if hot else {}
     got = exact_dedup.exact_dedup(docs(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(5), **options).collect()
     sizes = Counter(hashlib.sha256(t.encode()).hexdigest() for _, t in rows)
     assert len(got) == len(rows) and all(r.group_size == sizes[r.text_sha256] for r in got)
