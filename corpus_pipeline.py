@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import jaccard, language, line_dedup, mixing, packing
+from bazaarlens.llm import language, line_dedup, mixing, packing, simhash
 from bazaarlens.llm.common import shared_folder, table
 
 
@@ -34,11 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents are rows: an id that is repeated or null (the last) links nothing.
     """
-    roots = jaccard.links(docs).toDF("near_node", "near_root")
-    rows = jaccard.named(docs, node="near_node").join(roots, "near_node", "left").withColumn("near_root", F.coalesce("near_root", "near_node"))
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.length("text"), F.xxhash64(*docs.columns)]
-    first = F.row_number().over(Window.partitionBy("near_root").orderBy(*order))
-    return rows.withColumn("near_row", first).where("near_row = 1").select(docs.columns)
+    return simhash.first_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +61,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:  # the predecessor's rows are all in this stage's
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{folder}/{name}"
     return docs
