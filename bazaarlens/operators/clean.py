@@ -22,6 +22,38 @@ def _stats(data: DataFrame, aggregates: dict[str, Column], keys: Sequence[str])
     return data.crossJoin(F.broadcast(data.agg(*columns)))
 
 
+def cumulated(data: DataFrame, column: str) -> DataFrame:
+    """(column, _c, _before): distinct values, how often each comes, and how many rows are less.
+
+    Values are placed by range partitions, each of which starts from the rows of those before it.
+    """
+    counts = data.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_c"))
+    placed = saved(counts.repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
+    offsets = placed.groupBy("_part").agg(F.sum("_c").alias("_s"))
+    offsets = offsets.withColumn("_less", F.sum("_s").over(Window.orderBy("_part")) - F.col("_s")).drop("_s")  # a row per partition
+    inner = F.sum("_c").over(Window.partitionBy("_part").orderBy(column)) - F.col("_c")
+    return placed.withColumn("_in", inner).join(F.broadcast(offsets), "_part").select(column, "_c", (F.col("_less") + F.col("_in")).alias("_before"))
+
+
+def quantiles(data: DataFrame, column: str, levels: Sequence[float], name: str = "_q") -> DataFrame:
+    """One row with an array: exact quantiles of the table, with straight lines between values, from ranks in ranges."""
+    values = cumulated(data, column)
+    n = values.agg(F.sum("_c").alias("_n"))
+    found = values.crossJoin(F.broadcast(n))  # one row
+    at = lambda place: F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_c")), F.col(column).cast("double")))
+    places = [F.lit(p) * (F.col("_n") - 1) for p in levels]
+    ends = found.agg(*[at(f(x)).alias(f"_{s}{i}") for i, x in enumerate(places) for s, f in (("lo", F.floor), ("hi", F.ceil))], F.max("_n").alias("_n"))
+    part = lambda x: x - F.floor(x)
+    return ends.select(F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part(x) for i, x in enumerate(places)]).alias(name))
+
+
+def _with_quantiles(data: DataFrame, name: str, column: str, levels: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """``data`` with an array of quantiles of its group, or of the table."""
+    if keys:
+        return _stats(data, {name: F.percentile(column, F.array(*map(F.lit, levels)))}, keys)
+    return data.crossJoin(F.broadcast(quantiles(data, column, levels, name)))  # one row
+
+
 def interpolate(data: DataFrame, value: str = "price", keys: Sequence[str] = ("market",), order: Sequence[str] = ("date",)) -> DataFrame:
     """Nulls by a straight line between the neighbours in row order; leading ones stay, trailing ones take the last."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -38,8 +70,10 @@ def interpolate(data: DataFrame, value: str = "price", keys: Sequence[str] = ("m
 
 def fill_median(data: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls of numbers by the column's median over the table."""
-    out = _stats(data, {f"_m_{c}": F.percentile(c, 0.5) for c in columns}, [])
-    return out.withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
+    out = data
+    for c in columns:
+        out = out.crossJoin(F.broadcast(quantiles(data, c, [0.5], f"_m_{c}")))  # one row
+    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")[0]) for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
 def fill_mode(data: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -66,12 +100,12 @@ def outlier_flags(data: DataFrame, value: str, method: str = "zscore", threshold
         out = _stats(data, {"_m": F.avg(value), "_s": spread}, keys)
         flag = F.abs(v - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0)) > threshold
     elif method == "iqr":
-        out = _stats(data, {"_m": F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))}, keys).withColumn("_s", F.col("_m")[1] - F.col("_m")[0])
+        out = _with_quantiles(data, "_m", value, (0.25, 0.75), keys).withColumn("_s", F.col("_m")[1] - F.col("_m")[0])
         flag = (v < F.col("_m")[0] - threshold * F.col("_s")) | (v > F.col("_m")[1] + threshold * F.col("_s"))
     elif method == "modified_zscore":
-        out = _stats(data, {"_m": F.percentile(value, 0.5)}, keys).withColumn("_d", F.abs(v - F.col("_m")))
-        out = _stats(out, {"_s": F.percentile("_d", 0.5)}, keys)
-        flag = 0.6745 * F.col("_d") / F.nullif(F.col("_s"), F.lit(0.0)) > threshold
+        out = _with_quantiles(data, "_m", value, [0.5], keys).withColumn("_d", F.abs(v - F.col("_m")[0]))
+        out = _with_quantiles(out, "_s", "_d", [0.5], keys)
+        flag = 0.6745 * F.col("_d") / F.nullif(F.col("_s")[0], F.lit(0.0)) > threshold
     else:
         raise ValueError(f"unknown method {method}")
     return out.withColumn(name, F.coalesce(flag, F.lit(False))).drop("_m", "_s", "_d")
@@ -88,7 +122,7 @@ def handle_outliers(data: DataFrame, value: str, how: str = "winsorize", method:
     if how != "winsorize":
         raise ValueError(f"unknown treatment {how}")
     levels = (0.25, 0.75) if method == "iqr" else (0.01, 0.99)
-    out = _stats(flagged, {"_q": F.percentile(value, F.array(*map(F.lit, levels)))}, keys)
+    out = _with_quantiles(flagged, "_q", value, levels, keys)
     q0, q1 = F.col("_q")[0], F.col("_q")[1]
     if method == "iqr":
         q0, q1 = q0 - threshold * (q1 - q0), q1 + threshold * (q1 - q0)
@@ -98,7 +132,10 @@ def handle_outliers(data: DataFrame, value: str, how: str = "winsorize", method:
 def replace_outliers(data: DataFrame, value: str, replace_with: str = "median", method: str = "zscore", threshold: float = 3.0, keys: Sequence[str] = ("market",), order: Sequence[str] = ("date",)) -> DataFrame:
     """Outliers become the median, mean, mode, nearest sound value (the earlier on ties) or the interpolation."""
     flagged = outlier_flags(data, value, method, threshold, keys, name="_o").withColumn("_v", F.when(~F.col("_o"), F.col(value)))
-    whole = {"median": F.percentile("_v", 0.5), "mean": F.avg("_v"), "mode": F.mode("_v", True)}
+    if replace_with == "median":
+        out = _with_quantiles(flagged, "_m", "_v", [0.5], keys)
+        return out.withColumn(value, F.when(F.col("_o"), F.col("_m")[0]).otherwise(F.col(value))).drop("_o", "_v", "_m")
+    whole = {"mean": F.avg("_v"), "mode": F.mode("_v", True)}
     if replace_with in whole:
         out = _stats(flagged, {"_m": whole[replace_with]}, keys)
         return out.withColumn(value, F.when(F.col("_o"), F.col("_m")).otherwise(F.col(value))).drop("_o", "_v", "_m")
@@ -213,13 +250,13 @@ def trend_outliers(data: DataFrame, price: str = "price", threshold: float = 3.0
 def conflict_transform(data: DataFrame, value: str, method: str, conflict: str = "conflict_intensity", name: str | None = None) -> DataFrame:
     """robust_scaling, segmented_scaling, winsorized_scaling or log_transform of a conflict-affected number."""
     name, v, c = name or f"{value}_transformed", F.col(value), F.col(conflict)
-    centre = {"_q": F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))}
+    centre = "_q", value, (0.25, 0.5, 0.75)
     width = F.when(F.col("_q")[2] > F.col("_q")[0], F.col("_q")[2] - F.col("_q")[0]).otherwise(1.0)
     if method == "robust_scaling":
-        return _stats(data, centre, []).withColumn(name, (v - F.col("_q")[1]) / width).drop("_q")
+        return _with_quantiles(data, *centre, []).withColumn(name, (v - F.col("_q")[1]) / width).drop("_q")
     if method == "segmented_scaling":
         band = F.when(c <= 0.3, "low").when(c <= 0.7, "medium").otherwise("high")
-        return _stats(data.withColumn("_band", band), centre, ["_band"]).withColumn(name, (v - F.col("_q")[1]) / width).drop("_q", "_band")
+        return _with_quantiles(data.withColumn("_band", band), *centre, ["_band"]).withColumn(name, (v - F.col("_q")[1]) / width).drop("_q", "_band")
     if method == "log_transform":
         offset = F.when(F.col("_lo") <= 0, F.abs(F.col("_lo")) + 1).otherwise(1.0)
         return _stats(data, {"_lo": F.min(value)}, []).withColumn(name, F.log(v + offset)).drop("_lo")

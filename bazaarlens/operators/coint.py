@@ -103,16 +103,15 @@ def johansen(pairs: DataFrame, columns: Sequence[str] = ("y", "x"), keys: Sequen
     return sums.mapInPandas(run, f"{_head(pairs, keys)}, trace array<double>, max_eigen array<double>, eigenvalues array<double>, rank int, is_cointegrated boolean, beta array<double>, alpha array<double>, n_obs long, status string")
 
 
-def gregory_hansen(pairs: DataFrame, model: str = "c", keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, max_lags: int = 1, trim: float = 0.15, max_breaks: int | None = None) -> DataFrame:
+def gregory_hansen(pairs: DataFrame, model: str = "c", keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, max_lags: int = 1, trim: float = 0.15) -> DataFrame:
     """Gregory-Hansen (H3): the least residual ADF over break dates; c level, ct level and trend, cshift regime.
 
-    Rows times breaks is quadratic in the length of a series; ``max_breaks`` thins the dates of long ones evenly.
+    Every date between the trimmed ends is tried: rows times breaks, which is quadratic in the length of one series.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     rows = complete(pairs, ["y", "x"]).withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy(*keys))})
     a = F.floor(F.col("n") * trim).cast("int")
-    step = F.lit(1) if max_breaks is None else F.greatest(F.lit(1), F.ceil((F.col("n") - 2 * a) / max_breaks)).cast("int")
-    wide = rows.withColumn("break_at", F.explode(F.sequence(a, F.greatest(a, (F.col("n") - a - 1).cast("int")), step)))
+    wide = rows.withColumn("break_at", F.explode(F.sequence(a, F.greatest(a, (F.col("n") - a - 1).cast("int")))))
     after = (F.col("i") >= F.col("break_at")).cast("double")
     xs = {"du": after, "x": F.col("x")} | ({"t": F.col("i").cast("double")} if model == "ct" else {}) | ({"dx": after * F.col("x")} if model == "cshift" else {})
     k = [*keys, "break_at"]

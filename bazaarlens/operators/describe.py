@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaarlens.operators import clean
+
 
 def aggregate(data: DataFrame, group: Sequence[str], columns: dict[str, str | Sequence[str]]) -> DataFrame:
     """``column_function`` for each column and function named."""
@@ -21,16 +23,20 @@ def aggregate(data: DataFrame, group: Sequence[str], columns: dict[str, str | Se
 
 def describe(data: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """A row per column (E2): count, mean, std, min, quartiles, max, skew, kurtosis (bias-corrected), median, var, se, cv."""
-    one = []
-    for c in columns:
+    one, table = [], data
+    for i, c in enumerate(columns):
         n, s, k = F.count(c), F.skewness(c), F.kurtosis(c)
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        if keys:
+            q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        else:
+            table = table.crossJoin(F.broadcast(clean.quantiles(data, c, (0.25, 0.5, 0.75), f"_q{i}")))  # one row
+            q = F.any_value(f"_q{i}")
         skew = F.when(n > 2, s * F.sqrt(n * (n - 1)) / (n - 2))
         kurt = F.when(n > 3, ((n + 1) * k + 6) * (n - 1) / ((n - 2) * (n - 3)))
         std = F.stddev_samp(c)
         parts = {"count": n, "mean": F.avg(c), "std": std, "min": F.min(c), "q25": q[0], "median": q[1], "q75": q[2], "max": F.max(c), "skew": skew, "kurtosis": kurt, "var": F.var_samp(c), "se": std / F.sqrt(n), "cv": std / F.nullif(F.avg(c), F.lit(0.0))}
         one.append(F.struct(F.lit(c).alias("column"), *[(v.cast("double") if p != "count" else v).alias(p) for p, v in parts.items()]))
-    grouped = data.groupBy(*keys).agg(F.array(*one).alias("rows")) if keys else data.agg(F.array(*one).alias("rows"))
+    grouped = data.groupBy(*keys).agg(F.array(*one).alias("rows")) if keys else table.agg(F.array(*one).alias("rows"))
     return grouped.select(*keys, F.explode("rows").alias("r")).select(*keys, "r.*")
 
 
@@ -44,9 +50,12 @@ def _pairwise(data: DataFrame, columns: Sequence[str], value) -> DataFrame:
 
 def average_ranks(data: DataFrame, column: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
     """``name``: the average rank of each value, by a table of distinct values and their counts."""
-    counts = data.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(column)  # over distinct values
-    ranks = counts.withColumn(name, F.sum("_c").over(w) - (F.col("_c") - 1) / 2.0).drop("_c")
+    if keys:
+        counts = data.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_c"))
+        ranks = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(*keys).orderBy(column)) - F.col("_c"))
+    else:
+        ranks = clean.cumulated(data, column)
+    ranks = ranks.withColumn(name, F.col("_before") + (F.col("_c") + 1) / 2.0).drop("_c", "_before")
     return data.join(ranks, [*keys, column], "left")
 
 
@@ -111,8 +120,8 @@ def market_wide(data: DataFrame, value: str = "price", market: str = "market", d
 
 def group_levels(data: DataFrame, by: str, value: str) -> DataFrame:
     """Mean, std and count of a value above and up to the median of another."""
-    median = data.agg(F.percentile(by, 0.5).alias("_m"))  # one row
-    level = F.when(F.col(by) > F.col("_m"), "high").otherwise("low")
+    median = clean.quantiles(data, by, [0.5], "_m")  # one row
+    level = F.when(F.col(by) > F.col("_m")[0], "high").otherwise("low")
     return data.crossJoin(F.broadcast(median)).groupBy(level.alias("level")).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"))
 
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaarlens.operators import clean
+
 
 def over(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -59,11 +61,15 @@ def scale_parameters(data: DataFrame, columns: Sequence[str], method: str = "sta
     """(keys, c_centre, c_width): what ``scale`` takes, to be saved and used on other rows."""
     std = F.stddev_pop if ddof == 0 else F.stddev_samp
     made: list[Column] = []
-    for c in columns:
+    table = data
+    for i, c in enumerate(columns):
         q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        if method == "robust" and not keys:
+            table = table.crossJoin(F.broadcast(clean.quantiles(data, c, (0.25, 0.5, 0.75), f"_q{i}")))  # one row
+            q = F.any_value(f"_q{i}")
         centre, width = {"standard": (F.avg(c), std(c)), "minmax": (F.min(c), F.max(c) - F.min(c)), "robust": (q[1], q[2] - q[0])}[method]
         made += [centre.cast("double").alias(f"{c}_centre"), width.cast("double").alias(f"{c}_width")]
-    return data.groupBy(*keys).agg(*made)
+    return table.groupBy(*keys).agg(*made)
 
 
 def scale(data: DataFrame, parameters: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), suffix: str = "_norm") -> DataFrame:

@@ -18,7 +18,8 @@ def align(left: DataFrame, right: DataFrame, on: Sequence[str] = ("date",), y: s
 def market_pairs(panel: DataFrame, value: str = "price", market: str = "market", ts: str = "date", on: Sequence[str] = (), pair_filter: DataFrame | None = None, modes: Sequence[str] = ()) -> DataFrame:
     """All pairs of markets i < j at equal dates (D1): pair_id, market_y, market_x, ts, y, x, and mode if any are named.
 
-    Pairs grow with the square of the markets; ``pair_filter`` (src, dst) restricts them to an edge table.
+    Pairs grow with the square of the markets; ``pair_filter`` (src, dst) restricts them to an edge table.  A date's markets
+    are dealt into blocks of about BLOCK_UNITS, and pairs of blocks are the keys of the join beside the date.
     """
     side = lambda m, v: panel.select(F.col(ts).alias("ts"), *on, F.col(market).alias(m), F.col(value).cast("double").alias(v)).dropna()
     a, b = side("market_y", "y"), side("market_x", "x")
@@ -26,11 +27,46 @@ def market_pairs(panel: DataFrame, value: str = "price", market: str = "market",
         edges = pair_filter.select(F.least("src", "dst").alias("market_y"), F.greatest("src", "dst").alias("market_x")).where("market_y != market_x").distinct()
         joined = a.join(edges, "market_y").join(b, ["ts", *on, "market_x"])
     else:
-        joined = a.join(b, ["ts", *on]).where("market_y < market_x")
+        joined = unit_pairs(a, b, ["ts", *on], "market_y", "market_x")
     out = joined.select(F.concat_ws("|", "market_y", "market_x").alias("pair_id"), "market_y", "market_x", *on, "ts", "y", "x")
     return out.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))) if modes else out
 
 
+#: Units of one block, on average.
+BLOCK_UNITS = 512
+
+
+def unit_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], left: str, right: str) -> DataFrame:
+    """Rows of ``a`` and ``b`` alike in ``on`` whose units are in order: left < right.
+
+    With more units than one block has, the join is on pairs of blocks as well, so that a period's pairs are many keys.
+    """
+    units = a.agg(F.approx_count_distinct(left)).first()[0] or 0
+    blocks = max(1, -(-units // BLOCK_UNITS))
+    if blocks == 1:
+        return a.join(b, list(on)).where(F.col(left) < F.col(right))
+    own = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = a.withColumn("_a", own(left)).withColumn("_b", every)
+    b = b.withColumn("_b", own(right)).withColumn("_a", every)
+    return a.join(b, [*on, "_a", "_b"]).where(F.col(left) < F.col(right)).drop("_a", "_b")
+
+
+def prepare_price_pair(panel: DataFrame, first: str, second: str, clean_first: bool = True, value: str = "price", market: str = "market", ts: str = "date") -> DataFrame:
+    """(ts, y, x) of two markets: outliers replaced, each series made stationary, aligned on dates (D3).
+
+    The transformation of each series is the first that its unit root tests call stationary, see ``unitroot.make_stationary``.
+    """
+    from bazaarlens.operators import clean, unitroot  # they build on this module's siblings
+
+    rows = panel.where(F.col(market).isin(first, second)).select(market, ts, F.col(value).cast("double").alias(value))
+    if clean_first:
+        rows = clean.replace_outliers(rows, value, "median", keys=[market], order=[ts])
+        rows = unitroot.make_stationary(rows, [market], [ts], value).select(market, ts, F.col("x").alias(value))
+    side = lambda m: rows.where(F.col(market) == m)
+    return align(side(first), side(second), [ts], value, value)
+
+
 def price_ratios(panel: DataFrame, value: str = "price", market: str = "market", ts: str = "date", group_by: Sequence[str] = ()) -> DataFrame:
     """(pair_id, ts[, group], ratio): price of the first market over that of the second."""
     return market_pairs(panel, value, market, ts, group_by).select("pair_id", "ts", *group_by, F.try_divide("y", "x").alias("ratio"))
@@ -63,6 +99,10 @@ def merge_conflict(markets: DataFrame, events: DataFrame, threshold: float = 10_
     return out.crossJoin(F.broadcast(most)).withColumn("conflict_intensity_normalized", F.coalesce(F.col("conflict_intensity") / F.when(F.col("_most") > 0, F.col("_most")), F.lit(0.0))).drop("_most")
 
 
+#: Break dates of a series without keys at most: its intervals are broadcast.
+MOST_BREAKS = 10_000
+
+
 def regimes(series: DataFrame, breaks: DataFrame, ts: str = "date", keys: Sequence[str] = ()) -> DataFrame:
     """Rows with the regime they fall in (D5): intervals between consecutive break dates, both ends included.
 
@@ -70,12 +110,14 @@ def regimes(series: DataFrame, breaks: DataFrame, ts: str = "date", keys: Sequen
     """
     bounds = series.groupBy(*keys).agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
     dates = breaks.select(*keys, F.col("break_date").alias("d")).distinct()
-    inner = dates.join(bounds, list(keys)).where("d > lo and d < hi").select(*keys, "d") if keys else dates.crossJoin(bounds).where("d > lo and d < hi").select("d")
+    inner = dates.join(bounds, list(keys)).where("d > lo and d < hi").select(*keys, "d") if keys else dates.crossJoin(F.broadcast(bounds)).where("d > lo and d < hi").select("d")  # one row
+    if not keys and dates.count() > MOST_BREAKS:
+        raise ValueError(f"more than {MOST_BREAKS} break dates without keys")
     points = inner.unionByName(bounds.select(*keys, F.col("lo").alias("d"))).unionByName(bounds.select(*keys, F.col("hi").alias("d"))).distinct()
     order = Window.partitionBy(*keys).orderBy("d") if keys else Window.partitionBy(F.lit(0)).orderBy("d")  # dates of breaks only
     spans = points.withColumn("end", F.lead("d").over(order)).withColumn("regime", F.row_number().over(order)).where("end is not null").withColumnRenamed("d", "start")
     inside = F.col(ts).between(F.col("start"), F.col("end"))
-    return (series.join(spans, list(keys)).where(inside) if keys else series.join(spans, inside)).drop("start", "end")
+    return (series.join(spans, list(keys)).where(inside) if keys else series.join(F.broadcast(spans), inside)).drop("start", "end")
 
 
 def attach_first(series: DataFrame, spatial: DataFrame, key: str = "market", order: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import dist
+from bazaarlens.operators.joins import unit_pairs
 from bazaarlens.operators.ols import CONST, grouped_ols, with_residuals
 from bazaarlens.plans.lineage import saved
 
@@ -24,8 +25,12 @@ def prepare(data: DataFrame, y: str, xs: Sequence[str], entity: str = "market",
     return rows
 
 
-def _demeaned(panel: DataFrame, columns: Sequence[str], entity: bool, time: bool, tolerance: float = 1e-10, most: int = 100) -> DataFrame:
-    """Columns less their entity (and time) means.  Two ways take turns until the means vanish; a balanced panel needs one turn."""
+def _demeaned(panel: DataFrame, columns: Sequence[str], entity: bool, time: bool, tolerance: float = 1e-10, most: int = 1000) -> DataFrame:
+    """Columns less their entity (and time) means.
+
+    Two ways take turns until the means vanish; a balanced panel needs one turn.  An error is raised where ``most`` turns
+    leave means: such a panel falls into parts that hardly share periods.
+    """
     by = ([Window.partitionBy("entity")] if entity else []) + ([Window.partitionBy("time")] if time else [])
     now = panel
     for turn in range(most):
@@ -38,7 +43,7 @@ def _demeaned(panel: DataFrame, columns: Sequence[str], entity: bool, time: bool
         left = now.groupBy("entity").agg(*[F.abs(F.avg(c)).alias(c) for c in columns]).agg(*[F.max(c).alias(c) for c in columns]).first()
         if all((left[c] or 0) <= tolerance * max(size[c] or 0, 1e-300) for c in columns):
             return now
-    return now
+    raise ArithmeticError(f"entity and time means are still there after {most} turns")
 
 
 def counts(panel: DataFrame) -> tuple[int, int, int]:
@@ -180,7 +185,7 @@ def cross_section_dependence(panel: DataFrame, y: str, xs: Sequence[str], kind:
     """(statistic, p, n_pairs): Pesaran's CD or the Breusch-Pagan LM over residual correlations of entities."""
     e = _pooled_residuals(panel, y, xs).select("entity", "time", "_e")
     other = e.select(F.col("entity").alias("o"), "time", F.col("_e").alias("_f"))
-    rho = e.join(other, "time").where("entity < o").groupBy("entity", "o").agg(F.corr("_e", "_f").alias("r"), F.count("*").cast("double").alias("t")).where("r is not null and t >= 3")
+    rho = unit_pairs(e, other, ["time"], "entity", "o").groupBy("entity", "o").agg(F.corr("_e", "_f").alias("r"), F.count("*").cast("double").alias("t")).where("r is not null and t >= 3")
     if kind == "cd":
         out = rho.agg(F.sum(F.sqrt("t") * F.col("r")).alias("s"), F.count("*").alias("n_pairs")).withColumn("statistic", F.col("s") / F.sqrt("n_pairs"))
         return out.select("statistic", dist.normal_p("statistic").alias("p"), "n_pairs")

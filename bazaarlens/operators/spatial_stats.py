@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaarlens.functions import dist
-from bazaarlens.operators import describe, weights
+from bazaarlens.functions import dist, draws
+from bazaarlens.operators import clean, describe, weights
 from bazaarlens.operators.ols import grouped_ols
 from bazaarlens.plans.lineage import saved
 
@@ -41,19 +43,44 @@ def moran(edges: DataFrame, data: DataFrame, value: str, key: str = "market", by
     out = _join(size, cross, by).select(*by, "n", i.alias("moran"), (-1.0 / (F.col("n") - 1)).alias("expected"))
     if not permutations:
         return out
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("id")))
-    turns = ranked.select(*by, "id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    turns = turns.withColumn("place", F.row_number().over(Window.partitionBy(*by, "rep").orderBy(F.xxhash64(F.lit(seed), "rep", *by, "id"), "id")))
-    shuffled = turns.join(ranked.select(*by, "place", "z"), [*by, "place"]).select(*by, "rep", "id", "z")
-    keys = [*by, "rep"]
-    c = _both(edges, shuffled, keys, ["z"]).groupBy(*keys).agg(F.sum(F.col("w") * F.col("z1") * F.col("z2")).alias("c"), F.sum("w").alias("s0"))
-    sims = _join(c, size, by).select(*by, (F.col("n") / F.col("s0") * F.col("c") / F.nullif(F.col("zz"), F.lit(0.0))).alias("sim"))
+    sims = _permuted(edges, rows, by, permutations, seed)
     sims = _join(sims, out, by)
     tail = sims.groupBy(*by).agg(F.count_if(F.col("sim") >= F.col("moran")).alias("up"), F.count("*").alias("r"), F.avg("sim").alias("m"), F.stddev_pop("sim").alias("s"), F.first("moran").alias("i"))
     least = F.least("up", F.col("r") - F.col("up"))
     return _join(out, tail.select(*by, ((least + 1) / (F.col("r") + 1)).alias("p_sim"), ((F.col("i") - F.col("m")) / F.nullif(F.col("s"), F.lit(0.0))).alias("z_sim")), by)
 
 
+#: Permutations that one task draws at once.
+PERMUTATIONS = 128
+
+
+def _permuted(edges: DataFrame, rows: DataFrame, by: Sequence[str], n: int, seed: int) -> DataFrame:
+    """(by, sim): Moran's I of n permutations of the values among the units.
+
+    A period's values and its edges, by place in the order of ids, are two arrays, which are sent once per PERMUTATIONS: rows
+    are not multiplied by the permutations.  The arrays of a period have to fit in a task.
+    """
+    units = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("id", "z"))).alias("u"))
+    here = _both(edges, rows, by, ["z"]).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("src", "dst", "w"))).alias("e"))
+    key = F.xxhash64(*by) if by else F.lit(0).cast("long")
+    both = _join(units, here, by).select(*by, key.alias("h"), F.col("u.id").alias("ids"), F.col("u.z").alias("z"), F.col("e.src").alias("src"), F.col("e.dst").alias("dst"), F.col("e.w").alias("w"))
+    blocks = both.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(PERMUTATIONS)))).repartition(*by, "first")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.to_dict("records"):
+                place = {x: i for i, x in enumerate(r["ids"])}
+                src, dst = (np.fromiter((place[x] for x in r[c]), np.int64, len(r[c])) for c in ("src", "dst"))
+                z, w = np.asarray(r["z"], float), np.asarray(r["w"], float)
+                drawn = z[draws.permutations(seed, r["h"], np.arange(r["first"], min(r["first"] + PERMUTATIONS, n)), len(z))]
+                scale = w.sum() * (z @ z)
+                sims = len(z) * (drawn[:, src] * drawn[:, dst] * w).sum(1) / scale if scale else np.full(len(drawn), np.nan)
+                yield pd.DataFrame({**{k: [r[k]] * len(sims) for k in by}, "sim": sims})
+
+    head = "".join(f"`{c}` {t}, " for c, t in rows.select(*by).dtypes)
+    return blocks.mapInPandas(run, f"{head}sim double").withColumn("sim", F.nanvl("sim", F.lit(None).cast("double")))
+
+
 def geary(edges: DataFrame, data: DataFrame, value: str, key: str = "market", by: Sequence[str] = ()) -> DataFrame:
     """(by, n, geary)."""
     rows = _centred(data, value, key, by)
@@ -74,8 +101,10 @@ def local_moran(edges: DataFrame, data: DataFrame, value: str, key: str = "marke
     out = out.select(*by, "id", "z", (F.col("z") * F.col("l") * scale).alias("local_moran"), quadrant.alias("quadrant"), "n", "zz")
     if not permutations:
         return out.drop("z", "n", "zz")
-    place = Window.partitionBy(*by).orderBy("id")
-    ranked = rows.withColumn("place", F.row_number().over(place) - 1).select(*by, "id", "place", "z")
+    if by:
+        ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("id")) - 1).select("id", *by, "place", "z")
+    else:
+        ranked = rows.select("id", "z").join(clean.ranked(rows.select("id"), "id").withColumnRenamed("_rank", "place"), "id")
     present = _both(edges, rows, by).select(*by, "src", "dst", "w")
     numbered = present.withColumn("k", F.row_number().over(Window.partitionBy(*by, "src").orderBy("dst")))
     wide = numbered.join(ranked.select(*by, F.col("id").alias("src"), F.col("place").alias("own")), [*by, "src"])

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaarlens.functions import dist
+from bazaarlens.functions import dist, draws
 from bazaarlens.operators import coint, features, joins, unitroot
 from bazaarlens.operators.ols import complete, gram, grouped_ols, inverse, restriction_f, unpack
 from bazaarlens.operators.unitroot import _head
@@ -106,6 +106,7 @@ def search(rows: DataFrame, keys: Sequence[str], others: Sequence[str], ys: Sequ
     return best.select(*keys, F.col("m.q").alias("threshold"), F.col("m.ssr").alias("ssr"), F.col("m.ssr0").alias("ssr0"), F.col("m.n_obs").alias("n_obs"))
 
 
+METHODS = ("grid", "hansen_seo", "adaptive")
 FIT = ["model", "threshold", "fixed", "rho_above", "rho_below", "se_above", "se_below", "p_above", "p_below", "const", "f", "p_f", "r2", "adj_r2", "ssr", "aic", "bic", "n_obs", "df", "coef", "cov", "status"]
 
 
@@ -126,10 +127,12 @@ def fit(residual: DataFrame, mode: str = "standard", keys: Sequence[str] = KEYS,
     """One row per pair (H7, H17, H21): mode standard, fixed (tau = 0 unless given) or mtar.
 
     ``method`` (H8-H11): grid takes the thinned grid; hansen_seo and adaptive refine a grid to the best of all order
-    statistics, which is what the full search finds; an unknown name is taken for grid.
+    statistics, which is what the full search finds.
     """
     if mode not in ("standard", "fixed", "mtar"):
         raise ValueError(f"unknown mode {mode}")
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}")
     rows = saved(prepare(residual, keys, order, max_lags, momentum if mode == "mtar" else "level", lag))
     least = 2 * (max_lags + 2) + 3
     counts = residual.groupBy(*keys).agg(F.count("*").alias("n_series"))
@@ -156,99 +159,98 @@ def likelihood_ratio(residual: DataFrame, fits: DataFrame, keys: Sequence[str] =
     return out.select(*keys, "lr", dist.chi2_p("lr", F.lit(1.0)).alias("p_lr"))
 
 
-def draws(rows: DataFrame, keys: Sequence[str], order: Sequence[str], fitted: str, residual: str, n: int, kind: str = "nonparametric", seed: int = 0) -> DataFrame:
-    """Rows times replicates with ``y*`` = fit + drawn error; draws are hashes of seed, replicate, key and place.
+#: Replicates that one task draws at once.
+REPLICATES = 128
 
-    nonparametric resamples the pair's errors, parametric draws normals of their size, wild flips their signs.
+
+def replicated(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], n: int, extra: Sequence[str] = ()) -> DataFrame:
+    """(keys, extra, h, v, first, last): a series as one array of rows, and the replicates [first, last) that a task takes.
+
+    A series and its replicates are drawn in numpy from the array, which is sent once per REPLICATES of them: rows are not
+    multiplied by the replicates, and no error is fetched by a join.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    base = rows.withColumns({"i": F.row_number().over(w), "n_rows": F.count("*").over(Window.partitionBy(*keys)), "sd": F.stddev_pop(residual).over(Window.partitionBy(*keys))})
-    wide = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    h = F.xxhash64(F.lit(seed), "rep", *keys, "i")
-    if kind == "nonparametric":
-        wide = wide.withColumn("j", (F.pmod(h, F.col("n_rows")) + 1).cast("int"))
-        pool = base.select(*keys, F.col("i").alias("j"), F.col(residual).alias("e_star"))
-        wide = wide.join(pool, [*keys, "j"]).drop("j")
-    elif kind == "wild":
-        wide = wide.withColumn("e_star", F.when(h % 2 == 0, F.col(residual)).otherwise(-F.col(residual)))
-    elif kind == "parametric":
-        u = (F.pmod(h, F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        wide = wide.withColumn("e_star", F.col("sd") * dist.normal_quantile(u))
-    else:
-        raise ValueError(f"unknown draws {kind}")
-    return wide.withColumn("y_star", F.col(fitted) + F.col("e_star"))
+    series = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, F.array(*[F.col(c).cast("double") for c in columns]).alias("v")))).alias("s"), *[F.first(c).alias(c) for c in extra])
+    blocks = series.select(*keys, *extra, F.xxhash64(*keys).alias("h"), F.col("s.v").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(REPLICATES))).alias("first"))
+    return blocks.withColumn("last", F.least(F.col("first") + REPLICATES, F.lit(n))).repartition(*keys, "first")
+
 
+def _projected(basis: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared lengths of the rows of y outside the space of an orthonormal basis."""
+    return (y * y).sum(1) - ((y @ basis) ** 2).sum(1)
 
-def _fits_of(rows: DataFrame, keys: Sequence[str], base: DataFrame, xs: Sequence[str], ys: Sequence[str]) -> DataFrame:
-    """``fit_<y>`` and ``err_<y>`` of regressions of each y on 1 and xs."""
-    out = rows
-    for y in ys:
-        fits = grouped_ols(base, keys, y, list(xs)).where("status = 'ok'").select(*keys, F.col("coef").alias("c"))
-        fitted = reduce(lambda a, b: a + b, [F.element_at("c", x) * F.col(x) for x in xs], F.element_at("c", "const"))
-        out = out.join(fits, list(keys)).withColumn(f"fit_{y}", fitted).withColumn(f"err_{y}", F.col(y) - F.col(f"fit_{y}")).drop("c")
-    return out
+
+def _tail(stars: DataFrame, keys: Sequence[str], seen: str, star: str) -> DataFrame:
+    """(keys, seen, p_boot, crit, n_boot) of replicates of a statistic."""
+    q = F.percentile(star, F.array(F.lit(0.9), F.lit(0.95), F.lit(0.99)))
+    crit = F.create_map(F.lit("90%"), q[0], F.lit("95%"), q[1], F.lit("99%"), q[2])
+    return stars.groupBy(*keys).agg(F.first(seen).alias(seen), F.avg((F.col(star) > F.col(seen)).cast("double")).alias("p_boot"), crit.alias("crit"), F.count("*").alias("n_boot"))
 
 
 def bootstrap(residual: DataFrame, fits: DataFrame, n: int = 1000, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, max_lags: int = 4, regime: str = "level", lag: int = 1, kind: str = "nonparametric", base: str = "linear", seed: int = 0) -> DataFrame:
     """(keys, f_obs, p_boot, crit, n_boot): residual bootstrap of F at the fitted threshold.
 
-    Errors come from the linear null (``base`` linear) or from the threshold fit (threshold) around the linear fit.
-    The regressors stay; a replicate needs only their products with y*, so a (pair, replicate) is one aggregated row.
+    Errors come from the linear null (``base`` linear) or from the threshold fit (threshold) around the linear fit; see
+    ``draws.errors`` for the kinds.  The regressors stay, so a replicate is a projection on two fixed bases.
     """
+    if kind not in ("nonparametric", "wild", "parametric"):
+        raise ValueError(f"unknown draws {kind}")
     others = _lag_names(max_lags)
     rows = prepare(residual, keys, order, max_lags, regime, lag).select(*keys, *order, "dz", "z1", "q", *others)
     rows = rows.join(fits.where("status = 'ok'").select(*keys, "threshold", F.col("f").alias("f_obs")), list(keys))
-    up = F.col("q") >= F.col("threshold")
-    rows = rows.withColumns({ABOVE: F.when(up, F.col("z1")).otherwise(0.0), BELOW: F.when(up, 0.0).otherwise(F.col("z1"))})
-    rows = saved(rows)
-    null = _fits_of(rows, keys, rows, ["z1", *others], ["dz"])
-    if base == "threshold":
-        null = _fits_of(null.drop("err_dz").withColumnRenamed("fit_dz", "fit0"), keys, rows, [ABOVE, BELOW, *others], ["dz"]).drop("fit_dz").withColumnRenamed("fit0", "fit_dz")
-    names = ["one", ABOVE, BELOW, *others]
-    wide = draws(saved(null.withColumn("one", F.lit(1.0))), keys, order, "fit_dz", "err_dz", n, kind, seed)
-    reps = wide.groupBy(*keys, "rep").agg(F.array(*[F.sum(F.col(c) * F.col("y_star")) for c in names]).alias("xy"), F.sum(F.col("y_star") ** 2).alias("yy"))
-    fixed = rows.withColumn("one", F.lit(1.0)).groupBy(*keys).agg(gram([F.col(c) for c in names]).alias("g"), F.count("*").alias("n_obs"), F.first("f_obs").alias("f_obs"))
-    m = len(names)
+    blocks = replicated(rows, keys, order, ["dz", "z1", "q", *others], n, ["threshold", "f_obs"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if not len(frame):
-                continue
-            x = unpack(np.array(frame["g"].tolist(), float), m)
-            xy, yy = np.array(frame["xy"].tolist(), float), frame["yy"].to_numpy(float)
-            # the null has the sum of the two regime columns instead of both
-            join = np.zeros((m, m - 1))
-            join[0, 0] = join[1, 1] = join[2, 1] = 1
-            for j in range(3, m):
-                join[j, j - 1] = 1
-            ssr = []
-            for t in (join, np.eye(m)):
-                xx, v = t.T @ x @ t, xy @ t
-                inv, _ = inverse(xx.copy())
-                beta = np.einsum("nij,nj->ni", inv, v)
-                beta += np.einsum("nij,nj->ni", inv, v - np.einsum("nij,nj->ni", xx, beta))
-                ssr.append(yy - 2 * np.einsum("ni,ni->n", beta, v) + np.einsum("ni,nij,nj->n", beta, xx, beta))
-            df = frame["n_obs"].to_numpy() - m
-            yield frame[[*keys, "rep", "f_obs"]].assign(f_star=(ssr[0] - ssr[1]) / (ssr[1] / df))
-
-    stars = reps.join(fixed, list(keys)).mapInPandas(run, f"{_head(rows, keys)}, rep int, f_obs double, f_star double")
-    q = F.percentile("f_star", F.array(F.lit(0.9), F.lit(0.95), F.lit(0.99)))
-    crit = F.create_map(F.lit("90%"), q[0], F.lit("95%"), q[1], F.lit("99%"), q[2])
-    return stars.groupBy(*keys).agg(F.first("f_obs").alias("f_obs"), F.avg((F.col("f_star") > F.col("f_obs")).cast("double")).alias("p_boot"), crit.alias("crit"), F.count("*").alias("n_boot"))
+            for r in frame.to_dict("records"):
+                v = np.stack(r["v"])
+                y, z1, lags, one = v[:, 0], v[:, 1], v[:, 3:], np.ones((len(v), 1))
+                up = v[:, 2] >= r["threshold"]
+                null = np.linalg.qr(np.hstack([one, z1[:, None], lags]))[0]
+                full = np.linalg.qr(np.hstack([one, np.where(up, z1, 0)[:, None], np.where(up, 0, z1)[:, None], lags]))[0]
+                fitted = null @ (null.T @ y)
+                error = y - (full @ (full.T @ y) if base == "threshold" else fitted)
+                reps = np.arange(r["first"], r["last"])
+                star = fitted + draws.errors(kind, error, seed, r["h"], reps)
+                ssr0, ssr1 = _projected(null, star), _projected(full, star)
+                f = (ssr0 - ssr1) / (ssr1 / (len(v) - full.shape[1]))
+                yield pd.DataFrame({**{k: [r[k]] * len(f) for k in keys}, "f_obs": r["f_obs"], "f_star": f})
+
+    return _tail(blocks.mapInPandas(run, f"{_head(rows, keys)}, f_obs double, f_star double"), keys, "f_obs", "f_star")
 
 
 def sup_lm(residual: DataFrame, n: int = 1000, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, max_lags: int = 4, trim: float = 0.15, n_grid: int = 100, seed: int = 0) -> DataFrame:
-    """(keys, sup_lm, threshold, p_boot, crit): n (SSR0 - SSR1) / SSR0 at its largest, against resampled nulls."""
+    """(keys, threshold, sup_lm, p_boot, crit): n (SSR0 - SSR1) / SSR0 at its largest, against resampled nulls.
+
+    The candidates don't change with the replicate: the part of each candidate's regressor that the null leaves is found
+    once, and a replicate's fall in squares is its squared product with it.
+    """
     others = _lag_names(max_lags)
     rows = saved(prepare(residual, keys, order, max_lags).select(*keys, *order, "dz", "z1", "q", *others))
     value = F.col("n_obs") * (F.col("ssr0") - F.col("ssr")) / F.col("ssr0")
     seen = search(rows, keys, others, trim=trim, n_grid=n_grid, order=order).select(*keys, "threshold", value.alias("sup_lm"))
-    null = saved(_fits_of(rows, keys, rows, ["z1", *others], ["dz"]))
-    wide = draws(null, keys, order, "fit_dz", "err_dz", n, "nonparametric", seed).select(*keys, "rep", *order, F.col("y_star").alias("dz"), "z1", "q", *others)
-    stars = search(wide, [*keys, "rep"], others, trim=trim, n_grid=n_grid, order=order).select(*keys, value.alias("star"))
-    joined = stars.join(seen, list(keys))
-    q = F.percentile("star", F.array(F.lit(0.9), F.lit(0.95), F.lit(0.99)))
-    return joined.groupBy(*keys, "threshold", "sup_lm").agg(F.avg((F.col("star") > F.col("sup_lm")).cast("double")).alias("p_boot"), F.create_map(F.lit("90%"), q[0], F.lit("95%"), q[1], F.lit("99%"), q[2]).alias("crit"))
+    blocks = replicated(rows.join(seen, list(keys)), keys, order, ["dz", "z1", "q", *others], n, ["threshold", "sup_lm"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.to_dict("records"):
+                v = np.stack(r["v"])
+                y, z1, q, size = v[:, 0], v[:, 1], v[:, 2], len(v)
+                null = np.linalg.qr(np.hstack([np.ones((size, 1)), z1[:, None], v[:, 3:]]))[0]
+                lo, hi = int(size * trim), int(size * (1 - trim))
+                step = max(1, -(-(hi - lo) // n_grid))
+                ranked = np.sort(q)
+                places = [i for i in range(lo, hi, step) if i == 0 or ranked[i] != ranked[i - 1]]
+                fitted = null @ (null.T @ y)
+                star = fitted + draws.errors("nonparametric", y - fitted, seed, r["h"], np.arange(r["first"], r["last"]))
+                part = np.where(q[:, None] < ranked[places][None, :], z1[:, None], 0.0)
+                part -= null @ (null.T @ part)
+                length = (part * part).sum(0)
+                part = part[:, length > 1e-9 * (z1 @ z1)]
+                gain = ((star @ part) ** 2 / (part * part).sum(0)).max(1, initial=0.0)
+                yield pd.DataFrame({**{k: [r[k]] * len(gain) for k in keys}, "threshold": r["threshold"], "sup_lm": r["sup_lm"], "star": size * gain / _projected(null, star)})
+
+    stars = blocks.mapInPandas(run, f"{_head(rows, keys)}, threshold double, sup_lm double, star double")
+    return _tail(stars, [*keys, "threshold"], "sup_lm", "star").drop("n_boot")
 
 
 def asymmetry(fits: DataFrame, keys: Sequence[str] = KEYS, n_boot: int = 0, seed: int = 0) -> DataFrame:
@@ -302,20 +304,26 @@ def tvecm_bootstrap(pairs: DataFrame, n: int = 1000, keys: Sequence[str] = KEYS,
     rows, others = _vecm_rows(pairs, keys, order, k_ar_diff, deterministic)
     rows = saved(rows.select(*keys, *order, "dy", "dx", "z1", "q", *others))
     taus = saved(search(rows, keys, others, ("dy", "dx"), trim, order=order)).select(*keys, "threshold")
-    rows = rows.join(taus, list(keys))
-    up = F.col("q") >= F.col("threshold")
-    rows = saved(rows.withColumns({ABOVE: F.when(up, F.col("z1")).otherwise(0.0), BELOW: F.when(up, 0.0).otherwise(F.col("z1"))}))
-    null = saved(_fits_of(rows, keys, rows, ["z1", *others], ["dy", "dx"]))
-    parts = []
-    for e in ("dy", "dx"):
-        stars = draws(null, keys, order, f"fit_{e}", f"err_{e}", n, "nonparametric", seed)
-        both = stars.select(*keys, "rep", "y_star", ABOVE, BELOW, *others)
-        at = [*keys, "rep"]
-        f = lambda df, k, y: grouped_ols(df, k, y, [ABOVE, BELOW, *others]).select(*k, restriction_f(F.col("cov"), F.col("coef"), ["const", ABOVE, BELOW, *others], ABOVE, BELOW).alias("f"))
-        parts.append((f(rows, keys, e), f(both, at, "y_star")))
-    seen = parts[0][0].unionAll(parts[1][0]).groupBy(*keys).agg(F.max("f").alias("f_obs"))
-    star = parts[0][1].unionAll(parts[1][1]).groupBy(*keys, "rep").agg(F.max("f").alias("f_star"))
-    return star.join(seen, list(keys)).groupBy(*keys, "f_obs").agg(F.avg((F.col("f_star") > F.col("f_obs")).cast("double")).alias("p_boot"), F.count("*").alias("n_boot"))
+    blocks = replicated(rows.join(taus, list(keys)), keys, order, ["dy", "dx", "z1", "q", *others], n, ["threshold"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.to_dict("records"):
+                v = np.stack(r["v"])
+                z1, lags, one = v[:, 2], v[:, 4:], np.ones((len(v), 1))
+                up = v[:, 3] >= r["threshold"]
+                null = np.linalg.qr(np.hstack([one, z1[:, None], lags]))[0]
+                full = np.linalg.qr(np.hstack([one, np.where(up, z1, 0)[:, None], np.where(up, 0, z1)[:, None], lags]))[0]
+                df = len(v) - full.shape[1]
+                f = lambda y: (_projected(null, y) / _projected(full, y) - 1) * df  # noqa: B023, E731
+                reps, seen, star = np.arange(r["first"], r["last"]), -np.inf, None
+                for y in (v[:, 0], v[:, 1]):
+                    fitted = null @ (null.T @ y)
+                    found = f(fitted + draws.errors("nonparametric", y - fitted, seed, r["h"], reps))
+                    seen, star = max(seen, float(f(y[None, :])[0])), found if star is None else np.maximum(star, found)
+                yield pd.DataFrame({**{k: [r[k]] * len(star) for k in keys}, "f_obs": seen, "f_star": star})
+
+    return _tail(blocks.mapInPandas(run, f"{_head(rows, keys)}, f_obs double, f_star double"), keys, "f_obs", "f_star").drop("crit")
 
 
 def fit_pairs(pairs: DataFrame, mode: str = "standard", **options) -> DataFrame:

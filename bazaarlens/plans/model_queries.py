@@ -182,18 +182,18 @@ def h9_tar_hansen_seo(spark, sf_dir):
 @query()
 def h12_bootstrap(spark, sf_dir):
     z = saved(coint.residuals(pairs(spark, sf_dir)))
-    return flat(threshold.bootstrap(z, saved(threshold.fit(z)), 49))
+    return flat(threshold.bootstrap(z, saved(threshold.fit(z)), 1000))
 
 
 @query()
 def h13_bootstrap_wild(spark, sf_dir):
     z = saved(coint.residuals(pairs(spark, sf_dir)))
-    return flat(threshold.bootstrap(z, saved(threshold.fit(z)), 19, kind="wild", base="threshold"))
+    return flat(threshold.bootstrap(z, saved(threshold.fit(z)), 1000, kind="wild", base="threshold"))
 
 
 @query()
 def h14_sup_lm(spark, sf_dir):
-    return flat(threshold.sup_lm(saved(coint.residuals(pairs(spark, sf_dir))), 9))
+    return flat(threshold.sup_lm(saved(coint.residuals(pairs(spark, sf_dir))), 1000))
 
 
 @query()
@@ -214,7 +214,7 @@ def h17_mtar(spark, sf_dir):
 
 @query()
 def h18_asymmetry(spark, sf_dir):
-    return flat(threshold.asymmetry(saved(threshold.fit_pairs(pairs(spark, sf_dir), "mtar")), n_boot=99))
+    return flat(threshold.asymmetry(saved(threshold.fit_pairs(pairs(spark, sf_dir), "mtar")), n_boot=1000))
 
 
 @query()
@@ -224,7 +224,7 @@ def h19_tvecm(spark, sf_dir):
 
 @query()
 def h20_tvecm_bootstrap(spark, sf_dir):
-    return flat(threshold.tvecm_bootstrap(pairs(spark, sf_dir), 9))
+    return flat(threshold.tvecm_bootstrap(pairs(spark, sf_dir), 1000))
 
 
 @query()

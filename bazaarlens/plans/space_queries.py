@@ -121,7 +121,7 @@ def i12_moran(spark, sf_dir):
 
 @query()
 def i12_moran_permutations(spark, sf_dir):
-    return rounded(spatial_stats.moran(edges(spark, sf_dir), panel(spark, sf_dir), "price", by=["date"], permutations=99))
+    return rounded(spatial_stats.moran(edges(spark, sf_dir), panel(spark, sf_dir), "price", by=["date"], permutations=999))
 
 
 @query(CROSS + ", s AS (SELECT sum(w * (a.v - b.v) ** 2) AS c, sum(w) AS s0 FROM e JOIN z a ON src = a.market JOIN z b ON dst = b.market) SELECT count(*) AS n, round((count(*) - 1) * any_value(c) / (2 * any_value(s0) * sum(z * z)), 6) AS geary FROM z, s")
@@ -136,7 +136,7 @@ def i14_local_moran(spark, sf_dir):
 
 @query()
 def i14_local_moran_permutations(spark, sf_dir):
-    return rounded(spatial_stats.local_moran(edges(spark, sf_dir), cross(spark, sf_dir), "price", permutations=99))
+    return rounded(spatial_stats.local_moran(edges(spark, sf_dir), cross(spark, sf_dir), "price", permutations=999))
 
 
 @query(CROSS + ", l AS (SELECT src, sum(w * v) AS l, sum(w) AS wi FROM e JOIN z ON dst = market GROUP BY 1) SELECT market AS id, round(l / ((SELECT sum(v) FROM z) - v), 6) AS g, round(wi / ((SELECT count(*) FROM z) - 1), 6) AS expected FROM z JOIN l ON src = market")

@@ -419,7 +419,7 @@ def e10_cluster_flags(spark, sf_dir):
 
 @query()
 def e11_bootstrap(spark, sf_dir):
-    return rounded(describe.bootstrap(market_panel(spark, sf_dir), "price", "mean", 200, keys=KEYS, order=ORDER))
+    return rounded(describe.bootstrap(market_panel(spark, sf_dir), "price", "mean", 1000, keys=KEYS, order=ORDER))
 
 
 @query("""WITH s AS (SELECT min(value) AS a, max(value) AS b FROM events) SELECT CAST(k AS INT) AS bin, round(a + (k - 1) * (b - a) / 20, 6) AS lo, round(a + k * (b - a) / 20, 6) AS hi, count(*) AS n
