@@ -52,16 +52,16 @@ def unit_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], left: str, right:
     return a.join(b, [*on, "_a", "_b"]).where(F.col(left) < F.col(right)).drop("_a", "_b")
 
 
-def prepare_price_pair(panel: DataFrame, first: str, second: str, clean_first: bool = True, value: str = "price", market: str = "market", ts: str = "date") -> DataFrame:
+def prepare_price_pair(panel: DataFrame, first: str, second: str, clean: bool = True, value: str = "price", market: str = "market", ts: str = "date") -> DataFrame:
     """(ts, y, x) of two markets: outliers replaced, each series made stationary, aligned on dates (D3).
 
     The transformation of each series is the first that its unit root tests call stationary, see ``unitroot.make_stationary``.
     """
-    from bazaarlens.operators import clean, unitroot  # they build on this module's siblings
+    from bazaarlens.operators import clean as cleaning, unitroot  # they build on this module's siblings
 
     rows = panel.where(F.col(market).isin(first, second)).select(market, ts, F.col(value).cast("double").alias(value))
-    if clean_first:
-        rows = clean.replace_outliers(rows, value, "median", keys=[market], order=[ts])
+    if clean:
+        rows = cleaning.replace_outliers(rows, value, "median", keys=[market], order=[ts])
         rows = unitroot.make_stationary(rows, [market], [ts], value).select(market, ts, F.col("x").alias(value))
     side = lambda m: rows.where(F.col(market) == m)
     return align(side(first), side(second), [ts], value, value)
