@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import U64, buffers, mix
 
 START, END = 2, 3
+_C = ctypes.CDLL(None)
 #: Distinct words whose n-grams are laid out at once.
 SLICE = 1 << 15
 
@@ -62,6 +64,14 @@ def gram_sums(words: pa.Array, sizes: tuple[int, ...], values: np.ndarray) -> np
     return np.concatenate(parts) if parts else np.zeros((0, *values.shape[1:]))
 
 
+def give_back() -> None:
+    """Free memory goes back to the system, as a worker stays for other tasks beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_C, "malloc_trim", None)
+    if trim is not None:  # the GNU library
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], step: int, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``step`` bytes of text, or one row."""
     for whole in batches:
@@ -71,7 +81,7 @@ def pieces(batches: Iterator[pa.RecordBatch], step: int, column: int = 1) -> Ite
             to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + step, "right")) - 1)
             yield whole.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()  # the worker stays for other tasks
+        give_back()
 
 
 def sample(rows: DataFrame, label: str, each: int, text: str = "text", seed: int = 5) -> DataFrame:

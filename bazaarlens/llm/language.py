@@ -31,7 +31,7 @@ LENGTH, BATCH, EPOCHS, RATE = 48, 32, 2, 0.2
 #: A word is in the lexicon of a language if it was seen so often and so purely there; the lexicon has the most frequent ones.
 SEEN, PURITY, LEXICON = 3, 0.9, 1 << 17
 #: Bytes of text that are scored at once, and that sequences are made of at once.
-STEP, LEARNED = 3 << 20, 1 << 19
+STEP, LEARNED = 2 << 20, 1 << 19
 LETTER = regex.compile(r"\p{L}")
 
 

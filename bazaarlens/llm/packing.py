@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import encoded, split_words, table
-from .features import pieces
+from .features import give_back, pieces
 
 LENGTH = 2048
 END_ID = 1
@@ -34,9 +34,9 @@ GROUP_DOCS = 4096
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n^2.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Words and pieces of words whose ids a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 #: Bytes of text whose ids are laid out at once.
-STEP = 4 << 20
+STEP = 2 << 20
 
 #: The pattern by which the tokenizer file splits normalised text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -142,6 +142,7 @@ def _tokenized(path: str, length: int):
                 tails.append(ids[cut:b].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(full, pa.list_(pa.int64())), pa.array(tails, pa.binary())], names=["doc_id", "n_tokens", "full", "tail"])
         tokenizer(path).forget()
+        give_back()
 
     return run
 
