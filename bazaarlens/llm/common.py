@@ -22,8 +22,9 @@ CHUNK_BYTES = 2 << 20
 #: Raw text bytes behind one bucket of a shuffled census.
 BUCKET_BYTES = 32 << 20
 
-#: Raw text bytes behind one partition of a shuffle.
-PARTITION_BYTES = 16 << 20
+#: Raw text bytes behind one partition of a shuffle, until there are so many partitions; a task takes its groups one by one, so
+#: that a large partition needs no more memory.
+PARTITION_BYTES, MOST_PARTITIONS = 64 << 20, 100_000
 
 U64 = np.uint64
 
@@ -114,7 +115,7 @@ def chunked(docs: DataFrame, total: int, chunk_bytes: int = CHUNK_BYTES) -> Data
 
 def partitions_for(spark: SparkSession, total: int) -> int:
     """Shuffle partitions for work that grows with ``total`` bytes of text: the session's number, or more for large inputs."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PARTITION_BYTES))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, math.ceil(total / PARTITION_BYTES)))
 
 
 def buckets_for(total: int) -> int:
