@@ -151,9 +151,22 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch(s) for s in shingle_sets(part.column(1))], pa.binary())], names=["node", "sketch"])
 
 
-def sketches(texts_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, sketch) of ``nodes``."""
-    return texts_.join(nodes, "node", "left_semi").mapInArrow(_sketched, "node long, sketch binary")
+def sketches(texts_: DataFrame) -> DataFrame:
+    """(node, sketch)."""
+    return texts_.mapInArrow(_sketched, "node long, sketch binary")
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
+        keep = pa.array(np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= APART)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+
+
+def near(pairs: DataFrame, sketches_: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sketches differ in at most APART bits."""
+    both = pairs.join(sketches_.toDF("u", "a"), "u").join(sketches_.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    return both.mapInArrow(_near, "u long, v long")
 
 
 def similar(pairs: DataFrame, texts_: DataFrame) -> DataFrame:

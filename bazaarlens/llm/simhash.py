@@ -13,8 +13,8 @@ bits and in up to WIDE; blocks of bits are no shards for so wide a radius, so sh
 bands of ROWS minima, which a pair at 0.8 misses with a chance of (1 - 0.8^ROWS)^BANDS = 1.3e-7.  In a shard the fingerprints
 within the radius are candidates, and the sets themselves decide.  First every member is tried with one of its shard, then,
 where members are still in different components, with another one (every band has a shard of its own, so a text is tried
-with many); for what is left BK-trees over the shard find all pairs across components, of which a sketch of 1024 more minima
-rules out most that the sets would.  So each pair that meets is compared
+with many, by a sketch of 1024 more minima before the sets); for what is left BK-trees over the shard find all pairs across components, of which the sketch rules out most that the sets would.
+So each pair that meets is compared
 or already linked, and a group of copies that are alike in part costs no more than some stars.
 """
 
@@ -177,7 +177,7 @@ def _across(radius: int):
         forest = Forest(values[inside], shard[inside])
         own, lists = rows["own_bucket"].to_numpy(), rows["buckets"].combine_chunks()
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        in_buckets = np.full((len(own), int(sizes.max(initial=1))), -(2**63))  # no bucket's number
+        in_buckets = np.full((len(own), int(sizes.max(initial=1))), -(2**31), np.int32)  # no bucket's number
         in_buckets[np.repeat(np.arange(len(own)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy()
         found = [np.zeros((0, 2), np.int64)]
         for at in range(0, len(values), PAIRED):
@@ -193,8 +193,8 @@ def _across(radius: int):
             first = np.zeros(len(q), bool)
             for i in range(0, len(q), SLICE):
                 a, b = in_buckets[q[i : i + SLICE]], in_buckets[n[i : i + SLICE]]
-                shared = ((a[:, :, None] == b[:, None, :]) & (a != -(2**63))[:, :, None]).any(2)
-                first[i : i + SLICE] = np.where(shared, a, 2**63 - 1).min(1) == own[q[i : i + SLICE]]
+                shared = ((a[:, :, None] == b[:, None, :]) & (a != -(2**31))[:, :, None]).any(2)
+                first[i : i + SLICE] = np.where(shared, a, 2**31 - 1).min(1) == own[q[i : i + SLICE]]
             u, v = node[q[first]], node[n[first]]
             found.append(np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0))
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -240,11 +240,13 @@ def _spread(rows: DataFrame, shard: list[str], own: str, nodes: int) -> DataFram
     """
     counted = rows.groupBy(*shard).count().where(F.col("count") > nodes)
     sizes = saved(counted.select(*shard, F.ceil(F.col("count") / nodes).cast("int").alias("trees"), F.ceil(F.col("count") / QUERIES).cast("int").alias("slices")))
+    others = [c for c in rows.columns if c not in shard]
+    if sizes.isEmpty():  # one tree each
+        return rows.select(F.xxhash64(*shard).alias("shard"), *others, F.lit(True).alias("member"))
     rows_ = rows.join(sizes, shard, "left").na.fill(1, ["trees", "slices"])
     rows_ = rows_.withColumn("home", F.pmod(F.xxhash64(own), "trees")).withColumn("own", F.pmod(F.xxhash64(own, "trees"), "slices"))
     asked = rows_.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1))).withColumn("slice", F.col("own")).withColumn("member", F.col("tree") == F.col("home"))
     sent = rows_.where("slices > 1").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).where("slice != own").withColumn("tree", F.col("home")).withColumn("member", F.lit(True))
-    others = [c for c in rows.columns if c not in shard]
     return asked.unionByName(sent).select(F.xxhash64(*shard, "tree", "slice").alias("shard"), *others, "member")
 
 
@@ -307,6 +309,7 @@ def similar_texts(docs: DataFrame, radius: int = WIDE, nodes: int = NODES, text:
     met = saved(_stars_of(members, 0))
     members = met.select("bucket", "node", "fp").unionByName(met.select("bucket", F.col("head").alias("node"), F.col("head_fp").alias("fp")).distinct())
     texts = shingles.texts(docs, members.select("node").distinct(), text)
+    sketches = saved(shingles.sketches(texts))
     tried, edges = None, None
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= radius
     pair = [F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")]
@@ -320,15 +323,16 @@ def similar_texts(docs: DataFrame, radius: int = WIDE, nodes: int = NODES, text:
         if turn < TURNS:
             found = (_stars_of(members, turn) if turn else met).where(near & (F.lit(turn == 0) | (F.col("root") != F.col("head_root")))).select(*pair)
         else:
-            own = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
-            sketched = shingles.sketches(texts, own.select("node")).join(own, "node")
-            members = members.join(sketched, "node").withColumn("own_bucket", F.col("bucket"))
+            # a bucket's number, from 0, is half of its name: two that share it are told twice or by either
+            number = F.shiftrightunsigned("bucket", 33).cast("int")
+            own = members.groupBy("node").agg(F.collect_set(number).alias("buckets"))
+            members = members.join(sketches.join(own, "node"), "node").withColumn("own_bucket", number)
             walked = _spread(members, ["bucket"], "node", nodes).repartition("shard").sortWithinPartitions("shard")
             found = walked.mapInArrow(_probe(_across(radius)), "u long, v long")
         found = found.distinct()
         found = saved(found if tried is None else found.join(tried, ["u", "v"], "left_anti"))
         tried = found if tried is None else tried.unionByName(found)
-        linked = shingles.similar(found, texts)
+        linked = shingles.similar(shingles.near(found, sketches) if turn < TURNS else found, texts)
         edges = components(linked if edges is None else edges.unionByName(linked))
     return edges
 
@@ -340,12 +344,13 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     copies of one text, and one of them stays.  Other columns are carried along whatever their names.
     """
     names = docs.columns
-    row = docs.select(F.col(text).alias("body"), F.col(doc_id).alias("number"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    others = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text])
+    row = docs.select(F.col(text).alias("body"), F.col(doc_id).alias("number"), others.alias("row"))
     roots = similar_texts(docs, text=text).toDF("node", "root")
     rows = shingles.named(row, "body").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = [F.col("number").asc_nulls_last(), F.xxhash64("body"), F.length("body"), F.xxhash64("row")]
     first = rows.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(*order))).where("place = 1")
-    return first.select(*[F.col("row").getField(c).alias(c) for c in names])
+    return first.select(*[(F.col("body") if c == text else F.col("row").getField(f"c{i}")).alias(c) for i, c in enumerate(names)])
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, nodes: int = NODES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
