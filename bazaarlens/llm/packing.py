@@ -34,9 +34,9 @@ GROUP_DOCS = 4096
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n^2.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Words and pieces of words whose ids a task remembers.
-REMEMBERED = 100_000
+REMEMBERED = 250_000
 #: Bytes of text whose ids are laid out at once.
-STEP = 2 << 20
+STEP = 4 << 20
 
 #: The pattern by which the tokenizer file splits normalised text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
