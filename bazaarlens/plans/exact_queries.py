@@ -180,7 +180,7 @@ def i18_transmission_lines(spark, sf_dir):
 
 #: Price and conflict of each market and their spatial lags.
 SPATIAL = f"""{PANEL}, c AS (SELECT market, avg(price) AS p, avg(conflict_intensity) AS x FROM panel GROUP BY 1),
- l AS (SELECT src AS market, sum(w * c.p) AS wp, sum(w * c.x) AS wx FROM e JOIN c ON dst = c.market GROUP BY 1),
+ l AS (SELECT src AS market, sum(w * c.p) AS wp, sum(w * c.x) AS wx FROM e JOIN c ON dst = c.market WHERE src IN (SELECT market FROM c) GROUP BY 1),
  l2 AS (SELECT src AS market, sum(w * l.wx) AS wwx FROM e JOIN l ON dst = l.market GROUP BY 1),
  r AS (SELECT c.market, p, x, coalesce(wp, 0) AS wp, coalesce(wx, 0) AS wx, coalesce(wwx, 0) AS wwx FROM c LEFT JOIN l ON c.market = l.market LEFT JOIN l2 ON c.market = l2.market)"""
 DEPENDENCE = f"""{SPATIAL}, {ols_sql('f', 'r', [], 'p', ['x'])}, u AS (SELECT r.*, p - b_const - b_x * x AS e, b_const + b_x * x AS fit FROM r, f),
