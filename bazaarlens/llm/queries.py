@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, line_dedup, maxent_lm, mixing, packing, quality, simhash, substring_dedup, topk
+from . import exact_dedup, language, line_dedup, maxent_lm, mixing, packing, quality, ranked_search, simhash, substring_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_maxent_lm": maxent_lm.op9_maxent_lm,
     "op10_exact_topk": topk.op10_exact_topk,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_exact_topk": topk.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
 }
