@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, line_dedup, maxent_lm, mixing, packing, quality, ranked_search, simhash, spelling, substring_dedup, topk
+from . import exact_dedup, language, line_dedup, maxent_lm, mixing, packing, quality, ranked_search, secret_scan, simhash, spelling, substring_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_maxent_lm": maxent_lm.op9_maxent_lm,
     "op10_exact_topk": topk.op10_exact_topk,
     "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_secret_scan": secret_scan.op12_secret_scan,
     "op13_spelling": spelling.op13_spelling,
 }
 
@@ -29,5 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_exact_topk": topk.ORACLE,
     "op11_ranked_search": ranked_search.ORACLE,
+    "op12_secret_scan": secret_scan.ORACLE,
     "op13_spelling": spelling.ORACLE,
 }

@@ -127,7 +127,8 @@ def _joined(spans: Column) -> Column:
 
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    of = lambda kind: F.filter("spans", lambda x: x["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
     return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
@@ -136,7 +137,6 @@ def _sql(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_PATTERN_ROWS = ", ".join(f"({n}, '{k}', {_sql(p)})" for n, (k, (p, _)) in enumerate(PATTERNS.items()))
 _SPLITS = " UNION ALL ".join(f"SELECT doc_id, text, {n} AS kind, string_split_regex(text, {_sql(p)}) AS gaps, regexp_extract_all(text, {_sql(p)}) AS hits FROM d" for n, p in enumerate([p for p, _ in PATTERNS.values()] + [BREAK]))
 _IN = {role: ", ".join(map(str, _numbers(*kinds))) for role, kinds in ROLES.items()}
 
