@@ -61,15 +61,24 @@ def _matches(text: Column, number: int, pattern: str) -> Column:
     return F.filter(numbered, lambda x: x["size"].isNotNull())
 
 
-def _found(text: Column) -> Column:
-    """All matches of a text.  Weak identifiers and endpoints are looked for only where a secret part is, scopes only where a weak part is."""
+def _found(rows: DataFrame) -> DataFrame:
+    """``rows`` (with body) and the matches of each body.
+
+    Each pattern is looked for once.  Named values need a colon or an equals sign; weak identifiers and endpoints are looked
+    for only where a secret part is, and blank lines only where a weak part is.
+    """
+    has = lambda kind: F.col("body").rlike(PATTERNS[kind][1])
+    with_sign = rows.withColumn("sign", F.col("body").rlike("[:=]"))
+    named, plain = PATTERNS["secret"][1].rsplit("|", 1)
+    weak_secret = F.col("body").rlike(plain) | (F.col("sign") & F.col("body").rlike(named))
+    flags = with_sign.select("*", (F.col("sign") & has("assign")).alias("has_assign"), has("access").alias("has_access"), has("hex").alias("has_hex"), weak_secret.alias("has_secret"))
+    flags = flags.withColumn("part", reduce(lambda a, b: a | b, [F.col(f"has_{k}") for k in ROLES["secret"]]))
+    flags = flags.select("*", *[(F.col("part") & has(k)).alias(f"has_{k}") for k in ("identifier", "endpoint")])
     none = F.array().cast("array<struct<kind:int,i:int,gap:int,size:int,sound:boolean>>")
-    has = {k: text.rlike(sieve) for k, (_, sieve) in PATTERNS.items()}
-    secret = reduce(lambda a, b: a | b, [has[k] for k in ROLES["secret"]])
-    wanted = {k: has[k] if k not in ("identifier", "endpoint") else secret & has[k] for k in KINDS}
-    parts = [F.when(wanted[k], _matches(text, n, PATTERNS[k][0])).otherwise(none) for n, k in enumerate(KINDS)]
-    weak = has["secret"] | (secret & (has["identifier"] | has["endpoint"]))
-    return F.concat(*parts, F.when(weak, _matches(text, BREAK_KIND, BREAK)).otherwise(none))
+    parts = [F.when(F.col(f"has_{k}"), _matches(F.col("body"), n, PATTERNS[k][0])).otherwise(none) for n, k in enumerate(KINDS)]
+    weak = F.col("has_secret") | F.col("has_identifier") | F.col("has_endpoint")
+    breaks = F.when(weak, _matches(F.col("body"), BREAK_KIND, BREAK)).otherwise(none)
+    return flags.select(*[c for c in rows.columns if c != "body"], F.concat(*parts, breaks).alias("found"))
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -108,7 +117,7 @@ def secret_spans(docs: DataFrame, reach: int = REACH, cell: int = CELL, doc_id:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(body).alias("digest")]
-    rows = saved(docs.select(F.col(doc_id).alias("doc_id"), *key, _found(body).alias("found")))
+    rows = saved(_found(docs.select(F.col(doc_id).alias("doc_id"), *key, body.alias("body"))))
     some = rows.where(F.size("found") > 0)
     parts = saved(_placed(some))
     spans = parts.where(F.col("kind").isin(_numbers(*BASE))).unionByName(_linked(parts, reach, cell))
