@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaarlens.operators import ranges
 from bazaarlens.plans.lineage import saved
 
 
@@ -54,20 +55,29 @@ def _with_quantiles(data: DataFrame, name: str, column: str, levels: Sequence[fl
     return data.crossJoin(F.broadcast(quantiles(data, column, levels, name)))  # one row
 
 
-def interpolate(data: DataFrame, value: str = "price", keys: Sequence[str] = ("market",), order: Sequence[str] = ("date",)) -> DataFrame:
-    """Nulls by a straight line between the neighbours in row order; leading ones stay, trailing ones take the last."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, 0)
-    known = F.when(F.col(value).isNotNull(), F.col("_i"))
-    # the values that follow are seen as the values before in the opposite order
-    back = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    out = data.withColumn("_i", F.row_number().over(w))
-    out = out.withColumns({"_i0": F.last(known, True).over(before), "_v0": F.last(value, True).over(before), "_i1": F.last(known, True).over(back), "_v1": F.last(value, True).over(back)})
+def interpolate(data: DataFrame, value: str = "price", keys: Sequence[str] = ("market",), order: Sequence[str] = ("date",), rows: int | None = None) -> DataFrame:
+    """Nulls by a straight line between the neighbours in row order; leading ones stay, trailing ones take the last.
+
+    ``rows`` cuts long series into ranges (see ``ranges``).
+    """
+    out = _neighbours(data, value, keys, order, rows)
     line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_i") - F.col("_i0")) / (F.col("_i1") - F.col("_i0"))
     filled = F.when(F.col(value).isNotNull(), F.col(value)).when(F.col("_v1").isNull(), F.col("_v0")).when(F.col("_v0").isNull(), None).otherwise(line)
     return out.withColumn(value, filled).drop("_i", "_i0", "_v0", "_i1", "_v1")
 
 
+def _neighbours(data: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], rows: int | None) -> DataFrame:
+    """With ``_i``, the row's place, and place and value of the last row that has one (``_i0``, ``_v0``) and of the next."""
+    if rows is None:
+        out = data.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        out = ranges.numbered(data, keys, order).withColumn("_i", F.col(ranges.INDEX))
+    place = F.when(F.col(value).isNotNull(), F.col("_i"))
+    for side, following in (("0", False), ("1", True)):
+        out = ranges.known(out, {f"_i{side}": place, f"_v{side}": F.col(value)}, keys, order, rows, following)
+    return out if rows is None else out.drop(ranges.INDEX, ranges.LENGTH)
+
+
 def fill_median(data: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls of numbers by the column's median over the table."""
     out = data
@@ -129,7 +139,7 @@ def handle_outliers(data: DataFrame, value: str, how: str = "winsorize", method:
     return out.withColumn(value, F.when(F.col("_o"), F.greatest(F.least(F.col(value), q1), q0)).otherwise(F.col(value))).drop("_o", "_q")
 
 
-def replace_outliers(data: DataFrame, value: str, replace_with: str = "median", method: str = "zscore", threshold: float = 3.0, keys: Sequence[str] = ("market",), order: Sequence[str] = ("date",)) -> DataFrame:
+def replace_outliers(data: DataFrame, value: str, replace_with: str = "median", method: str = "zscore", threshold: float = 3.0, keys: Sequence[str] = ("market",), order: Sequence[str] = ("date",), rows: int | None = None) -> DataFrame:
     """Outliers become the median, mean, mode, nearest sound value (the earlier on ties) or the interpolation."""
     flagged = outlier_flags(data, value, method, threshold, keys, name="_o").withColumn("_v", F.when(~F.col("_o"), F.col(value)))
     if replace_with == "median":
@@ -141,17 +151,13 @@ def replace_outliers(data: DataFrame, value: str, replace_with: str = "median",
         return out.withColumn(value, F.when(F.col("_o"), F.col("_m")).otherwise(F.col(value))).drop("_o", "_v", "_m")
     if replace_with == "interpolate":
         # a null that was there stays one
-        out = interpolate(flagged.withColumn("_n", F.col(value).isNull()), "_v", keys, order)
+        out = interpolate(flagged.withColumn("_n", F.col(value).isNull()), "_v", keys, order, rows)
         return out.withColumn(value, F.when(~F.col("_n"), F.col("_v"))).drop("_o", "_v", "_n")
     if replace_with != "nearest":
         raise ValueError(f"unknown replacement {replace_with}")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    out = flagged.withColumn("_i", F.row_number().over(w)).withColumn("_k", F.when(F.col("_v").isNotNull(), F.col("_i")))
-    out = out.withColumns({"_i0": F.last("_k", True).over(before), "_v0": F.last("_v", True).over(before), "_i1": F.last("_k", True).over(after), "_v1": F.last("_v", True).over(after)})
+    out = _neighbours(flagged, "_v", keys, order, rows)
     nearer = F.when(F.col("_v1").isNull() | (F.col("_i") - F.col("_i0") <= F.col("_i1") - F.col("_i")), F.col("_v0")).otherwise(F.col("_v1"))
-    return out.withColumn(value, F.when(F.col("_o"), nearer).otherwise(F.col(value))).drop("_o", "_v", "_i", "_k", "_i0", "_v0", "_i1", "_v1")
+    return out.withColumn(value, F.when(F.col("_o"), nearer).otherwise(F.col(value))).drop("_o", "_v", "_i", "_i0", "_v0", "_i1", "_v1")
 
 
 def quality_report(data: DataFrame, required: Sequence[str] = ("market", "date", "price", "commodity", "geometry"), market: str = "market", date: str = "date", price: str = "price") -> DataFrame:
@@ -184,30 +190,37 @@ def minmax(data: DataFrame, column: str, name: str | None = None, keys: Sequence
     return out.withColumn(name or column, scaled).drop("_lo", "_hi")
 
 
-def conflict_outliers(data: DataFrame, price: str = "price", conflict: str = "conflict_intensity", threshold: float = 3.0, keys: Sequence[str] = ("market",), order: Sequence[str] = ("date",)) -> DataFrame:
+def conflict_outliers(data: DataFrame, price: str = "price", conflict: str = "conflict_intensity", threshold: float = 3.0, keys: Sequence[str] = ("market",), order: Sequence[str] = ("date",), rows: int | None = None) -> DataFrame:
     """``is_outlier`` by a centred rolling median and MAD, with a limit that rises with conflict.
 
     The frame is clip(n // 4, 5..30) rows wide, as wide as its series asks: rows are split by width, at most 26 of them.
+    ``rows`` cuts long series into ranges (see ``ranges``).
     """
     out = minmax(data, conflict, "_c", only_outside=True)
-    count = out.groupBy(*keys).agg(F.count("*").alias("_n"))
-    out = out.join(count, list(keys)).withColumn("_w", F.greatest(F.least(F.lit(30), F.floor(F.col("_n") / 4)), F.lit(5)).cast("int"))
+    out = ranges.matched(out, out.groupBy(*keys).agg(F.count("*").alias("_n")), list(keys)).withColumn("_w", F.greatest(F.least(F.lit(30), F.floor(F.col("_n") / 4)), F.lit(5)).cast("int"))
+    if rows is not None:
+        out = ranges.numbered(out, keys, order)
     parts = None
     lengths = sorted(r[0] for r in out.select("_w").distinct().collect())  # widths, from 5 to 30
-    base = Window.partitionBy(*keys).orderBy(*order)
-    up, down = base.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+
+    def middle(part: DataFrame, column: str, width: int, name: str) -> DataFrame:
+        before, after = width - 1 - (width - 1) // 2, (width - 1) // 2
+        own = ranges.cut(part, keys, order, rows, before, after)
+        frame = own.window().rowsBetween(-before, after)
+        found = own.own(own.data.withColumn("_q", F.when(F.count(column).over(frame) >= 3, F.percentile(column, 0.5).over(frame))), True)
+        for side, following in (("_up", False), ("_down", True)):
+            found = ranges.known(found, {side: F.col("_q")}, keys, order, rows, following)
+        return found.withColumn(name, F.coalesce("_down", "_up")).drop("_q", "_up", "_down")
+
     for width in lengths:
-        frame = base.rowsBetween(-(width - 1 - (width - 1) // 2), (width - 1) // 2)
-        part = out.where(F.col("_w") == width)
-        part = part.withColumn("_m", F.when(F.count(price).over(frame) >= 3, F.percentile(price, 0.5).over(frame)))
-        part = part.withColumn("_m", F.coalesce(F.last("_m", True).over(down), F.last("_m", True).over(up))).withColumn("_d", F.abs(F.col(price) - F.col("_m")))
-        part = part.withColumn("_s", F.when(F.count("_d").over(frame) >= 3, F.percentile("_d", 0.5).over(frame)))
-        part = part.withColumn("_s", F.coalesce(F.last("_s", True).over(down), F.last("_s", True).over(up)))
+        part = middle(out.where(F.col("_w") == width), price, width, "_m").withColumn("_d", F.abs(F.col(price) - F.col("_m")))
+        part = middle(part, "_d", width, "_s")
         parts = part if parts is None else parts.unionAll(part)
     if parts is None:
         return data.withColumn("is_outlier", F.lit(False))
     flag = 0.6745 * F.col("_d") / (F.col("_s") + 1e-8) > threshold * (1 + F.col("_c"))
-    return parts.withColumn("is_outlier", F.coalesce(flag, F.lit(False))).drop("_c", "_n", "_w", "_m", "_d", "_s")
+    flagged = parts.withColumn("is_outlier", F.coalesce(flag, F.lit(False))).drop("_c", "_n", "_w", "_m", "_d", "_s")
+    return flagged if rows is None else flagged.drop(ranges.INDEX, ranges.LENGTH)
 
 
 def lowess(data: DataFrame, value: str = "price", keys: Sequence[str] = ("market",), order: Sequence[str] = ("date",), fraction: float = 0.2, rounds: int = 3, name: str = "trend") -> DataFrame:

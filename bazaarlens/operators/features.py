@@ -1,52 +1,55 @@
 """Lags, rolling windows, differences, scaling and exchange-rate regimes (F).
 
-Order is explicit everywhere: keys name the series, order the time and what breaks its ties.
+Order is explicit everywhere: keys name the series, order the time and what breaks its ties.  ``rows``, where it is given, is
+the number of rows of the ranges into which a long series is cut (see ``ranges``); results don't depend on it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaarlens.operators import clean
+from bazaarlens.operators import clean, ranges
 
 
 def over(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def lags(data: DataFrame, columns: Sequence[str], ks: Sequence[int], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``c_lag_k`` (F1)."""
-    w = over(keys, order)
-    return data.withColumns({f"{c}_lag_{k}": F.lag(c, k).over(w) for c in columns for k in ks})
+def lags(data: DataFrame, columns: Sequence[str], ks: Sequence[int], keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> DataFrame:
+    """``c_lag_k`` (F1); a negative k leads."""
+    part = ranges.cut(data, keys, order, rows, max(0, *ks), max(0, *[-k for k in ks]))
+    return part.own(part.data.withColumns({f"{c}_lag_{k}": F.lag(c, k).over(part.window()) for c in columns for k in ks}))
 
 
-def rolling(data: DataFrame, columns: Sequence[str], windows: Sequence[int], keys: Sequence[str], order: Sequence[str], functions: Sequence[str] = ("mean", "std", "min", "max")) -> DataFrame:
+def rolling(data: DataFrame, columns: Sequence[str], windows: Sequence[int], keys: Sequence[str], order: Sequence[str], functions: Sequence[str] = ("mean", "std", "min", "max"), rows: int | None = None) -> DataFrame:
     """``c_roll_w_f`` over the last w rows, from one row on (F2)."""
     made = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum, "median": lambda c: F.percentile(c, 0.5)}
-    return data.withColumns({f"{c}_roll_{n}_{f}": made[f](F.col(c)).over(over(keys, order).rowsBetween(-(n - 1), 0)) for c in columns for n in windows for f in functions})
+    part = ranges.cut(data, keys, order, rows, max(windows) - 1)
+    return part.own(part.data.withColumns({f"{c}_roll_{n}_{f}": made[f](F.col(c)).over(part.window().rowsBetween(-(n - 1), 0)) for c in columns for n in windows for f in functions}))
 
 
-def differences(data: DataFrame, columns: Sequence[str], keys: Sequence[str], order: Sequence[str], periods: Sequence[int] = (1,), seasonal: int | None = None) -> DataFrame:
+def differences(data: DataFrame, columns: Sequence[str], keys: Sequence[str], order: Sequence[str], periods: Sequence[int] = (1,), seasonal: int | None = None, rows: int | None = None) -> DataFrame:
     """``c_diff_k``; with a season also ``c_sdiff_s`` and ``c_diff1_sdiff_s``."""
-    w = over(keys, order)
+    part = ranges.cut(data, keys, order, rows, max(*periods, (seasonal or 0) + 1))
+    w = part.window()
     out = {f"{c}_diff_{k}": F.col(c) - F.lag(c, k).over(w) for c in columns for k in periods}
     if seasonal:
         for c in columns:
             out[f"{c}_sdiff_{seasonal}"] = F.col(c) - F.lag(c, seasonal).over(w)
             out[f"{c}_diff1_sdiff_{seasonal}"] = F.col(c) - F.lag(c, seasonal).over(w) - (F.lag(c, 1).over(w) - F.lag(c, seasonal + 1).over(w))
-    return data.withColumns(out)
+    return part.own(part.data.withColumns(out))
 
 
-def pct_changes(data: DataFrame, columns: Sequence[str], keys: Sequence[str], order: Sequence[str], periods: Sequence[int] = (1,)) -> DataFrame:
+def pct_changes(data: DataFrame, columns: Sequence[str], keys: Sequence[str], order: Sequence[str], periods: Sequence[int] = (1,), rows: int | None = None) -> DataFrame:
     """``c_pct_k``: the change over k rows, after nulls took the last value."""
-    w = over(keys, order)
-    out = data.withColumns({f"_p_{c}": F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in columns})
-    out = out.withColumns({f"{c}_pct_{k}": F.col(f"_p_{c}") / F.nullif(F.lag(f"_p_{c}", k).over(w), F.lit(0.0)) - 1 for c in columns for k in periods})
-    return out.drop(*[f"_p_{c}" for c in columns])
+    placed = data if rows is None else ranges.numbered(data, keys, order)
+    filled = ranges.known(placed, {f"_p_{c}": F.col(c) for c in columns}, keys, order, rows)
+    part = ranges.cut(filled, keys, order, rows, max(periods))
+    out = part.data.withColumns({f"{c}_pct_{k}": F.col(f"_p_{c}") / F.nullif(F.lag(f"_p_{c}", k).over(part.window()), F.lit(0.0)) - 1 for c in columns for k in periods})
+    return part.own(out).drop(*[f"_p_{c}" for c in columns])
 
 
 def log_transform(data: DataFrame, columns: Sequence[str], add: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
@@ -83,11 +86,13 @@ def normalize(data: DataFrame, columns: Sequence[str], method: str = "standard",
     return scale(data, scale_parameters(data, columns, method, keys, ddof=1), columns, keys)
 
 
-def fill(data: DataFrame, column: str, keys: Sequence[str], order: Sequence[str], directions: Sequence[str] = ("forward", "backward")) -> DataFrame:
+def fill(data: DataFrame, column: str, keys: Sequence[str], order: Sequence[str], directions: Sequence[str] = ("forward", "backward"), rows: int | None = None) -> DataFrame:
     """Nulls take the last value, then the next one."""
-    down = [F.desc(c) for c in order]
-    found = {"forward": F.last(column, True).over(over(keys, order).rowsBetween(Window.unboundedPreceding, 0)), "backward": F.last(column, True).over(Window.partitionBy(*keys).orderBy(*down).rowsBetween(Window.unboundedPreceding, 0))}
-    return data.withColumn(column, F.coalesce(*[found[d] for d in directions]))
+    out = data if rows is None else ranges.numbered(data, keys, order)
+    for d in directions:
+        out = ranges.known(out, {f"_{d}": F.col(column)}, keys, order, rows, following=d == "backward")
+    out = out.withColumn(column, F.coalesce(*[f"_{d}" for d in directions])).drop(*[f"_{d}" for d in directions])
+    return out.drop(ranges.INDEX, ranges.LENGTH) if rows is not None else out
 
 
 def regime_rates(data: DataFrame, regime: str, rates: Sequence[str], price: str = "price") -> DataFrame:
@@ -96,47 +101,46 @@ def regime_rates(data: DataFrame, regime: str, rates: Sequence[str], price: str
     return data.withColumn(f"{price}_adj", F.try_divide(price, rate))
 
 
-def inferred_regimes(data: DataFrame, rate_a: str, rate_b: str, keys: Sequence[str], order: Sequence[str], price: str = "price", threshold: float = 3.0, width: int = 10) -> DataFrame:
+def inferred_regimes(data: DataFrame, rate_a: str, rate_b: str, keys: Sequence[str], order: Sequence[str], price: str = "price", threshold: float = 3.0, width: int = 10, rows: int | None = None) -> DataFrame:
     """``regime`` and ``price_adj`` (F13): a ratio far from its trailing mean toggles the regime; the first row doesn't."""
-    w = over(keys, order)
-    out = data.withColumn("_r", F.col(rate_a) / F.nullif(F.col(rate_b), F.lit(0.0)))
-    frame = w.rowsBetween(-(width - 1), 0)
+    part = ranges.cut(data.withColumn("_r", F.col(rate_a) / F.nullif(F.col(rate_b), F.lit(0.0))), keys, order, rows, width - 1)
+    frame = part.window().rowsBetween(-(width - 1), 0)
     z = F.abs(F.col("_r") - F.avg("_r").over(frame)) / (F.stddev_samp("_r").over(frame) + 1e-8)
-    out = out.withColumn("_t", F.when((F.row_number().over(w) > 1) & (z > threshold), 1).otherwise(0))
-    out = out.withColumn("regime", (F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, 0)) % 2).cast("int"))
-    return regime_rates(out, "regime", [rate_a, rate_b], price).drop("_r", "_t")
+    out = part.own(part.data.withColumn("_t", F.when((part.index() > 0) & (z > threshold), 1).otherwise(0)), True)
+    out = ranges.running(out, {"regime": F.col("_t")}, keys, order, rows).withColumn("regime", (F.col("regime") % 2).cast("int"))
+    return regime_rates(out, "regime", [rate_a, rate_b], price).drop("_r", "_t", *([ranges.INDEX, ranges.LENGTH] if rows is not None else []))
 
 
-def steadiest_rate(data: DataFrame, rates: Sequence[str], keys: Sequence[str], order: Sequence[str], price: str = "price", width: int = 10) -> DataFrame:
+def steadiest_rate(data: DataFrame, rates: Sequence[str], keys: Sequence[str], order: Sequence[str], price: str = "price", width: int = 10, rows: int | None = None) -> DataFrame:
     """``regime`` and ``price_adj`` by the rate of least rolling variation around the row, the first on ties."""
-    frame = over(keys, order).rowsBetween(-(width // 2), width // 2)
-    found = data.withColumns({f"_cv{i}": F.coalesce(F.stddev_samp(r).over(frame) / F.nullif(F.avg(r).over(frame), F.lit(0.0)), F.lit(float("inf"))) for i, r in enumerate(rates)})
+    part = ranges.cut(data, keys, order, rows, width // 2, width // 2)
+    frame = part.window().rowsBetween(-(width // 2), width // 2)
+    found = part.own(part.data.withColumns({f"_cv{i}": F.coalesce(F.stddev_samp(r).over(frame) / F.nullif(F.avg(r).over(frame), F.lit(0.0)), F.lit(float("inf"))) for i, r in enumerate(rates)}))
     least = F.array_min(F.array(*[F.struct(F.col(f"_cv{i}").alias("cv"), F.lit(i).alias("i")) for i in range(len(rates))]))
     out = found.withColumn("regime", least["i"]).drop(*[f"_cv{i}" for i in range(len(rates))])
     return regime_rates(out, "regime", rates, price)
 
 
-def momentum(data: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], kind: str = "standard", lag: int = 1, alpha: float = 0.5, name: str = "momentum") -> DataFrame:
+def momentum(data: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], kind: str = "standard", lag: int = 1, alpha: float = 0.5, name: str = "momentum", rows: int | None = None) -> DataFrame:
     """The momentum of a series z (F15): a lagged difference; the mean of the last max(2, lag); or their running EWMA.
 
-    The EWMA starts at the first lagged difference and takes alpha of each later one.
+    The EWMA starts at the first difference and takes alpha of each later one, up to the row before; it is exact for every
+    alpha, see ``ranges.smoothed``.
     """
-    w = over(keys, order)
-    out = data.withColumn("_d", F.col(value) - F.lag(value).over(w))
+    if kind not in ("standard", "moving_average", "exponential"):
+        raise ValueError(f"unknown momentum {kind}")
+    n = max(2, lag)
+    part = ranges.cut(data, keys, order, rows, n + 1)
+    w = part.window()
+    out = part.data.withColumn("_d", F.col(value) - F.lag(value).over(w))
     if kind == "standard":
-        return out.withColumn(name, F.lag("_d", lag).over(w)).drop("_d")
+        return part.own(out.withColumn(name, F.lag("_d", lag).over(w)).drop("_d"))
     if kind == "moving_average":
-        n = max(2, lag)
         frame = w.rowsBetween(-n, -1)
-        return out.withColumn(name, F.when(F.count("_d").over(frame) == n, F.avg("_d").over(frame))).drop("_d")
-    if kind != "exponential":
-        raise ValueError(f"unknown momentum {kind}")
-    # older than 1100 steps a term is below the least double at alpha 0.5; the frame grows as alpha falls
-
-    depth = min(20_000, math.ceil(-745 / math.log(max(1 - alpha, 1e-300)))) if 0 < alpha < 1 else 1
-    past = F.collect_list("_d").over(w.rowsBetween(-depth, -1))
-    step = lambda s, x: F.when(s.isNull(), x).otherwise(s * (1 - alpha) + x * alpha)
-    return out.withColumn(name, F.aggregate(past, F.lit(None).cast("double"), step)).drop("_d")
+        return part.own(out.withColumn(name, F.when(F.count("_d").over(frame) == n, F.avg("_d").over(frame))).drop("_d"))
+    smooth = ranges.smoothed(part.own(out, True), "_d", "_s", keys, order, alpha, rows)
+    last = ranges.cut(smooth, keys, order, rows, 1)
+    return last.own(last.data.withColumn(name, F.lag("_s").over(last.window())).drop("_d", "_s"))
 
 
 def heaviside(data: DataFrame, z: str, q: str, tau: Column | float) -> DataFrame:
@@ -146,10 +150,11 @@ def heaviside(data: DataFrame, z: str, q: str, tau: Column | float) -> DataFrame
     return data.withColumns({"above": above, f"{z}_above": F.col(z) * above, f"{z}_below": F.col(z) * (1 - above)})
 
 
-def decompose(data: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], period: int = 12, model: str = "additive") -> DataFrame:
+def decompose(data: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], period: int = 12, model: str = "additive", rows: int | None = None) -> DataFrame:
     """``trend`` (centred moving average over one period), ``seasonal`` and ``resid``."""
-    w = over(keys, order)
     half = period // 2
+    part = ranges.cut(data, keys, order, rows, half, half)
+    w = part.window()
     v = F.col(value)
     wide = w.rowsBetween(-half, half)
     whole = F.count(value).over(wide) == 2 * half + 1
@@ -158,7 +163,7 @@ def decompose(data: DataFrame, value: str, keys: Sequence[str], order: Sequence[
     else:
         ends = (F.lag(value, half).over(w) + F.lead(value, half).over(w)) / 2
         centre = (F.sum(value).over(w.rowsBetween(-(half - 1), half - 1)) + ends) / period
-    out = data.withColumn("trend", F.when(whole, centre)).withColumn("_ph", (F.row_number().over(w) - 1) % period)
+    out = part.own(part.data.withColumn("trend", F.when(whole, centre)).withColumn("_ph", part.index() % period))
     off = v - F.col("trend") if model == "additive" else v / F.nullif(F.col("trend"), F.lit(0.0))
     phase = out.withColumn("_off", off).groupBy(*keys, "_ph").agg(F.avg("_off").alias("_s"))
     mean = phase.groupBy(*keys).agg(F.avg("_s").alias("_sm"))
@@ -168,13 +173,14 @@ def decompose(data: DataFrame, value: str, keys: Sequence[str], order: Sequence[
     return out.withColumn("resid", rest)
 
 
-def acf(data: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], lags_: int = 40) -> DataFrame:
+def acf(data: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], lags_: int = 40, rows: int | None = None) -> DataFrame:
     """(keys, lag, acf) up to ``lags_`` or the length of the series (F18): one window pass, then sums per lag."""
-    rows = data.where(F.col(value).isNotNull())
-    rows = rows.join(rows.groupBy(*keys).agg(F.avg(value).alias("_m"), F.count("*").alias("_n")), list(keys)).withColumn("_e", F.col(value) - F.col("_m"))
-    w = over(keys, order)
-    shifted = rows.select(*keys, "_n", "_e", *[F.lag("_e", k).over(w).alias(f"_l{k}") for k in range(1, lags_ + 1)])
-    sums = shifted.groupBy(*keys).agg(F.first("_n").alias("_n"), F.sum(F.col("_e") * F.col("_e")).alias("_s"), F.array(F.lit(1.0), *[F.coalesce(F.sum(F.col("_e") * F.col(f"_l{k}")), F.lit(0.0)) for k in range(1, lags_ + 1)]).alias("_p"))
+    some = data.where(F.col(value).isNotNull())
+    some = ranges.matched(some, some.groupBy(*keys).agg(F.avg(value).alias("_m"), F.count("*").alias("_n")), list(keys)).withColumn("_e", F.col(value) - F.col("_m"))
+    part = ranges.cut(some.select(*keys, *order, "_n", "_e"), keys, order, rows, lags_)
+    w = part.window()
+    shifted = part.data.select(*keys, "_n", "_e", *([ranges.OWN] if part.ranged else []), *[F.lag("_e", k).over(w).alias(f"_l{k}") for k in range(1, lags_ + 1)])
+    sums = (shifted.where(ranges.OWN) if part.ranged else shifted).groupBy(*keys).agg(F.first("_n").alias("_n"), F.sum(F.col("_e") * F.col("_e")).alias("_s"), F.array(F.lit(1.0), *[F.coalesce(F.sum(F.col("_e") * F.col(f"_l{k}")), F.lit(0.0)) for k in range(1, lags_ + 1)]).alias("_p"))
     out = sums.select(*keys, "_n", "_s", F.posexplode("_p").alias("lag", "_v")).where("lag < _n")
     return out.select(*keys, "lag", F.when(F.col("lag") == 0, 1.0).otherwise(F.col("_v") / F.nullif(F.col("_s"), F.lit(0.0))).alias("acf"))
 
@@ -200,10 +206,14 @@ def pacf(correlations: DataFrame, keys: Sequence[str]) -> DataFrame:
     return correlations.groupBy(*keys).applyInPandas(run, schema)
 
 
-def qq(data: DataFrame, value: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def qq(data: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> DataFrame:
     """(keys, i, sample, theoretical): ordered values and normal quantiles at (i - 0.5) / n."""
     from bazaarlens.functions import dist
 
-    rows = data.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(value, *order)))
-    rows = rows.join(rows.groupBy(*keys).agg(F.count("*").alias("_n")), list(keys))
-    return rows.select(*keys, "i", F.col(value).alias("sample"), dist.normal_quantile((F.col("i") - 0.5) / F.col("_n")).alias("theoretical"))
+    some = data.where(F.col(value).isNotNull())
+    if rows is None:
+        some = some.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(value, *order)))
+        some = some.join(some.groupBy(*keys).agg(F.count("*").alias("_n")), list(keys))
+    else:
+        some = ranges.numbered(some, keys, [value, *order]).withColumns({"i": F.col(ranges.INDEX) + 1, "_n": F.col(ranges.LENGTH)})
+    return some.select(*keys, "i", F.col(value).alias("sample"), dist.normal_quantile((F.col("i") - 0.5) / F.col("_n")).alias("theoretical"))

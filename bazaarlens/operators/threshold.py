@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import dist, draws
-from bazaarlens.operators import coint, features, joins, unitroot
+from bazaarlens.operators import coint, features, joins, ranges, unitroot
 from bazaarlens.operators.ols import complete, gram, grouped_ols, inverse, restriction_f, unpack
 from bazaarlens.operators.unitroot import _head
 from bazaarlens.plans.lineage import saved
@@ -25,39 +25,41 @@ KEYS, ORDER = ["pair_id"], ["ts"]
 ABOVE, BELOW = "above", "below"
 
 
-def prepare(residual: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, max_lags: int = 4, regime: str = "level", lag: int = 1, value: str = "z") -> DataFrame:
+def prepare(residual: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, max_lags: int = 4, regime: str = "level", lag: int = 1, value: str = "z", rows: int | None = None) -> DataFrame:
     """dz, z1 (last residual), q (regime variable) and d1..: complete rows of an equilibrium error in ``value``.
 
     ``regime``: level, the last residual (TAR); or a momentum of F15: standard, moving_average, exponential (M-TAR).
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = residual.withColumns({"z1": F.lag(value).over(w), "dz": F.col(value) - F.lag(value).over(w)})
-    rows = rows.withColumns({f"d{j}": F.lag("dz", j).over(w) for j in range(1, max_lags + 1)})
+    part = ranges.cut(residual, keys, order, rows, max_lags + 1)
+    w = part.window()
+    made = part.data.withColumns({"z1": F.lag(value).over(w), "dz": F.col(value) - F.lag(value).over(w)})
+    made = part.own(made.withColumns({f"d{j}": F.lag("dz", j).over(w) for j in range(1, max_lags + 1)}))
     if regime == "level":
-        rows = rows.withColumn("q", F.col("z1"))
+        made = made.withColumn("q", F.col("z1"))
     else:
-        rows = features.momentum(rows, value, keys, order, regime, lag, name="q")
-    return complete(rows, ["dz", "z1", "q", *[f"d{j}" for j in range(1, max_lags + 1)]])
+        made = features.momentum(made, value, keys, order, regime, lag, name="q", rows=rows)
+    return complete(made, ["dz", "z1", "q", *[f"d{j}" for j in range(1, max_lags + 1)]])
 
 
 def _lag_names(max_lags: int) -> list[str]:
     return [f"d{j}" for j in range(1, max_lags + 1)]
 
 
-def search(rows: DataFrame, keys: Sequence[str], others: Sequence[str], ys: Sequence[str] = ("dz",), trim: float = 0.15, n_grid: int | None = None, order: Sequence[str] = ORDER) -> DataFrame:
+def search(rows: DataFrame, keys: Sequence[str], others: Sequence[str], ys: Sequence[str] = ("dz",), trim: float = 0.15, n_grid: int | None = None, order: Sequence[str] = ORDER, block: int | None = None) -> DataFrame:
     """(keys, threshold, ssr, ssr0, n_obs): the tau of least (summed) squared residuals, and those without a threshold.
 
-    Candidates are the distinct values of q at sorted places [trim n, (1 - trim) n); ``n_grid`` thins them evenly.
+    Candidates are the distinct values of q at sorted places [trim n, (1 - trim) n); ``n_grid`` thins them evenly.  ``block``
+    rows make one range of a long series in the order of q (see ``ranges``).
     """
     columns = [F.lit(1.0), F.col("z1"), *[F.col(c) for c in others], *[F.col(y) for y in ys]]
     m = len(columns)
     totals = rows.groupBy(*keys).agg(F.count("*").alias("n_obs"), gram(columns).alias("g"))
-    w = Window.partitionBy(*keys).orderBy("q", *order)
-    running = w.rowsBetween(Window.unboundedPreceding, -1)
-    below = F.array(*[F.coalesce(F.sum(F.col("z1") * c).over(running), F.lit(0.0)) for c in columns])
-    placed = rows.select(*keys, "q", (F.row_number().over(w) - 1).alias("i"), below.alias("b"))
+    part = ranges.cut(rows, keys, ["q", *order], block, 1)
     # of equal values the first has the sums over what is strictly below
-    placed = placed.withColumn("prev", F.lag("q").over(Window.partitionBy(*keys).orderBy("q", "i"))).where("prev is null or prev != q").drop("prev")
+    marked = part.own(part.data.withColumns({"prev": F.lag("q").over(part.window()), "i": part.index().cast("long")}), True)
+    sums = ranges.running(marked, {f"_b{j}": F.col("z1") * c for j, c in enumerate(columns)}, keys, ["q", *order], block, inclusive=False)
+    below = F.array(*[F.coalesce(F.col(f"_b{j}"), F.lit(0.0)) for j in range(m)])
+    placed = sums.where("prev is null or prev != q").select(*keys, "q", "i", below.alias("b"))
     found = placed.join(totals, list(keys))
     n = F.col("n_obs")
     inside = (F.col("i") >= F.floor(n * trim)) & (F.col("i") < F.floor(n * (1 - trim)))
@@ -123,24 +125,24 @@ def fit_at(rows: DataFrame, taus: DataFrame, keys: Sequence[str], max_lags: int,
     return out.withColumn("p_f", dist.f_p("f", F.lit(1.0), "df")).select(*keys, *FIT)
 
 
-def fit(residual: DataFrame, mode: str = "standard", keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, max_lags: int = 4, trim: float = 0.15, n_grid: int | None = None, fixed_threshold: float | None = None, method: str = "grid", momentum: str = "standard", lag: int = 1) -> DataFrame:
+def fit(residual: DataFrame, mode: str = "standard", keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, max_lags: int = 4, trim: float = 0.15, n_grid: int | None = None, fixed_threshold: float | None = None, method: str = "grid", momentum: str = "standard", lag: int = 1, block: int | None = None) -> DataFrame:
     """One row per pair (H7, H17, H21): mode standard, fixed (tau = 0 unless given) or mtar.
 
     ``method`` (H8-H11): grid takes the thinned grid; hansen_seo and adaptive refine a grid to the best of all order
-    statistics, which is what the full search finds.
+    statistics, which is what the full search finds.  ``block`` is the number of rows of a range of a long series.
     """
     if mode not in ("standard", "fixed", "mtar"):
         raise ValueError(f"unknown mode {mode}")
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    rows = saved(prepare(residual, keys, order, max_lags, momentum if mode == "mtar" else "level", lag))
+    rows = saved(prepare(residual, keys, order, max_lags, momentum if mode == "mtar" else "level", lag, rows=block))
     least = 2 * (max_lags + 2) + 3
     counts = residual.groupBy(*keys).agg(F.count("*").alias("n_series"))
     fixed = 0.0 if mode == "fixed" and fixed_threshold is None else fixed_threshold
     if fixed is not None:
         taus = rows.select(*keys).distinct().withColumn("threshold", F.lit(float(fixed)))
     else:
-        taus = saved(search(rows, keys, _lag_names(max_lags), trim=trim, n_grid=None if method in ("hansen_seo", "adaptive") else n_grid, order=order))
+        taus = saved(search(rows, keys, _lag_names(max_lags), trim=trim, n_grid=None if method in ("hansen_seo", "adaptive") else n_grid, order=order, block=block))
     names = {"standard": "tar", "fixed": "tar", "mtar": "mtar"}
     out = counts.join(fit_at(rows, taus, keys, max_lags, names[mode], fixed is not None), list(keys), "left")
     return out.withColumn("status", F.when(F.col("n_series") < least, "insufficient_data").otherwise(F.coalesce("status", F.lit("insufficient_data")))).drop("n_series")

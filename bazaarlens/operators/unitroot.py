@@ -2,6 +2,11 @@
 
 The regressions with 0..max_lags lagged differences are sub-matrices of one table of cross-products, kept apart by how
 many lags a row has; so one aggregation serves both the lag choice on the common sample and the fit on the longest one.
+
+Break searches (Zivot-Andrews) take the cross-products of a dummy that begins at a date as the totals less running sums up to
+it, so that each date is a small solve and rows are never multiplied by dates.
+
+``rows``, where it is given, is the number of rows of the ranges into which a long series is cut (see ``ranges``).
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import dist
+from bazaarlens.operators import ranges
 from bazaarlens.operators.ols import complete, gram, grouped_ols, inverse, unpack
 
 TRENDS = {"n": 0, "c": 1, "ct": 2, "ctt": 3}
@@ -29,28 +35,31 @@ def _head(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
 
-def _values(data: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """Complete rows numbered by time, less the series' mean (which no test with a constant depends on)."""
-    rows = complete(data.select(*keys, *order, F.col(value).cast("double").alias("v")), ["v"])
+def _values(data: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, rows: int | None = None) -> DataFrame:
+    """Complete rows with their place from 1 (i), the length of their series (n) and its first value (v0)."""
+    some = complete(data.select(*keys, *order, F.col(value).cast("double").alias("v")), ["v"])
+    if rows is not None:
+        placed = ranges.numbered(some, keys, order, ["v"])
+        return placed.withColumns({"i": F.col(ranges.INDEX) + 1, "n": F.col(ranges.LENGTH)}).withColumnRenamed("_first_v", "v0")
     w = Window.partitionBy(*keys).orderBy(*order)
     whole = Window.partitionBy(*keys)
-    return rows.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(whole), "v0": F.first("v").over(w)})
+    return some.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(whole), "v0": F.first("v").over(w)})
 
 
-def _lagged(rows: DataFrame, keys: Sequence[str], order: Sequence[str], level: Column, max_lags: int) -> DataFrame:
+def _lagged(data: DataFrame, keys: Sequence[str], order: Sequence[str], level: Column, max_lags: int, rows: int | None = None) -> DataFrame:
     """d (difference), z (last level), d1.. (lagged differences, 0 where there is none) and how many of them there are."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = rows.withColumn("x", level).withColumn("z", F.lag("x").over(w)).withColumn("d", F.col("x") - F.col("z"))
-    for k in range(1, max_lags + 1):
-        out = out.withColumn(f"d{k}", F.coalesce(F.lag("d", k).over(w), F.lit(0.0)))
-    return out.where("d is not null").withColumn("have", F.least(F.col("i") - 2, F.lit(max_lags)).cast("int"))
+    part = ranges.cut(data.withColumn("x", level), keys, order, rows, max_lags + 1)
+    w = part.window()
+    out = part.data.withColumn("z", F.lag("x").over(w)).withColumn("d", F.col("x") - F.col("z"))
+    out = out.withColumns({f"d{k}": F.coalesce(F.lag("d", k).over(w), F.lit(0.0)) for k in range(1, max_lags + 1)})
+    return part.own(out, True).where("d is not null").withColumn("have", F.least(F.col("i") - 2, F.lit(max_lags)).cast("int"))
 
 
-def adf_statistics(data: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, trend: str = "c", max_lags: int = 4, choose: bool = True) -> DataFrame:
+def adf_statistics(data: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, trend: str = "c", max_lags: int = 4, choose: bool = True, rows: int | None = None) -> DataFrame:
     """(keys, statistic, n_lags, n_obs, n_series): the t of the last level; lags by AIC on the common sample if ``choose``."""
-    rows = _values(data, keys, order, value)
+    values = _values(data, keys, order, value, rows)
     level = F.col("v") if trend == "n" else F.col("v") - F.col("v0")
-    lagged = _lagged(rows, keys, order, level, max_lags)
+    lagged = _lagged(values, keys, order, level, max_lags, rows)
     fixed = [F.lit(1.0), F.col("i").cast("double") / F.col("n"), (F.col("i").cast("double") / F.col("n")) ** 2][: TRENDS[trend]]
     columns = [*fixed, F.col("z"), *[F.col(f"d{k}") for k in range(1, max_lags + 1)], F.col("d")]
     sums = lagged.groupBy(*keys, "have").agg(F.count("*").alias("c"), gram(columns).alias("g"), F.max("n").alias("n"))
@@ -92,7 +101,7 @@ def adf_statistics(data: DataFrame, keys: Sequence[str], order: Sequence[str], v
                 out.append((s if np.isfinite(s) else None, lags, int(c)))
             yield pd.concat([frame[list(keys)].reset_index(drop=True), pd.DataFrame({"statistic": pd.Series([o[0] for o in out], dtype=object), "n_lags": pd.Series([o[1] for o in out], dtype=object), "n_obs": pd.Series([o[2] for o in out], dtype=object), "n_series": frame["n_series"].to_numpy()})], axis=1)
 
-    return series.mapInPandas(run, f"{_head(rows, keys)}, statistic double, n_lags int, n_obs long, n_series long")
+    return series.mapInPandas(run, f"{_head(values, keys)}, statistic double, n_lags int, n_obs long, n_series long")
 
 
 RESULT = ["test", "trend", "statistic", "p_value", "crit", "n_lags", "n_obs", "break_date", "is_stationary", "status"]
@@ -123,39 +132,40 @@ def mackinnon_map(n_obs: Column, trend: str, n: int = 1) -> Column | None:
     return F.create_map(*[x for name, row in zip(dist.LEVELS, dist.CRITICAL[n, trend], strict=True) for x in (F.lit(name), value(row))])
 
 
-def adf(data: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "price", trend: str = "c", max_lags: int = 4, alpha: float = 0.05) -> DataFrame:
+def adf(data: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "price", trend: str = "c", max_lags: int = 4, alpha: float = 0.05, rows: int | None = None) -> DataFrame:
     """Augmented Dickey-Fuller (G1)."""
-    found = adf_statistics(data, keys, order, value, trend, max_lags)
+    found = adf_statistics(data, keys, order, value, trend, max_lags, rows=rows)
     p = dist.udf(dist.mackinnon_p, trend, 1)("statistic")
     out = found.withColumn("p", p)
     return _result(out, keys, "adf", trend, 4, F.col("p"), mackinnon_map(F.col("n_obs"), trend), F.col("p") < alpha)
 
 
-def _variance(rows: DataFrame, keys: Sequence[str], order: Sequence[str], e: str, lags: Column, most: int) -> DataFrame:
+def _variance(data: DataFrame, keys: Sequence[str], order: Sequence[str], e: str, lags: Column, most: int, rows: int | None = None) -> DataFrame:
     """(keys, g0, lrv): the variance of e and its Bartlett long-run variance with ``lags`` (up to ``most``) lags."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    shifted = rows.select(*keys, "n", lags.alias("l"), F.col(e).alias("e"), *[F.lag(e, k).over(w).alias(f"e{k}") for k in range(1, most + 1)])
-    sums = shifted.groupBy(*keys).agg(F.count("*").alias("m"), F.max("l").alias("l"), F.sum(F.col("e") ** 2).alias("s0"), *[F.coalesce(F.sum(F.col("e") * F.col(f"e{k}")), F.lit(0.0)).alias(f"s{k}") for k in range(1, most + 1)])
+    part = ranges.cut(data, keys, order, rows, most)
+    shifted = part.data.withColumns({"l": lags, "e": F.col(e)} | {f"e{k}": F.lag(e, k).over(part.window()) for k in range(1, most + 1)})
+    sums = part.own(shifted).groupBy(*keys).agg(F.count("*").alias("m"), F.max("l").alias("l"), F.sum(F.col("e") ** 2).alias("s0"), *[F.coalesce(F.sum(F.col("e") * F.col(f"e{k}")), F.lit(0.0)).alias(f"s{k}") for k in range(1, most + 1)])
     terms = [F.when(F.col("l") >= k, 2 * (1 - F.lit(float(k)) / (F.col("l") + 1)) * F.col(f"s{k}")).otherwise(0.0) for k in range(1, most + 1)]
     return sums.select(*keys, "m", (F.col("s0") / F.col("m")).alias("g0"), (reduce(lambda a, b: a + b, terms, F.col("s0")) / F.col("m")).alias("lrv"))
 
 
-def _trend_residuals(rows: DataFrame, keys: Sequence[str], trend: str) -> DataFrame:
+def _trend_residuals(data: DataFrame, keys: Sequence[str], trend: str, rows: int | None = None) -> DataFrame:
     """``e``: the value less its mean, or less its line in time."""
-    if trend == "c":
-        return rows.withColumn("e", F.col("v") - F.avg("v").over(Window.partitionBy(*keys)))
-    line = rows.groupBy(*keys).agg(F.regr_slope("v", F.col("i").cast("double")).alias("b"), F.regr_intercept("v", F.col("i").cast("double")).alias("a"))
-    return rows.join(line, list(keys)).withColumn("e", F.col("v") - F.col("a") - F.col("b") * F.col("i"))
+    if trend == "c" and rows is None:
+        return data.withColumn("e", F.col("v") - F.avg("v").over(Window.partitionBy(*keys)))
+    place = F.col("i").cast("double")
+    fit = {"c": (F.avg("v"), F.lit(0.0)), "ct": (F.regr_intercept("v", place), F.regr_slope("v", place))}[trend]
+    line = data.groupBy(*keys).agg(fit[0].alias("a"), fit[1].alias("b"))
+    return ranges.matched(data, line, keys).withColumn("e", F.col("v") - F.col("a") - F.col("b") * F.col("i"))
 
 
-def kpss(data: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "price", trend: str = "c", max_lags: int = 4, robust: bool = True, alpha: float = 0.05) -> DataFrame:
+def kpss(data: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "price", trend: str = "c", max_lags: int = 4, robust: bool = True, alpha: float = 0.05, rows: int | None = None) -> DataFrame:
     """KPSS (G3): stationary unless the statistic is large; p by interpolation in the table, within [.01, .10]."""
-    rows = _trend_residuals(_values(data, keys, order, value), keys, trend)
+    left = _trend_residuals(_values(data, keys, order, value, rows), keys, trend, rows)
     lags = F.least(F.floor(12 * F.pow(F.col("n") / 100.0, 0.25)), F.lit(max_lags)).cast("int") if robust else F.lit(max_lags)
-    variance = _variance(rows, keys, order, "e", lags, max_lags)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.withColumn("s", F.sum("e").over(w)).groupBy(*keys).agg(F.sum(F.col("s") ** 2).alias("ss"), F.max("n").alias("n_series"), F.max(lags).alias("n_lags"))
-    found = sums.join(variance, list(keys)).withColumn("statistic", F.col("ss") / F.col("n_series") ** 2 / F.nullif(F.col("lrv"), F.lit(0.0))).withColumn("n_obs", F.col("n_series"))
+    variance = _variance(left, keys, order, "e", lags, max_lags, rows)
+    sums = ranges.running(left, {"s": F.col("e")}, keys, order, rows).groupBy(*keys).agg(F.sum(F.col("s") ** 2).alias("ss"), F.max("n").alias("n_series"), F.max(lags).alias("n_lags"))
+    found = ranges.matched(sums, variance, keys).withColumn("statistic", F.col("ss") / F.col("n_series") ** 2 / F.nullif(F.col("lrv"), F.lit(0.0))).withColumn("n_obs", F.col("n_series"))
     x, s = KPSS[trend], F.col("statistic")
     p = F.when(s <= x[0], KPSS_P[0]).when(s >= x[3], KPSS_P[3])
     for i in range(3):
@@ -163,50 +173,95 @@ def kpss(data: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
     return _result(found.withColumn("p", p), keys, "kpss", trend, 4, F.col("p"), _levels((x[3], x[1], x[0])), F.col("p") > alpha)
 
 
-def phillips_perron(data: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "price", trend: str = "c", max_lags: int | None = None, alpha: float = 0.05) -> DataFrame:
+def phillips_perron(data: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "price", trend: str = "c", max_lags: int | None = None, alpha: float = 0.05, rows: int | None = None) -> DataFrame:
     """Phillips-Perron Z_tau (G2), Bartlett window of 12 (n/100)^(1/4) lags unless given."""
-    rows = _values(data, keys, order, value)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = rows.withColumn("x", F.col("v") - F.col("v0") if trend != "n" else F.col("v")).withColumn("z", F.lag("x").over(w)).where("z is not null").withColumn("t", F.col("i").cast("double"))
+    values = _values(data, keys, order, value, rows).withColumn("x", F.col("v") - F.col("v0") if trend != "n" else F.col("v"))
+    part = ranges.cut(values, keys, order, rows, 1)
+    lagged = part.own(part.data.withColumn("z", F.lag("x").over(part.window())), True).where("z is not null").withColumn("t", F.col("i").cast("double"))
+    if rows is not None:  # the first row of a series is gone
+        lagged = lagged.withColumns({ranges.INDEX: F.col(ranges.INDEX) - 1, ranges.LENGTH: F.col(ranges.LENGTH) - 1})
     xs = {"z": F.col("z")} | ({"t": F.col("t")} if trend == "ct" else {})
-    fits = grouped_ols(rows, keys, "x", xs, const=trend != "n")
+    fits = grouped_ols(lagged, keys, "x", xs, const=trend != "n")
     e = F.col("x") - F.coalesce(F.element_at("coef", "const"), F.lit(0.0)) - F.element_at("coef", "z") * F.col("z") - (F.element_at("coef", "t") * F.col("t") if trend == "ct" else 0.0)
-    residuals = rows.join(fits.where("status = 'ok'").select(*keys, "coef"), list(keys)).withColumn("e", e)
+    residuals = ranges.matched(lagged, fits.where("status = 'ok'").select(*keys, "coef"), keys).withColumn("e", e)
     lags = F.ceil(12 * F.pow((F.col("n") - 1) / 100.0, 0.25)).cast("int") if max_lags is None else F.lit(max_lags)
-    most = max_lags if max_lags is not None else rows.agg(F.max(lags)).first()[0] or 0
-    variance = _variance(residuals, keys, order, "e", lags, most)
-    counts = rows.groupBy(*keys).agg(F.max("n").alias("n_series"), F.max(lags).alias("n_lags"))
-    found = fits.select(*keys, "n_obs", "sigma2", F.element_at("coef", "z").alias("b"), F.element_at("se", "z").alias("se")).join(variance, list(keys)).join(counts, list(keys))
+    most = max_lags if max_lags is not None else lagged.agg(F.max(lags)).first()[0] or 0
+    variance = _variance(residuals, keys, order, "e", lags, most, rows)
+    counts = lagged.groupBy(*keys).agg(F.max("n").alias("n_series"), F.max(lags).alias("n_lags"))
+    found = ranges.matched(ranges.matched(fits.select(*keys, "n_obs", "sigma2", F.element_at("coef", "z").alias("b"), F.element_at("se", "z").alias("se")), variance, keys), counts, keys)
     n, lrv, g0, s = F.col("n_obs"), F.col("lrv"), F.col("g0"), F.sqrt("sigma2")
     z = F.sqrt(g0 / lrv) * (F.col("b") - 1) / F.col("se") - 0.5 * (lrv - g0) / F.sqrt(lrv) * n * F.col("se") / s
     found = found.withColumn("statistic", z).withColumn("p", dist.udf(dist.mackinnon_p, trend, 1)("statistic"))
     return _result(found, keys, "pp", trend, 4, F.col("p"), mackinnon_map(F.col("n_obs"), trend), F.col("p") < alpha)
 
 
-def breaks(rows: DataFrame, keys: Sequence[str], trim: float = 0.15) -> DataFrame:
-    """Rows times candidate breaks i in [floor(trim n), n - floor(trim n)): the row's place counts from 0."""
-    a = F.floor(F.col("n") * trim).cast("int")
-    return rows.withColumn("break_at", F.explode(F.sequence(a, F.greatest(a, (F.col("n") - a - 1).cast("int")))))
+def break_range(n: Column, trim: float) -> tuple[Column, Column]:
+    """The first and the last candidate date by its place from 0: floor(trim n) to n - floor(trim n) - 1."""
+    a = F.floor(n * trim).cast("int")
+    return a, n - a - 1
+
+
+def small_fits(xx: np.ndarray, xy: np.ndarray, yy: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients and their t of a stack of regressions given by cross-products, and which of them are regular."""
+    inv, good = inverse(xx.copy())
+    k = xx.shape[1]
+    b = np.einsum("nij,nj->ni", inv, xy)
+    b += np.einsum("nij,nj->ni", inv, xy - np.einsum("nij,nj->ni", xx, b))
+    ssr = np.maximum(yy - 2 * np.einsum("ni,ni->n", b, xy) + np.einsum("ni,nij,nj->n", b, xx, b), 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return b, b / np.sqrt(np.einsum("nii->ni", inv) * (ssr / (n - k))[:, None]), good & (n > k)
 
 
-def zivot_andrews(data: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "price", trend: str = "c", lags: int = 1, trim: float = 0.15) -> DataFrame:
+def zivot_andrews(data: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "price", trend: str = "c", lags: int = 1, trim: float = 0.15, rows: int | None = None) -> DataFrame:
     """Zivot-Andrews (G4): the least t over break dates in the intercept, the trend or both; a fixed number of lags.
 
-    Rows times breaks is quadratic in the length of a series, which for monthly prices is small.
+    The step and the ramp that begin at a date have cross-products that are totals less running sums of the columns and of
+    time times the columns; each candidate date is one row with these sums, and one small solve.
     """
-    rows = _lagged(_values(data, keys, order, value), keys, order, F.col("v") - F.col("v0"), lags).where(F.col("have") >= lags)
-    wide = breaks(rows, keys, trim).withColumn("t", F.col("i").cast("double"))
-    after = F.col("i") - 1 >= F.col("break_at")
-    xs = {"z": F.col("z"), "t": F.col("t")} | {f"d{k}": F.col(f"d{k}") for k in range(1, lags + 1)}
-    if trend in ("c", "ct"):
-        xs["du"] = after.cast("double")
-    if trend in ("t", "ct"):
-        xs["dt"] = F.when(after, F.col("i") - F.col("break_at")).otherwise(0).cast("double")
-    fits = grouped_ols(wide, [*keys, "break_at"], "d", xs).where("status = 'ok'").withColumn("tz", F.element_at("t", "z"))
-    best = fits.groupBy(*keys).agg(F.min(F.struct("tz", "break_at", "n_obs")).alias("m")).select(*keys, F.col("m.tz").alias("statistic"), F.col("m.break_at").alias("break_at"), F.col("m.n_obs").alias("n_obs"), F.lit(lags).alias("n_lags"))
-    dates = _values(data, keys, order, value).select(*keys, (F.col("i") - 1).alias("break_at"), F.col(order[0]).cast("date").alias("break_date"), F.col("n").alias("n_series"))
-    counts = dates.groupBy(*keys).agg(F.max("n_series").alias("n_series"))
-    found = counts.join(best.join(dates.drop("n_series"), [*keys, "break_at"]), list(keys), "left")
+    values = _values(data, keys, order, value, rows)
+    made = _lagged(values, keys, order, F.col("v") - F.col("v0"), lags, rows).where(F.col("have") >= lags)
+    u = F.col("i").cast("double") / F.col("n")
+    columns = [F.lit(1.0), F.col("z"), u, *[F.col(f"d{k}") for k in range(1, lags + 1)], F.col("d")]
+    m = len(columns)
+    made = made.select(*keys, *order, *([ranges.INDEX, ranges.LENGTH] if rows is not None else []), "i", "n", *[c.alias(f"c{j}") for j, c in enumerate(columns)])
+    totals = made.groupBy(*keys).agg(F.count("*").alias("n_obs"), gram([F.col(f"c{j}") for j in range(m)]).alias("g"))
+    if rows is not None:  # the first rows are gone
+        made = made.withColumns({ranges.INDEX: F.col(ranges.INDEX) - lags - 1, ranges.LENGTH: F.col(ranges.LENGTH) - lags - 1})
+    sums = {f"p{j}": F.col(f"c{j}") for j in range(m)} | {f"q{j}": F.col("c2") * F.col(f"c{j}") for j in range(m)}
+    so_far = ranges.running(made, sums, keys, order, rows, inclusive=False)
+    low, high = break_range(F.col("n"), trim)
+    place = F.col("i") - 1
+    tried = so_far.where((place >= low) & (place <= high))
+    array = lambda s: F.array(*[F.coalesce(F.col(f"{s}{j}"), F.lit(0.0)) for j in range(m)]).alias(s)
+    date = F.col(order[0]).cast("date")
+    tried = ranges.matched(tried.select(*keys, place.cast("long").alias("break_at"), date.alias("break_date"), "n", array("p"), array("q")), totals, keys)
+    step, ramp = trend in ("c", "ct"), trend in ("t", "ct")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            g = unpack(np.array(frame["g"].tolist(), float), m)
+            s, t = g[:, 0, :] - np.array(frame["p"].tolist(), float), g[:, 2, :] - np.array(frame["q"].tolist(), float)
+            at = (frame["break_at"] / frame["n"]).to_numpy(float)[:, None]
+            # the products of a step and of a ramp u - at with every column, and with each other
+            dummies = ([("step", s)] if step else []) + ([("ramp", t - at * s)] if ramp else [])
+            own = {("step", "step"): s[:, 0], ("step", "ramp"): t[:, 0] - at[:, 0] * s[:, 0], ("ramp", "ramp"): t[:, 2] - 2 * at[:, 0] * t[:, 0] + at[:, 0] ** 2 * s[:, 0]}
+            k = m - 1 + len(dummies)
+            xx, xy = np.zeros((len(frame), k, k)), np.zeros((len(frame), k))
+            xx[:, : m - 1, : m - 1], xy[:, : m - 1] = g[:, : m - 1, : m - 1], g[:, : m - 1, m - 1]
+            for a, (name, products) in enumerate(dummies, m - 1):
+                xx[:, a, : m - 1] = xx[:, : m - 1, a] = products[:, : m - 1]
+                xy[:, a] = products[:, m - 1]
+                for b, (other, _) in enumerate(dummies, m - 1):
+                    xx[:, a, b] = own[(name, other) if (name, other) in own else (other, name)]
+            _, tz, good = small_fits(xx, xy, g[:, m - 1, m - 1], frame["n_obs"].to_numpy(float))
+            yield frame[[*keys, "break_at", "break_date", "n_obs"]].assign(tz=np.where(good, tz[:, 1], np.nan)).dropna(subset=["tz"])
+
+    fits = tried.mapInPandas(run, f"{_head(values, keys)}, break_at long, break_date date, n_obs long, tz double".lstrip(", "))
+    best = fits.groupBy(*keys).agg(F.min(F.struct("tz", "break_at", "n_obs", "break_date")).alias("m")).select(*keys, F.col("m.tz").alias("statistic"), F.col("m.break_at").alias("break_at"), F.col("m.n_obs").alias("n_obs"), F.col("m.break_date").alias("break_date"), F.lit(lags).alias("n_lags"))
+    counts = values.groupBy(*keys).agg(F.max("n").alias("n_series"))
+    found = ranges.matched(counts, best, keys, "left") if keys else counts.join(best, how="left")
     return _result(found, keys, "za", trend, 9, None, _levels(ZA[trend]), F.col("statistic") < ZA[trend][1])
 
 
