@@ -145,6 +145,8 @@ def _bands(flat: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.nd
     from that prefix to the query's first depth - 1 + x letters, or 2 for more than one.
     """
     n = len(start)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     letter = lambda at, d: np.where(d < length[at], flat[np.minimum(start[at] + d, len(flat) - 1)], 0)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     last = np.append(first[1:], n)
