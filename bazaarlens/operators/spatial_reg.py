@@ -14,13 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import dist
-from bazaarlens.operators import spatial_stats, weights
+from bazaarlens.operators import logdet, spatial_stats, weights
 from bazaarlens.operators.ols import CONST, grouped_ols
 from bazaarlens.plans.lineage import saved
 
-#: Terms of the log-determinant series and random probes for the traces of W^k.
-TERMS, PROBES = 20, 32
-
 
 def ols(data: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     """Least squares of a cross-section."""
@@ -71,34 +68,12 @@ def dependence(data: DataFrame, edges: DataFrame, y: str, xs: Sequence[str], key
     return data.sparkSession.createDataFrame(out, "test string, statistic double, p double, recommended string")
 
 
-def traces(edges: DataFrame, n: int, terms: int = TERMS, probes: int = PROBES, seed: int = 0, units: DataFrame | None = None, key: str = "market") -> list[float]:
-    """tr(W^k) for k = 1..terms: exact for the first two, then by random signs (Barry and Pace 1999), a join per power."""
-    back = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("w").alias("v"))
-    loops = edges.where("src = dst").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-    out = [loops, edges.join(back, ["src", "dst"]).agg(F.coalesce(F.sum(F.col("w") * F.col("v")), F.lit(0.0))).first()[0]]
-    ids = (units.select(F.col(key).alias("id")) if units is not None else edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))).distinct()
-    sign = [F.when(F.xxhash64(F.lit(seed), F.lit(p), "id") % 2 == 0, 1.0).otherwise(-1.0).alias(f"u{p}") for p in range(probes)]
-    base = saved(ids.select("id", *sign))
-    now, sums = base.select("id", *[F.col(f"u{p}").alias(f"z{p}") for p in range(probes)]), []
-    for k in range(1, terms + 1):
-        step = edges.join(now.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(*[F.sum(F.col("w") * F.col(f"z{p}")).alias(f"z{p}") for p in range(probes)])
-        now = saved(step) if k % 4 == 0 else step
-        if k > 2:
-            sums.append(now.join(base, "id").agg(F.lit(k).alias("k"), F.sum(reduce(lambda a, b: a + b, [F.col(f"u{p}") * F.col(f"z{p}") for p in range(probes)])).alias("t")))
-    found = {r["k"]: r["t"] or 0.0 for r in reduce(DataFrame.unionAll, sums).collect()} if sums else {}
-    return out + [found[k] / probes for k in sorted(found)]
-
-
-def _log_det(rho: float, tr: Sequence[float]) -> float:
-    """ln |I - rho W| by its series."""
-    return -sum(rho ** (k + 1) * t / (k + 1) for k, t in enumerate(tr))
-
-
-def _maximum(f, lo: float = -0.98, hi: float = 0.98) -> float:
-    """Golden-section search from the best of a grid."""
-    grid = np.linspace(lo, hi, 99)
+def _maximum(f, lo: float, hi: float) -> float:
+    """Golden-section search from the best of a grid that is denser towards the ends."""
+    lo, hi = lo + 1e-9 * (hi - lo), hi - 1e-9 * (hi - lo)
+    grid = (lo + hi) / 2 + (hi - lo) / 2 * np.sin(np.linspace(-np.pi / 2, np.pi / 2, 401))
     i = int(np.argmax([f(x) for x in grid]))
-    a, b = grid[max(i - 1, 0)], grid[min(i + 1, 98)]
+    a, b = grid[max(i - 1, 0)], grid[min(i + 1, len(grid) - 1)]
     g = (math.sqrt(5) - 1) / 2
     for _ in range(80):
         c, d = b - g * (b - a), a + g * (b - a)
@@ -106,6 +81,15 @@ def _maximum(f, lo: float = -0.98, hi: float = 0.98) -> float:
     return float((a + b) / 2)
 
 
+def _likeliest(f, det) -> float:
+    """The rho of the largest f within the interval of the weights; moments are carried on while it is near their reach."""
+    while True:
+        lo, hi = max(det.lo, -det.reach, -1e6), min(det.hi, det.reach, 1e6)
+        rho = _maximum(f, lo, hi)
+        if lo + 0.02 * (hi - lo) < rho < hi - 0.02 * (hi - lo) or not det.widen():
+            return rho
+
+
 MODEL = "model string, method string, spatial double, coef map<string,double>, se map<string,double>, z map<string,double>, p map<string,double>, sigma2 double, pseudo_r2 double, log_lik double, aic double, bic double, n_obs long, status string"
 
 
@@ -168,12 +152,12 @@ def lag_model(data: DataFrame, edges: DataFrame, y: str, xs: Sequence[str], key:
     e00 = yy - b0 @ m[ix, at[y]]
     e0l = m[at[y], at[wy]] - b0 @ m[ix, at[wy]]
     ell = m[at[wy], at[wy]] - bl @ m[ix, at[wy]]
-    tr = traces(edges, n, units=rows, key=key)
-    ll = lambda r: _log_det(r, tr) - n / 2 * (math.log(2 * math.pi) + math.log(max((e00 - 2 * r * e0l + r * r * ell) / n, 1e-300)) + 1)
-    rho = _maximum(ll)
+    det = logdet.determinant(edges, rows, key)
+    ll = lambda r: det.log(r) - n / 2 * (math.log(2 * math.pi) + math.log(max((e00 - 2 * r * e0l + r * r * ell) / n, 1e-300)) + 1)
+    rho = _likeliest(ll, det)
     b = b0 - rho * bl
     sigma2 = (e00 - 2 * rho * e0l + rho * rho * ell) / n
-    h = 1e-4
+    h = min(1e-4, (min(det.hi, 1e6) - rho) / 4, (rho - max(det.lo, -1e6)) / 4)
     curve = -(ll(rho + h) - 2 * ll(rho) + ll(rho - h)) / h**2
     v_rho = 1 / curve if curve > 0 else float("nan")
     cov = np.zeros((len(names) + 1, len(names) + 1))
@@ -219,11 +203,11 @@ def error_model(data: DataFrame, edges: DataFrame, y: str, xs: Sequence[str], ke
             s2 = max(float(left @ g[:, 2] / (g[:, 2] @ g[:, 2])), 0.0)
             return -float(((left - g[:, 2] * s2) ** 2).sum())
 
-        lam = _maximum(miss)
+        lam = _maximum(miss, -0.9999, 0.9999)
     elif method == "ml":
-        tr = traces(edges, n, units=rows, key=key)
-        value = lambda r: _log_det(r, tr) - n / 2 * (math.log(2 * math.pi) + math.log(max(filtered(r)[2] / n, 1e-300)) + 1)
-        lam = _maximum(value)
+        det = logdet.determinant(edges, rows, key)
+        value = lambda r: det.log(r) - n / 2 * (math.log(2 * math.pi) + math.log(max(filtered(r)[2] / n, 1e-300)) + 1)
+        lam = _likeliest(value, det)
         ll = float(value(lam))
     else:
         raise ValueError(f"unknown method {method}")
@@ -243,19 +227,22 @@ def predict(model: DataFrame, data: DataFrame, xs: Sequence[str], edges: DataFra
     return lagged.select(key, (F.col("_xb") + float(m["spatial"]) * F.col(f"w_{y if y and y in data.columns else '_xb'}")).alias("predicted"))
 
 
-def impacts(model: DataFrame, edges: DataFrame, n: int, xs: Sequence[str], tr: Sequence[float] | None = None) -> DataFrame:
-    """(variable, direct, indirect, total) (J5): for a lag model by the trace series of a row-standardised W.
+def impacts(model: DataFrame, edges: DataFrame, units: DataFrame, xs: Sequence[str], key: str = "market") -> DataFrame:
+    """(variable, direct, indirect, total) (J5): for a lag model by the trace of (I - rho W)^-1, W row-standardised.
 
-    A rho outside (-1, 1), as weak instruments may give, has no effects: they are null.
+    A Durbin model's lagged columns aren't part of it.  A rho outside the interval of the weights, as weak instruments may
+    give, has no effects: they are null.
     """
     m = model.first()
     rho = m["spatial"] if m["model"] != "spatial_error" else 0.0
     schema = "variable string, direct double, indirect double, total double"
-    if abs(rho) >= 1:
-        return model.sparkSession.createDataFrame([(x, None, None, None) for x in xs], schema)
-    tr = (traces(edges, n) if tr is None else tr) if rho else []
-    share = 1 + sum(rho ** (k + 1) * t for k, t in enumerate(tr)) / n
-    rows = [(x, m["coef"][x] * share, m["coef"][x] * (1 / (1 - rho) - share), m["coef"][x] / (1 - rho)) for x in xs]
+    share, total = 1.0, 1.0
+    if rho:
+        det = logdet.determinant(edges, units, key)
+        if not max(det.lo, -1) < rho < min(det.hi, 1) or (abs(rho) > det.reach and not det.widen(rho)):
+            return model.sparkSession.createDataFrame([(x, None, None, None) for x in xs], schema)
+        share, total = det.trace(rho) / det.n, 1 / (1 - rho)
+    rows = [(x, m["coef"][x] * share, m["coef"][x] * (total - share), m["coef"][x] * total) for x in xs]
     return model.sparkSession.createDataFrame([(a, float(b), float(c), float(d)) for a, b, c, d in rows], schema)
 
 

@@ -205,7 +205,7 @@ def j4_predict(spark, sf_dir):
 @query()
 def j5_impacts(spark, sf_dir):
     c, e = cross(spark, sf_dir), edges(spark, sf_dir)
-    return rounded(spatial_reg.impacts(spatial_reg.lag_model(c, e, "price", ["conflict_intensity"], method="ml"), e, c.count(), ["conflict_intensity"]), 4)
+    return rounded(spatial_reg.impacts(spatial_reg.lag_model(c, e, "price", ["conflict_intensity"], method="ml"), e, c, ["conflict_intensity"]), 4)
 
 
 @query()

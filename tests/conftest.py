@@ -4,6 +4,9 @@ import tempfile
 
 import pytest
 
+# dense brute force beside a JVM and its workers: one thread of linear algebra each, set before numpy is loaded
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
