@@ -26,7 +26,7 @@ def documents():
 
 
 def test_all_rows_are_there(results, documents):
-    for name in ("op1_simhash", "op2_language", "op3_quality", "op4_exact_dedup", "op5_substring_dedup", "op6_mixing", "op8_line_dedup", "op9_maxent_lm"):
+    for name in ("op1_simhash", "op2_language", "op3_quality", "op4_exact_dedup", "op5_substring_dedup", "op6_mixing", "op8_line_dedup", "op9_maxent_lm", "op12_secret_scan"):
         assert sorted(results[name].doc_id) == sorted(documents.doc_id), name
     assert set(results["op7_packing"].doc_id) == set(documents.doc_id)
 
@@ -66,7 +66,7 @@ def test_scores_of_the_language_model(results):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(results, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name]).df()
     columns = sorted(want.columns)
