@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import dist
-from bazaarlens.operators import ranges
+from bazaarlens.operators import joins, ranges
 from bazaarlens.operators.ols import complete, gram, grouped_ols, restriction_f, unpack
 from bazaarlens.operators.unitroot import _head, adf_statistics, break_range, mackinnon_map, small_fits
 
@@ -32,6 +32,14 @@ def cointegrating_vectors(pairs: DataFrame, keys: Sequence[str] = KEYS) -> DataF
     return pairs.groupBy(*keys).agg(F.regr_intercept("y", "x").alias("const"), F.regr_slope("y", "x").alias("slope"), F.regr_count("y", "x").alias("n_obs"), F.regr_r2("y", "x").alias("r2"))
 
 
+def panel_vectors(panel: DataFrame, value: str = "price", market: str = "market", date: str = "date", **tiles) -> DataFrame:
+    """(pair_id, const, slope, n_obs, r2) of all market pairs of a panel by products of tiles: no row for a pair and date (H1)."""
+    sums = joins.pair_sums(panel, value, market, date, **tiles)
+    slope = F.col("s_lr") / F.nullif(F.col("s_rr"), F.lit(0.0))
+    r2 = F.when(F.col("s_rr") != 0, F.when(F.col("s_ll") == 0, 1.0).otherwise(F.col("s_lr") ** 2 / (F.col("s_ll") * F.col("s_rr"))))
+    return sums.select(F.concat_ws("|", "left", "right").alias("pair_id"), (F.col("m_left") - slope * F.col("m_right")).alias("const"), slope.alias("slope"), F.col("n").alias("n_obs"), r2.alias("r2"))
+
+
 def residuals(pairs: DataFrame, keys: Sequence[str] = KEYS, rows: int | None = None) -> DataFrame:
     """The pairs with ``z``, what the cointegrating vector leaves."""
     if rows is not None:

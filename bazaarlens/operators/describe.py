@@ -5,18 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaarlens.operators import clean
+from bazaarlens.operators import clean, joins, ranges
+from bazaarlens.plans.lineage import saved
 
 
-def aggregate(data: DataFrame, group: Sequence[str], columns: dict[str, str | Sequence[str]]) -> DataFrame:
-    """``column_function`` for each column and function named."""
+def aggregate(data: DataFrame, group: Sequence[str], columns: dict[str, str | Sequence[str]], order: Sequence[str] = ()) -> DataFrame:
+    """``column_function`` for each column and function named.
+
+    ``first`` and ``last`` are the first and the last value that isn't null by ``order``, which they need: a table's rows have
+    no order of their own.
+    """
     todo = [(c, f) for c, fs in columns.items() for f in ([fs] if isinstance(fs, str) else fs)]
     names = {"mean": "avg", "std": "stddev_samp", "var": "var_samp", "nunique": "count_distinct"}
-    special = {"count_distinct": F.count_distinct, "first": F.min, "last": F.max}
+    if not order and any(f in ("first", "last") for _, f in todo):
+        raise ValueError("first and last need an order")
+    at = lambda c: F.when(c.isNotNull(), F.struct(*order))
+    special = {"count_distinct": F.count_distinct, "first": lambda c: F.min_by(c, at(c)), "last": lambda c: F.max_by(c, at(c))}
     column = lambda c, f: special[names.get(f, f)](F.col(c)) if names.get(f, f) in special else getattr(F, names.get(f, f))(F.col(c))
     return data.groupBy(*group).agg(*[column(c, f).alias(f"{c}_{f}") for c, f in todo])
 
@@ -60,7 +69,7 @@ def average_ranks(data: DataFrame, column: str, name: str, keys: Sequence[str] =
 
 
 def correlation(data: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
-    """(a, b, corr) for all pairs of columns: pearson (E3), spearman (E4), or kendall's tau-b (E5, quadratic in the rows)."""
+    """(a, b, corr) for all pairs of columns: pearson (E3), spearman (E4), or kendall's tau-b (E5)."""
     if method == "pearson":
         # corr over rows that have both
         return _pairwise(data, columns, lambda a, b: F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))))
@@ -79,23 +88,69 @@ def correlation(data: DataFrame, columns: Sequence[str], method: str = "pearson"
     return out.unionAll(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")).unionAll(same)
 
 
-def kendall(both: DataFrame, a: str, b: str, keys: Sequence[str] = (), blocks: int = 64) -> DataFrame:
-    """tau-b: concordant less discordant pairs of distinct points, by counts.
+def inversions(ranks: np.ndarray, weight: np.ndarray) -> float:
+    """The weight of the pairs i < j with ranks[i] > ranks[j]: by bits from the highest down, within equal higher bits."""
+    total = 0.0
+    for bit in range(int(ranks.max(initial=0)).bit_length() - 1, -1, -1):
+        order = np.argsort(ranks >> (bit + 1), kind="stable")
+        group, one, w = (ranks >> (bit + 1))[order], ((ranks >> bit) & 1)[order], weight[order]
+        ones = np.cumsum(w * one)
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        base = np.repeat(np.concatenate([[0.0], ones])[start], np.diff(np.append(start, len(group))))
+        total += float((w * (1 - one) * (ones - base)).sum())
+    return total
+
+
+#: Points that a range holds at least, and ranges in each direction at most.
+RANGE_POINTS, MOST_RANGES = 4096, 1024
 
-    Points are distinct (a, b) with counts, dealt into blocks by hash; each block is joined with each other one by its
-    number, so the pairs are spread over the cluster.  Their number is quadratic, as the statistic's is.
+
+def kendall(both: DataFrame, a: str, b: str, range_points: int = RANGE_POINTS) -> DataFrame:
+    """tau-b: concordant less discordant pairs, by counting inversions in ranges.
+
+    Distinct points with counts are placed in the order of (a, b), and by the values of b; discordant pairs are inversions of b
+    in that order.  Places are cut into rows and values into columns of a table of at most MOST_RANGES each way.  Pairs within
+    a column are counted there; pairs of two columns within a row by the columns' numbers; and pairs of two rows and two
+    columns from the table of counts alone.  A value that is a column of its own has no inversion and isn't looked at.
     """
-    points = both.groupBy(*keys, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("c"))
-    points = points.withColumn("k", F.pmod(F.xxhash64("a", "b"), F.lit(blocks)).cast("int"))
-    left = points.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = points.select(*keys, F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("c").alias("c2"), F.col("k").alias("l"))
-    pairs = left.join(right, [*keys, "l"]).where("a < a2")
-    signed = pairs.groupBy(*keys).agg(F.sum(F.col("c") * F.col("c2") * F.signum(F.col("b2") - F.col("b"))).alias("s"))
-    total = lambda g, n: points.groupBy(*keys, *g).agg(F.sum("c").alias("c")).groupBy(*keys).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias(n))
-    n0, n1, n2 = total([], "n0") if keys else points.agg(F.sum("c").alias("c")).select((F.col("c") * (F.col("c") - 1) / 2).alias("n0")), total(["a"], "n1"), total(["b"], "n2")
-    join = (lambda x, y: x.join(y, list(keys))) if keys else (lambda x, y: x.crossJoin(F.broadcast(y)))  # without keys one row each
-    whole = join(join(join(n0, n1), n2), signed)
-    return whole.select(*keys, (F.col("s") / F.sqrt(F.nullif((F.col("n0") - F.col("n1")) * (F.col("n0") - F.col("n2")), F.lit(0.0)))).alias("corr"))
+    counted = both.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("c"))
+    points = saved(ranges.numbered(counted, [], ["a", "b"]))
+    total = points.count()
+    size = max(range_points, -(-total // MOST_RANGES))
+    values = clean.cumulated(points.select("b"), "b")  # points with a smaller b, and with this one
+    # a value of very many points is a column of its own, after those that begin in the same range of points
+    column = (2 * F.floor(F.col("_before") / size) + F.when(F.col("_c") > size, 1).otherwise(0)).cast("long")
+    placed = saved(points.join(values.select("b", column.alias("column")), "b").select("a", "b", "c", F.col(ranges.INDEX).alias("place"), F.floor(F.col(ranges.INDEX) / size).alias("row"), "column"))
+
+    def within(by: str):
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("place")
+            ranks = np.unique(frame["b" if by == "column" else "column"].to_numpy(), return_inverse=True)[1]
+            return pd.DataFrame({"d": [inversions(ranks, frame["c"].to_numpy(float))]})
+
+        return run
+
+    own = placed.where("column % 2 = 0").select("place", "b", "c", "column").groupBy("column").applyInPandas(within("column"), "d double")
+    crossed = placed.select("place", "column", "c", "row").groupBy("row").applyInPandas(within("row"), "d double")
+
+    def apart(cells: pd.DataFrame) -> pd.DataFrame:
+        rows, i = np.unique(cells["row"], return_inverse=True)
+        columns, j = np.unique(cells["column"], return_inverse=True)
+        table = np.zeros((len(rows), len(columns)))
+        table[i, j] = cells["c"]
+        before = np.cumsum(table, 0) - table
+        above = before.sum(1, keepdims=True) - np.cumsum(before, 1)  # earlier rows, later columns
+        return pd.DataFrame({"d": [float((table * above).sum())]})
+
+    # at most MOST_RANGES by 2 MOST_RANGES cells
+    cells = placed.groupBy("row", "column").agg(F.sum("c").alias("c")).withColumn("one", F.lit(0))
+    discordant = own.unionAll(crossed).unionAll(cells.groupBy("one").applyInPandas(apart, "d double")).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"))
+    ties = lambda by, name: points.groupBy(*by).agg(F.sum("c").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias(name))
+    whole = points.agg(F.sum("c").alias("c")).select((F.col("c") * (F.col("c") - 1) / 2).alias("n0"))
+    for one in (ties(["a"], "n1"), ties(["b"], "n2"), ties(["a", "b"], "n3"), discordant):
+        whole = whole.crossJoin(F.broadcast(one))  # one row each
+    s = F.col("n0") - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.col("d")
+    return whole.select((s / F.sqrt(F.nullif((F.col("n0") - F.col("n1")) * (F.col("n0") - F.col("n2")), F.lit(0.0)))).alias("corr"))
 
 
 def dispersion(data: DataFrame, value: str = "price", date: str = "date") -> DataFrame:
@@ -113,6 +168,13 @@ def market_correlation(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("market_y", "market_x").agg(F.corr("y", "x").alias("corr"), F.count("*").alias("n"))
 
 
+def market_correlations(panel: DataFrame, value: str = "price", market: str = "market", date: str = "date", **tiles) -> DataFrame:
+    """The same from a panel, by products of tiles: no row for a pair and date."""
+    sums = joins.pair_sums(panel, value, market, date, **tiles)
+    corr = F.col("s_lr") / F.sqrt(F.nullif(F.col("s_ll") * F.col("s_rr"), F.lit(0.0)))
+    return sums.select(F.col("left").alias("market_y"), F.col("right").alias("market_x"), F.when(F.col("n") > 1, corr).alias("corr"), "n")
+
+
 def market_wide(data: DataFrame, value: str = "price", market: str = "market", date: str = "date", markets: Sequence[str] | None = None) -> DataFrame:
     """date x market, mean price."""
     return data.groupBy(date).pivot(market, list(markets) if markets else None).agg(F.avg(value))

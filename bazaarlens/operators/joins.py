@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaarlens.plans.lineage import saved
+
 
 def align(left: DataFrame, right: DataFrame, on: Sequence[str] = ("date",), y: str = "price", x: str = "price") -> DataFrame:
     """(on..., y, x): complete cases of two series on equal keys."""
@@ -19,7 +23,8 @@ def market_pairs(panel: DataFrame, value: str = "price", market: str = "market",
     """All pairs of markets i < j at equal dates (D1): pair_id, market_y, market_x, ts, y, x, and mode if any are named.
 
     Pairs grow with the square of the markets; ``pair_filter`` (src, dst) restricts them to an edge table.  A date's markets
-    are dealt into blocks of about BLOCK_UNITS, and pairs of blocks are the keys of the join beside the date.
+    are dealt into blocks, and pairs of blocks are the keys of the join beside the date.  Where sums over the dates are all
+    that is asked for, ``pair_sums`` makes no row for a pair and date.
     """
     side = lambda m, v: panel.select(F.col(ts).alias("ts"), *on, F.col(market).alias(m), F.col(value).cast("double").alias(v)).dropna()
     a, b = side("market_y", "y"), side("market_x", "x")
@@ -32,19 +37,15 @@ def market_pairs(panel: DataFrame, value: str = "price", market: str = "market",
     return out.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))) if modes else out
 
 
-#: Units of one block, on average.
-BLOCK_UNITS = 512
+#: Blocks into which a period's units are dealt.
+BLOCKS = 8
 
 
-def unit_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], left: str, right: str) -> DataFrame:
+def unit_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], left: str, right: str, blocks: int = BLOCKS) -> DataFrame:
     """Rows of ``a`` and ``b`` alike in ``on`` whose units are in order: left < right.
 
-    With more units than one block has, the join is on pairs of blocks as well, so that a period's pairs are many keys.
+    The join is on pairs of blocks as well, so that a period's pairs are blocks^2 keys; nothing runs before it is asked for.
     """
-    units = a.agg(F.approx_count_distinct(left)).first()[0] or 0
-    blocks = max(1, -(-units // BLOCK_UNITS))
-    if blocks == 1:
-        return a.join(b, list(on)).where(F.col(left) < F.col(right))
     own = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = a.withColumn("_a", own(left)).withColumn("_b", every)
@@ -52,6 +53,72 @@ def unit_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], left: str, right:
     return a.join(b, [*on, "_a", "_b"]).where(F.col(left) < F.col(right)).drop("_a", "_b")
 
 
+#: Units of a tile, and ranges of periods; a pair has one row for each range, not for each period.
+TILE_UNITS, TILE_RANGES = 256, 8
+
+
+def pair_sums(data: DataFrame, value: str, unit: str, time: str, blocks: int = BLOCKS, spans: int = TILE_RANGES) -> DataFrame:
+    """(left, right, n, m_left, m_right, s_ll, s_rr, s_lr): means and centred sums of squares and products of all pairs of units.
+
+    Over the periods that both units have, for left < right.  A tile holds the units of one block at the periods of one span
+    (both picked by hash) as a dense table with holes; the sums of two tiles are products of matrices, so rows of pairs are
+    made once a span and never for a period.  A unit has one value at a period: repeated ones are averaged.  Tiles grow with
+    the units and periods behind a block and a span: give more of either to larger tables.
+    """
+    rows = data.select(F.col(unit).cast("string").alias("unit"), F.col(time).cast("string").alias("time"), F.col(value).cast("double").alias("v")).where("unit is not null and time is not null and v is not null and not isnan(v)")
+    rows = rows.groupBy("unit", "time").agg(F.avg("v").alias("v"))
+    # values less a rough centre of their unit, so that products keep their digits
+    rows = rows.join(rows.groupBy("unit").agg(F.avg("v").alias("centre")), "unit").withColumn("v", F.col("v") - F.col("centre"))
+    part = lambda c, n, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(n)).cast("int")
+    rows = rows.withColumns({"block": part("unit", blocks, 1), "span": part("time", spans, 2)})
+    schema = "block int, span int, units array<string>, times array<string>, centres array<double>, v binary"
+    tiles = saved(rows.groupBy("block", "span").applyInPandas(_tile, schema))
+    right = tiles.select(*[F.col(c).alias(f"{c}_" if c != "span" else c) for c in tiles.columns])
+    pairs = tiles.join(right, "span").where("block <= block_").repartition("span", "block", "block_")
+    sums = pairs.mapInPandas(_tile_products, "left string, right string, c_left double, c_right double, n double, l double, r double, ll double, rr double, lr double")
+    total = sums.groupBy("left", "right").agg(*[F.max(c).alias(c) for c in ("c_left", "c_right")], *[F.sum(c).alias(c) for c in ("n", "l", "r", "ll", "rr", "lr")])
+    about = lambda both, a, b: F.col(both) - F.col(a) * F.col(b) / F.col("n")
+    return total.select("left", "right", F.col("n").cast("long").alias("n"), (F.col("c_left") + F.col("l") / F.col("n")).alias("m_left"), (F.col("c_right") + F.col("r") / F.col("n")).alias("m_right"), about("ll", "l", "l").alias("s_ll"), about("rr", "r", "r").alias("s_rr"), about("lr", "l", "r").alias("s_lr"))
+
+
+def _tile(rows: pd.DataFrame) -> pd.DataFrame:
+    units, at = np.unique(rows["unit"].to_numpy(str), return_inverse=True)
+    times, when = np.unique(rows["time"].to_numpy(str), return_inverse=True)
+    v = np.full((len(times), len(units)), np.nan)
+    v[when, at] = rows["v"].to_numpy(float)
+    centres = np.zeros(len(units))
+    centres[at] = rows["centre"].to_numpy(float)
+    return pd.DataFrame({"block": rows["block"].iloc[:1].to_numpy(), "span": rows["span"].iloc[:1].to_numpy(), "units": [units.tolist()], "times": [times.tolist()], "centres": [centres.tolist()], "v": [v.tobytes()]})
+
+
+def _tile_products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sums of every pair of units of two tiles with a period in common, by parts of TILE_UNITS units."""
+    for frame in frames:
+        for r in frame.to_dict("records"):
+            a = np.frombuffer(r["v"], float).reshape(len(r["times"]), -1)
+            b = np.frombuffer(r["v_"], float).reshape(len(r["times_"]), -1)
+            _, i, j = np.intersect1d(np.asarray(r["times"]), np.asarray(r["times_"]), return_indices=True)
+            a, b = a[i], b[j]
+            names, others = np.asarray(r["units"], object), np.asarray(r["units_"], object)
+            for p in range(0, len(names), TILE_UNITS):
+                for q in range(0, len(others), TILE_UNITS):
+                    x, y = a[:, p : p + TILE_UNITS], b[:, q : q + TILE_UNITS]
+                    mx, my = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+                    x, y = np.nan_to_num(x), np.nan_to_num(y)
+                    sums = {"n": mx.T @ my, "l": x.T @ my, "r": mx.T @ y, "ll": (x * x).T @ my, "rr": mx.T @ (y * y), "lr": x.T @ y}
+                    left, right = names[p : p + TILE_UNITS], others[q : q + TILE_UNITS]
+                    u, w = np.nonzero(sums["n"])
+                    swap = left[u] > right[w]
+                    keep = left[u] != right[w]
+                    if r["block"] == r["block_"]:  # a tile with itself has each pair twice
+                        keep &= ~swap
+                    out = {c: s[u, w] for c, s in sums.items()}
+                    c_left, c_right = np.asarray(r["centres"])[p + u], np.asarray(r["centres_"])[q + w]
+                    turn = lambda one, two: np.where(swap, two, one)  # noqa: B023, E731
+                    found = {"left": turn(left[u], right[w]), "right": turn(right[w], left[u]), "c_left": turn(c_left, c_right), "c_right": turn(c_right, c_left), "n": out["n"], "l": turn(out["l"], out["r"]), "r": turn(out["r"], out["l"]), "ll": turn(out["ll"], out["rr"]), "rr": turn(out["rr"], out["ll"]), "lr": out["lr"]}
+                    yield pd.DataFrame(found)[keep]
+
+
 def prepare_price_pair(panel: DataFrame, first: str, second: str, clean: bool = True, value: str = "price", market: str = "market", ts: str = "date") -> DataFrame:
     """(ts, y, x) of two markets: outliers replaced, each series made stationary, aligned on dates (D3).
 

@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import dist
-from bazaarlens.operators.joins import unit_pairs
+from bazaarlens.operators import ranges
+from bazaarlens.operators.joins import pair_sums
 from bazaarlens.operators.ols import CONST, grouped_ols, with_residuals
 from bazaarlens.plans.lineage import saved
 
 
+#: Periods of one range of the kernel covariance.
+PERIODS = 4096
+
+
 def prepare(data: DataFrame, y: str, xs: Sequence[str], entity: str = "market", time: str = "date", drop_na: bool = True, standardize: bool = False) -> DataFrame:
     """(entity, time, y, xs): complete cases, z-scored by the sample deviation if asked (L1)."""
     rows = data.select(F.col(entity).alias("entity"), F.to_date(time).alias("time"), *[F.col(c).cast("double").alias(c) for c in (y, *xs)])
@@ -53,7 +58,11 @@ def counts(panel: DataFrame) -> tuple[int, int, int]:
 
 
 def _covariance(panel: DataFrame, fit_row, names: Sequence[str], columns, residual: str, kind: str, lost: int) -> np.ndarray:
-    """Covariance of the coefficients: unadjusted, robust (White) or clustered by entity, from k x k sums."""
+    """Covariance of the coefficients: unadjusted, robust (White), clustered by entity, or kernel, from k x k sums.
+
+    ``kernel`` is Driscoll and Kraay's: scores summed by period, and products of periods up to floor(4 (T / 100)^(2/9)) apart
+    with Bartlett weights.
+    """
     k = len(names)
     cov = np.array(fit_row["cov"], float).reshape(k, k)
     n, df = fit_row["n_obs"], fit_row["n_obs"] - k - lost
@@ -64,11 +73,19 @@ def _covariance(panel: DataFrame, fit_row, names: Sequence[str], columns, residu
     if kind == "clustered":
         sums = panel.groupBy("entity").agg(*[F.sum(s).alias(f"_s{i}") for i, s in enumerate(score)])
         score = [F.col(f"_s{i}") for i in range(k)]
+    elif kind == "kernel":
+        by_time = saved(panel.groupBy("time").agg(*[F.sum(s).alias(f"_s{i}") for i, s in enumerate(score)]))
+        width = int(4 * (by_time.count() / 100) ** (2 / 9))
+        part = ranges.cut(by_time, [], ["time"], PERIODS, width)
+        sums = part.own(part.data.withColumns({f"_l{i}_{j}": F.coalesce(F.lag(f"_s{i}", j).over(part.window()), F.lit(0.0)) for i in range(k) for j in range(1, width + 1)}))
+        product = lambda i, j: reduce(lambda a, b: a + b, [(1 - d / (width + 1)) * (F.col(f"_s{i}") * F.col(f"_l{j}_{d}") + F.col(f"_l{i}_{d}") * F.col(f"_s{j}")) for d in range(1, width + 1)], F.col(f"_s{i}") * F.col(f"_s{j}"))
+        meat = sums.agg(*[F.sum(product(i, j)).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
     elif kind == "robust":
         sums = panel
     else:
         raise ValueError(f"unknown covariance {kind}")
-    meat = sums.agg(*[F.sum(score[i] * score[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    if kind != "kernel":
+        meat = sums.agg(*[F.sum(score[i] * score[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
     m = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
@@ -183,9 +200,9 @@ def breusch_pagan_lm(panel: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
 
 def cross_section_dependence(panel: DataFrame, y: str, xs: Sequence[str], kind: str = "cd") -> DataFrame:
     """(statistic, p, n_pairs): Pesaran's CD or the Breusch-Pagan LM over residual correlations of entities."""
-    e = _pooled_residuals(panel, y, xs).select("entity", "time", "_e")
-    other = e.select(F.col("entity").alias("o"), "time", F.col("_e").alias("_f"))
-    rho = unit_pairs(e, other, ["time"], "entity", "o").groupBy("entity", "o").agg(F.corr("_e", "_f").alias("r"), F.count("*").cast("double").alias("t")).where("r is not null and t >= 3")
+    sums = pair_sums(_pooled_residuals(panel, y, xs), "_e", "entity", "time")
+    corr = F.col("s_lr") / F.sqrt(F.nullif(F.col("s_ll") * F.col("s_rr"), F.lit(0.0)))
+    rho = sums.select(corr.alias("r"), F.col("n").cast("double").alias("t")).where("r is not null and t >= 3")
     if kind == "cd":
         out = rho.agg(F.sum(F.sqrt("t") * F.col("r")).alias("s"), F.count("*").alias("n_pairs")).withColumn("statistic", F.col("s") / F.sqrt("n_pairs"))
         return out.select("statistic", dist.normal_p("statistic").alias("p"), "n_pairs")

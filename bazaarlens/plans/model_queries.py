@@ -119,7 +119,7 @@ def g8_residual_stationarity(spark, sf_dir):
 
 @query(PP + " SELECT pair_id, round(regr_intercept(y, x), 4) AS const, round(regr_slope(y, x), 6) AS slope, regr_count(y, x) AS n_obs, round(regr_r2(y, x), 6) AS r2 FROM pairs GROUP BY 1")
 def h1_pair_vectors(spark, sf_dir):
-    return rounded(coint.cointegrating_vectors(joins.market_pairs(market_panel(spark, sf_dir))).withColumn("const", F.round("const", 4)))
+    return rounded(coint.panel_vectors(market_panel(spark, sf_dir)).withColumn("const", F.round("const", 4)))
 
 
 @query()

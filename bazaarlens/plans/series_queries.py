@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.operators import clean, coint, features, spatial_reg, threshold, unitroot
+from bazaarlens.operators import clean, coint, describe, features, panel_reg, spatial_reg, threshold, unitroot
 from bazaarlens.plans.exact_queries import ADF_ROWS, BEST, FITTED, ROWS, SPATIAL, TRIED
 from bazaarlens.plans.lineage import saved
 from bazaarlens.plans.model_queries import KEYS, ORDER, P, PP, pairs, panel
+from bazaarlens.plans.panel import PANEL_SQL, read
 from bazaarlens.plans.regression_sql import ols_sql
 from bazaarlens.plans.registry import query, rounded
-from bazaarlens.plans.space_queries import cross, edges
+from bazaarlens.plans.space_queries import XS, cross, edges, table
 from bazaarlens.plans.table_queries import EO, GAPPY, events, gappy
 
 #: Rows of a range: the events are one series here, which is cut into some hundred ranges.
@@ -204,3 +205,27 @@ ERROR_ML = f"{SPATIAL.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_POWERS}, r1 AS
 def j3_error_likelihood(spark, sf_dir):
     fit = spatial_reg.error_model(cross(spark, sf_dir), edges(spark, sf_dir), "price", ["conflict_intensity"], method="ml")
     return rounded(fit.select(F.col("spatial").alias("lambda"), "log_lik"), 4)
+
+
+# Aggregates by an order, and the covariance of periods
+
+
+@query("SELECT l_returnflag, l_linestatus, arg_min(l_quantity, (l_shipdate, l_orderkey, l_linenumber)) AS l_quantity_first, arg_max(l_quantity, (l_shipdate, l_orderkey, l_linenumber)) AS l_quantity_last FROM lineitem GROUP BY 1, 2")
+def e1_first_last(spark, sf_dir):
+    items = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_shipdate", "l_orderkey", "l_linenumber")
+    return describe.aggregate(items, ["l_returnflag", "l_linestatus"], {"l_quantity": ["first", "last"]}, ["l_shipdate", "l_orderkey", "l_linenumber"])
+
+
+_KERNEL_LAGS = ", ".join(f"coalesce(lag({c}, {j}) OVER (ORDER BY date), 0) AS {c}{j}" for c in ("sa", "sb") for j in range(1, 6))
+_KERNEL_SUM = lambda p, q: f"sum({p} * {q} + " + " + ".join(f"greatest(0, 1 - {j} / (l + 1.0)) * ({p} * {q}{j} + {p}{j} * {q})" for j in range(1, 6)) + ")"
+
+
+@query(f"""WITH {PANEL_SQL}, w AS (SELECT market, date, price - avg(price) OVER m AS y, conflict_intensity - avg(conflict_intensity) OVER m AS a, rate_a - avg(rate_a) OVER m AS b FROM panel WINDOW m AS (PARTITION BY market)),
+ {ols_sql('f', 'w', [], 'y', ['a', 'b'], const=False)},
+ u AS (SELECT date, sum(a * (y - b_a * a - b_b * b)) AS sa, sum(b * (y - b_a * a - b_b * b)) AS sb FROM w, f GROUP BY 1), g AS (SELECT *, {_KERNEL_LAGS} FROM u),
+ t AS (SELECT floor(4 * pow(count(*) / 100.0, 2 / 9.0)) AS l FROM u), m AS (SELECT {_KERNEL_SUM('sa', 'sa')} AS aa, {_KERNEL_SUM('sa', 'sb')} AS ab, {_KERNEL_SUM('sb', 'sb')} AS bb FROM g, t),
+ d AS (SELECT v_a_a * df / ssr AS iaa, v_a_b * df / ssr AS iab, v_b_b * df / ssr AS ibb, n / CAST(df - (SELECT count(DISTINCT market) FROM panel) AS DOUBLE) AS scale FROM f)
+ SELECT 'kernel' AS cov_type, round(sqrt((iaa * iaa * aa + 2 * iaa * iab * ab + iab * iab * bb) * scale), 4) AS se1, round(sqrt((iab * iab * aa + 2 * iab * ibb * ab + ibb * ibb * bb) * scale), 4) AS se2 FROM m, d""")
+def l7_kernel(spark, sf_dir):
+    fit = panel_reg.fixed(table(spark, sf_dir), "price", XS, cov_type="kernel")
+    return rounded(fit.select("cov_type", F.element_at("se", XS[0]).alias("se1"), F.element_at("se", XS[1]).alias("se2")), 4)

@@ -404,7 +404,7 @@ def e7_mean_conflict(spark, sf_dir):
 
 @query(PP + "SELECT market_y, market_x, round(corr(y, x), 6) AS corr, count(*) AS n FROM pairs GROUP BY 1, 2")
 def e8_market_correlation(spark, sf_dir):
-    return rounded(describe.market_correlation(joins.market_pairs(market_panel(spark, sf_dir))))
+    return rounded(describe.market_correlations(market_panel(spark, sf_dir)))
 
 
 @query(P + ", m AS (SELECT quantile_cont(conflict_intensity, 0.5) AS m FROM panel) SELECT CASE WHEN conflict_intensity > m THEN 'high' ELSE 'low' END AS level, round(avg(price), 6) AS mean, round(stddev_samp(price), 6) AS std, count(price) AS n FROM panel, m GROUP BY 1")
