@@ -10,7 +10,6 @@ from tokenizers import Tokenizer
 import __spark_entry__
 import corpus_pipeline
 from bazaarlens.llm import mixing
-from tests.llm.test_shingles import brute_survivors
 from tests.llm.test_text_operators import brute_lines, invented
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -45,6 +44,8 @@ def test_stages(spark, tmp_path):
     assert {i: r.text for i, r in lines.items()} == want and all(r.n_chars == len(r.text) for r in lines.values())
     assert want[48] == ""  # a copy of document 5: all its lines came before
 
+    from tests.llm.test_shingles import brute_survivors  # which takes this module's schema
+
     groups = brute_survivors([(i, want[i]) for i in ids])
     assert {r.doc_id for r in third.collect()} == {ids[min(g)] for g in groups.values()}
     assert 30 not in {r.doc_id for r in third.collect()}
