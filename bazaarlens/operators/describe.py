@@ -205,38 +205,93 @@ def histogram(data: DataFrame, value: str, bins: int = 20, keys: Sequence[str] =
     return counted.select(*keys, "bin", (F.col("_a") + (F.col("bin") - 1) * width).alias("lo"), (F.col("_a") + F.col("bin") * width).alias("hi"), "n")
 
 
-def resampled(data: DataFrame, n: int, keys: Sequence[str], order: Sequence[str], seed: int = 0) -> DataFrame:
-    """(keys, rep, draw, row columns): n resamples with replacement of each group.
+#: Statistics of a resample that combine from those of its parts, or are read off ranks.
+STATISTICS = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "std": F.stddev_samp, "var": F.var_samp, "sum": F.sum, "min": F.min, "max": F.max}
+#: Rows of a part of a group.
+PART_ROWS = 1 << 16
 
-    The index of a draw is a hash of seed, replicate, key and place, so the draws don't depend on partitions.
-    """
-    w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.partitionBy(F.lit(0)).orderBy(*order)
-    rows = data.withColumn("_i", F.row_number().over(w))
-    size = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    rows = rows.join(size, list(keys)) if keys else rows.crossJoin(F.broadcast(size))
-    draws = rows.select(*keys, "_n", F.col("_i").alias("draw")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    index = F.pmod(F.xxhash64(F.lit(seed), "rep", *keys, "draw"), F.col("_n")) + 1
-    return draws.withColumn("_i", index.cast("int")).drop("_n").join(rows.drop("_n"), [*keys, "_i"]).drop("_i")
 
+def part_counts(n: int, parts: int, part: int, rows: int, replicates: int, seed: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each replicate, how many of n draws with replacement fall into a part, and how many into the parts before it.
+
+    Parts hold ``rows`` rows each, the last one what is left.  Draws are split between the halves of the parts by binomials,
+    seeded by the half, so that every part finds its own number in as many steps as the parts can be halved.
+    """
+    low, high = 0, parts
+    inside, before = np.full(replicates, n, np.int64), np.zeros(replicates, np.int64)
+    size = lambda a, b: min(b * rows, n) - a * rows
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = np.random.default_rng([*seed, low, high]).binomial(inside, size(low, middle) / size(low, high))
+        if part < middle:
+            inside, high = left, middle
+        else:
+            before, inside, low = before + left, inside - left, middle
+    return inside, before
 
-STATISTICS = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "std": F.stddev_samp, "var": F.var_samp, "sum": F.sum, "min": F.min, "max": F.max}
 
+def resampled(data: DataFrame, value: str, n: int, keys: Sequence[str], order: Sequence[str], seed: int = 0, part_rows: int = PART_ROWS) -> DataFrame:
+    """(keys, rep, n, s1, s2, lo, hi, mid): n resamples with replacement of each group, by parts of the group.
 
-def bootstrap(data: DataFrame, value: str, statistic: str | Callable[[pd.Series], float] = "mean", n: int = 1000, level: float = 0.95, keys: Sequence[str] = (), order: Sequence[str] = ("date",), seed: int = 0) -> DataFrame:
-    """(keys, statistic, lower, upper, se) by resampling (E11); a callable gets the resampled values of a replicate."""
+    A part holds neighbouring values, so that ranks of a resample follow from the parts' numbers of draws: a middle rank that
+    falls into a part is read there (``mid`` is its share of the median).  The other columns are the resample's number of
+    draws, sums of (value - first value) and their squares, and extremes within the part.  No row is sent more than once.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.select(*keys).schema)
+    placed = ranges.numbered(data.select(*keys, *[o for o in order if o not in (*keys, value)], F.col(value).cast("double").alias("_v")), keys, ["_v", *[o for o in order if o not in (*keys, value)]], ["_v"])
+    name = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    rows = placed.select(*keys, name.alias("_h"), F.floor(F.col(ranges.INDEX) / part_rows).alias("_part"), F.col(ranges.INDEX).alias("_at"), F.col(ranges.LENGTH).alias("_n"), "_v", F.col("_first__v").alias("_base"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_at")
+        values, total, part = frame["_v"].to_numpy(float), int(frame["_n"].iloc[0]), int(frame["_part"].iloc[0])
+        off = values - float(frame["_base"].iloc[0])
+        own = [seed, int(frame["_h"].iloc[0]) % (1 << 63)]
+        inside, before = part_counts(total, -(-total // part_rows), part, part_rows, n, own)
+        rng = np.random.default_rng([*own, part])
+        ranks = ((total - 1) // 2, total // 2)  # of the median
+        found = np.full((n, 5), np.nan)
+        found[:, :2], found[:, 4] = 0, 0
+        for r in range(n):
+            if not inside[r]:
+                continue
+            drawn = rng.integers(0, len(values), inside[r])
+            x = off[drawn]
+            found[r, :4] = x.sum(), (x * x).sum(), values[drawn.min()], values[drawn.max()]
+            for k in ranks:
+                at = k - before[r]
+                if 0 <= at < inside[r]:
+                    found[r, 4] += values[np.partition(drawn, at)[at]] / 2
+        out = {k: [frame[k].iloc[0]] * n for k in keys} | {"rep": np.arange(n, dtype=np.int32), "n": inside} | dict(zip(("s1", "s2", "lo", "hi", "mid"), found.T, strict=True)) | {"base": float(frame["_base"].iloc[0])}
+        return pd.DataFrame(out)
+
+    return rows.groupBy(*keys, "_part").applyInPandas(run, f"{schema + ', ' if keys else ''}rep int, n long, s1 double, s2 double, lo double, hi double, mid double, base double")
+
+
+def bootstrap(data: DataFrame, value: str, statistic: str | Callable[[pd.Series], float] = "mean", n: int = 1000, level: float = 0.95, keys: Sequence[str] = (), order: Sequence[str] = ("date",), seed: int = 0, part_rows: int = PART_ROWS) -> DataFrame:
+    """(keys, statistic, lower, upper, se) by resampling.
+
+    A callable gets the resampled values of a replicate, and a group of which one is asked has to fit in a task.
+    """
     rows = data.where(F.col(value).isNotNull()).select(*keys, *[o for o in order if o not in keys], value)
     if callable(statistic):
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+        name = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
 
-        @F.pandas_udf("double")
-        def own(x: pd.Series) -> float:
-            return float(statistic(x))
+        def own(frame: pd.DataFrame) -> pd.DataFrame:
+            values = frame.sort_values(list(order))[value]
+            rng = np.random.default_rng([seed, int(frame["_h"].iloc[0]) % (1 << 63)])
+            drawn = [float(statistic(values.iloc[rng.integers(0, len(values), len(values))])) for _ in range(n)]
+            return pd.DataFrame({k: [frame[k].iloc[0]] * (n + 1) for k in keys} | {"rep": [-1, *range(n)], "s": [float(statistic(values)), *drawn]})
 
-        apply = own
+        found = saved(rows.withColumn("_h", name).groupBy(*(keys or ["_h"])).applyInPandas(own, f"{schema + ', ' if keys else ''}rep int, s double"))
+        reps, seen = found.where("rep >= 0"), found.where("rep < 0").select(*keys, F.col("s").alias("statistic"))
     else:
-        apply = STATISTICS[statistic]
-    reps = resampled(rows, n, keys, order, seed).groupBy(*keys, "rep").agg(apply(F.col(value)).alias("s"))
+        whole = resampled(rows, value, n, keys, order, seed, part_rows).groupBy(*keys, "rep").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2", "mid")], F.min(F.when(~F.isnan("lo"), F.col("lo"))).alias("lo"), F.max(F.when(~F.isnan("hi"), F.col("hi"))).alias("hi"), F.max("base").alias("base"))
+        variance = F.when(F.col("n") > 1, F.greatest(F.col("s2") - F.col("s1") ** 2 / F.col("n"), F.lit(0.0)) / (F.col("n") - 1))
+        made = {"mean": F.col("base") + F.col("s1") / F.col("n"), "sum": F.col("base") * F.col("n") + F.col("s1"), "var": variance, "std": F.sqrt(variance), "median": F.col("mid"), "min": F.col("lo"), "max": F.col("hi")}
+        reps, seen = saved(whole.select(*keys, "rep", "n", made[statistic].alias("s"))), rows.groupBy(*keys).agg(STATISTICS[statistic](F.col(value)).alias("statistic"))
     tail = (1 - level) / 2
     q = F.percentile("s", F.array(F.lit(tail), F.lit(1 - tail)))
     bounds = reps.groupBy(*keys).agg(q[0].alias("lower"), q[1].alias("upper"), F.stddev_samp("s").alias("se"))
-    seen = rows.groupBy(*keys).agg(apply(F.col(value)).alias("statistic"))
-    return seen.join(bounds, list(keys)) if keys else seen.crossJoin(F.broadcast(bounds))
+    return ranges.matched(seen, bounds, list(keys))

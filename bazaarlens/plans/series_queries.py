@@ -229,3 +229,23 @@ _KERNEL_SUM = lambda p, q: f"sum({p} * {q} + " + " + ".join(f"greatest(0, 1 - {j
 def l7_kernel(spark, sf_dir):
     fit = panel_reg.fixed(table(spark, sf_dir), "price", XS, cov_type="kernel")
     return rounded(fit.select("cov_type", F.element_at("se", XS[0]).alias("se1"), F.element_at("se", XS[1]).alias("se2")), 4)
+
+
+@query("SELECT CAST(r AS INT) AS rep, (SELECT count(*) FROM events WHERE value IS NOT NULL) AS n FROM range(1000) t(r)")
+def e11_bootstrap_counts(spark, sf_dir):
+    """Each of the 1000 resamples of the whole table has as many draws as the table has rows, over all its parts."""
+    rows = events(spark, sf_dir).where("value is not null")
+    return describe.resampled(rows, "value", 1000, [], EO, part_rows=RANGE).groupBy("rep").agg(F.sum("n").alias("n"))
+
+
+_SWEEP = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY market) AS {c}" for c in ("y", "a", "b"))
+_SWEPT = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY date) AS {c}" for c in ("y", "a", "b"))
+
+
+@query(f"""WITH RECURSIVE {PANEL_SQL}, s(k, market, date, y, a, b) AS (SELECT 0, market, date, price, conflict_intensity, rate_a FROM panel
+ UNION ALL SELECT k + 1, market, date, {_SWEPT} FROM (SELECT k, market, date, {_SWEEP} FROM s WHERE k < 100)), r AS (SELECT * FROM s WHERE k = 100),
+ {ols_sql('f', 'r', [], 'y', ['a', 'b'], const=False)} SELECT n AS n_obs, round(b_a, 4) AS b_a, round(b_b, 3) AS b_b, round(ssr / 1e6, 4) AS ssr FROM f""")
+def l3_two_way_unbalanced(spark, sf_dir):
+    """Both effects on all rows of the panel, of which some markets lack months: SQL sweeps a hundred times."""
+    fit = panel_reg.fixed(table(spark, sf_dir), "price", XS, True, True)
+    return rounded(fit.select("n_obs", F.element_at("coef", XS[0]).alias("b_a"), F.round(F.element_at("coef", XS[1]), 3).alias("b_b"), (F.col("ssr") / 1e6).alias("ssr")), 4)

@@ -71,3 +71,40 @@ def test_kernel_covariance(spark):
     s = h.T @ h + sum((1 - d / (width + 1)) * (h[d:].T @ h[:-d] + h[:-d].T @ h[d:]) for d in range(1, width + 1))
     want = np.sqrt(np.diag(inv @ s @ inv) * len(data) / (len(data) - 2))
     assert (fit.se["const"], fit.se["x"]) == pytest.approx(tuple(want), rel=1e-8)
+
+
+def test_two_ways_against_dummies(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"e{i}", f"2001-01-{t + 1:02d}", float(i + t * t + rng.normal()), float(rng.normal())) for i in range(12) for t in range(20) if rng.random() < 0.5]
+    panel = panel_reg.prepare(spark.createDataFrame(rows, "market string, date string, y double, x double"), "y", ["x"])
+    got = panel_reg._demeaned(panel, ["y", "x"], True, True).toPandas()
+    dummies = pd.get_dummies(got["entity"]).to_numpy(float), pd.get_dummies(got["time"].astype(str)).to_numpy(float)
+    d = np.hstack(dummies)
+    raw = panel.toPandas().merge(got, on=["entity", "time"], suffixes=("_raw", ""))
+    d = np.hstack([pd.get_dummies(raw["entity"]).to_numpy(float), pd.get_dummies(raw["time"].astype(str)).to_numpy(float)])
+    for c in ("y", "x"):
+        want = raw[f"{c}_raw"] - d @ np.linalg.lstsq(d, raw[f"{c}_raw"].to_numpy(), rcond=None)[0]
+        assert raw[c].to_numpy() == pytest.approx(want.to_numpy(), abs=1e-7)
+
+
+@pytest.mark.parametrize("statistic", ["mean", "median", "std", "sum", "min", "max"])
+def test_bootstrap_by_parts(spark, statistic):
+    """Intervals of a known distribution, the same spread for one part and for many, and every replicate has n draws."""
+    x = np.random.default_rng(7).normal(10, 2, 900)
+    rows = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(x)], "key string, date int, v double")
+    one = describe.bootstrap(rows, "v", statistic, 400, keys=["key"]).first()
+    many = describe.bootstrap(rows, "v", statistic, 400, keys=["key"], part_rows=50).first()
+    whole = describe.bootstrap(rows, "v", statistic, 400, part_rows=50).first()
+    own = {"mean": x.mean(), "median": np.median(x), "std": x.std(ddof=1), "sum": x.sum(), "min": x.min(), "max": x.max()}[statistic]
+    rng = np.random.default_rng(1)
+    f = {"mean": np.mean, "median": np.median, "std": lambda a: a.std(ddof=1), "sum": np.sum, "min": np.min, "max": np.max}[statistic]
+    want = np.std([f(rng.choice(x, len(x))) for _ in range(4000)])
+    for r in (one, many, whole):
+        assert r.statistic == pytest.approx(own) and r.lower <= own <= r.upper and r.se == pytest.approx(want, rel=0.35)
+
+
+def test_parts_share_the_draws():
+    parts = [describe.part_counts(1000, 7, p, 150, 50, [3, 4]) for p in range(7)]
+    assert (sum(i for i, _ in parts) == 1000).all()
+    assert all((parts[p][1] == sum(i for i, _ in parts[:p])).all() for p in range(1, 7))
+    assert np.mean([i.mean() for i, _ in parts[:6]]) == pytest.approx(150, rel=0.1) and parts[6][0].mean() == pytest.approx(100, rel=0.1)
