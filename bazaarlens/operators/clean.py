@@ -88,10 +88,18 @@ def fill_median(data: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fill_mode(data: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls of texts by the column's most frequent value, the smallest on ties."""
-    out = _stats(data, {f"_m_{c}": F.mode(c, True) for c in columns}, [])
+    out = data
+    for c in columns:
+        out = out.crossJoin(F.broadcast(_most_frequent(data, c, f"_m_{c}")))  # one row
     return out.withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
+def _most_frequent(data: DataFrame, column: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The most frequent value, the smallest on ties: counts by value first, so no buffer holds all values."""
+    counts = data.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    return counts.groupBy(*keys).agg(F.min(F.struct((-F.col("_c")).alias("less"), F.col("_v").alias("v"))).alias("m")).select(*keys, F.col("m.v").alias(name))
+
+
 def preprocess(data: DataFrame, value: str = "price", market: str = "market", date: str = "date") -> DataFrame:
     """Dates parsed, prices interpolated per market, other numbers and texts filled (C4)."""
     out = interpolate(data.withColumn(date, F.to_date(date)), value, [market], [date])
@@ -145,9 +153,8 @@ def replace_outliers(data: DataFrame, value: str, replace_with: str = "median",
     if replace_with == "median":
         out = _with_quantiles(flagged, "_m", "_v", [0.5], keys)
         return out.withColumn(value, F.when(F.col("_o"), F.col("_m")[0]).otherwise(F.col(value))).drop("_o", "_v", "_m")
-    whole = {"mean": F.avg("_v"), "mode": F.mode("_v", True)}
-    if replace_with in whole:
-        out = _stats(flagged, {"_m": whole[replace_with]}, keys)
+    if replace_with in ("mean", "mode"):
+        out = _stats(flagged, {"_m": F.avg("_v")}, keys) if replace_with == "mean" else ranges.matched(flagged, _most_frequent(flagged, "_v", "_m", keys), list(keys), "left")
         return out.withColumn(value, F.when(F.col("_o"), F.col("_m")).otherwise(F.col(value))).drop("_o", "_v", "_m")
     if replace_with == "interpolate":
         # a null that was there stays one
@@ -302,17 +309,15 @@ def ranked(values: DataFrame, column: str) -> DataFrame:
 
 
 def profile_columns(data: DataFrame) -> DataFrame:
-    """(column, kind, n, n_distinct, lo, hi, suggested): the narrowest Spark type that holds each column (C13), a report."""
-    kinds = dict(data.dtypes)
-    rows = None
-    for name, kind in kinds.items():
+    """(column, kind, n, n_distinct, lo, hi, suggested): the narrowest Spark type that holds each column (C13), by one scan."""
+    parts = []
+    for name, kind in data.dtypes:
         number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double")
-        lo, hi = (F.min(name).cast("double"), F.max(name).cast("double")) if number else (F.lit(None).cast("double"),) * 2
-        one = data.agg(F.count(name).alias("n"), F.approx_count_distinct(name).alias("n_distinct"), lo.alias("lo"), hi.alias("hi")).select(F.lit(name).alias("column"), F.lit(kind).alias("kind"), "*")
-        rows = one if rows is None else rows.unionAll(one)
+        lo, hi = (F.min(f"`{name}`").cast("double"), F.max(f"`{name}`").cast("double")) if number else (F.lit(None).cast("double"),) * 2
+        parts.append(F.struct(F.lit(name).alias("column"), F.lit(kind).alias("kind"), F.count(f"`{name}`").alias("n"), F.approx_count_distinct(f"`{name}`").alias("n_distinct"), lo.alias("lo"), hi.alias("hi")))
+    rows = data.agg(F.array(*parts).alias("rows")).select(F.inline("rows"))
     fits = lambda bits: (F.col("lo") >= -(2.0 ** (bits - 1))) & (F.col("hi") <= 2.0 ** (bits - 1) - 1)
     whole = F.col("kind").isin("tinyint", "smallint", "int", "bigint")
     suggested = F.when(whole & fits(8), "tinyint").when(whole & fits(16), "smallint").when(whole & fits(32), "int").when(F.col("kind") == "double", "float")
     suggested = suggested.when((F.col("kind") == "string") & (F.col("n_distinct") < F.col("n") * 0.5), "dictionary-encoded string").otherwise(F.col("kind"))
     return rows.withColumn("suggested", suggested)
-

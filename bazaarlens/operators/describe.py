@@ -73,15 +73,19 @@ def correlation(data: DataFrame, columns: Sequence[str], method: str = "pearson"
     if method == "pearson":
         # corr over rows that have both
         return _pairwise(data, columns, lambda a, b: F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))))
+    if method not in ("spearman", "kendall"):
+        raise ValueError(f"unknown method {method}")
+    rows = saved(data.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]))
+    holes = rows.agg(*[F.count_if(F.col(c).isNull()) for c in rows.columns]).first()
+    if method == "spearman" and not any(holes):  # a column's ranks are the same beside every other one
+        ranked = rows
+        for i in range(len(columns)):
+            ranked = average_ranks(ranked, f"c{i}", f"r{i}")
+        return _pairwise(ranked.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(columns)]), columns, lambda a, b: F.corr(a, b))
     out = None
-    for a, b in combinations(columns, 2):
-        both = data.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
-        if method == "spearman":
-            value = average_ranks(average_ranks(both, "a", "ra"), "b", "rb").agg(F.corr("ra", "rb").alias("corr"))
-        elif method == "kendall":
-            value = kendall(both, "a", "b")
-        else:
-            raise ValueError(f"unknown method {method}")
+    for (i, a), (j, b) in combinations(enumerate(columns), 2):
+        both = rows.select(F.col(f"c{i}").alias("a"), F.col(f"c{j}").alias("b")).dropna()
+        value = kendall(both, "a", "b") if method == "kendall" else average_ranks(average_ranks(both, "a", "ra"), "b", "rb").agg(F.corr("ra", "rb").alias("corr"))
         row = value.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "corr")
         out = row if out is None else out.unionAll(row)
     same = data.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "a string, b string, corr double")

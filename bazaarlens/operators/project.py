@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaarlens.operators import ranges
+
 
 def filter_commodity(data: DataFrame, commodity: str, column: str = "commodity", strict: bool = False) -> DataFrame:
     """Rows of one commodity (B1).  ``strict`` raises where there is none, at the price of a one-row action."""
@@ -83,21 +85,27 @@ def time_features(data: DataFrame, date: str = "date") -> DataFrame:
     })
 
 
+#: Categories that may become columns.
+MOST_CATEGORIES = 1000
+
+
 def one_hot(data: DataFrame, column: str, drop_first: bool = True, categories: Sequence[str] | None = None) -> DataFrame:
     """A 0/1 column per category in sorted order, the first left out; the source column goes.
 
-    Without ``categories`` the distinct values are found by an action: they become columns, so they are few.
+    Without ``categories`` the distinct values are found by an action; more than MOST_CATEGORIES are an error.
     """
     if categories is None:
-        categories = [r[0] for r in data.select(column).distinct().where(F.col(column).isNotNull()).orderBy(column).collect()]
+        categories = [r[0] for r in data.select(column).distinct().where(F.col(column).isNotNull()).orderBy(column).limit(MOST_CATEGORIES + 1).collect()]
+        if len(categories) > MOST_CATEGORIES:
+            raise ValueError(f"{column} has more than {MOST_CATEGORIES} categories; name those that are to be columns")
     used = list(categories)[1:] if drop_first else list(categories)
     return data.withColumns({f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in used}).drop(column)
 
 
 def label_encode(data: DataFrame, column: str) -> DataFrame:
-    """``<column>_code``: the place of the value in sorted order from 0, null as -1 (B12), by a table of categories."""
+    """``<column>_code``: the place of the value in sorted order from 0, null as -1 (B12), by a table of categories that ranges number."""
     values = data.select(column).distinct().where(F.col(column).isNotNull())
-    codes = values.withColumn(f"{column}_code", F.dense_rank().over(Window.orderBy(column)) - 1)  # over categories, not rows
+    codes = ranges.numbered(values, [], [column]).select(column, F.col(ranges.INDEX).cast("int").alias(f"{column}_code"))
     return data.join(codes, column, "left").na.fill(-1, [f"{column}_code"])
 
 

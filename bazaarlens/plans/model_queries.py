@@ -66,7 +66,7 @@ PP_SQL = P + """, r AS (SELECT market, date, row_number() OVER w AS i, count(*)
  f AS (SELECT market, regr_slope(x, z) AS b, regr_intercept(x, z) AS a, regr_sxx(x, z) AS sxx, count(z) AS m, any_value(n) AS n FROM r WHERE z IS NOT NULL GROUP BY 1),
  e AS (SELECT r.market, date, x - a - b * z AS e, row_number() OVER (PARTITION BY r.market ORDER BY date) AS k FROM r JOIN f ON r.market = f.market WHERE z IS NOT NULL),
  s AS (SELECT market, sum(e * e) AS s0 FROM e GROUP BY 1),
- c AS (SELECT p.market, q.k - p.k AS j, sum(p.e * q.e) AS s FROM e p JOIN e q ON p.market = q.market AND q.k > p.k AND q.k - p.k <= 30 GROUP BY 1, 2),
+ c AS (SELECT p.market, q.k - p.k AS j, sum(p.e * q.e) AS s FROM e p JOIN e q ON p.market = q.market AND q.k > p.k GROUP BY 1, 2),
  v AS (SELECT f.market, m, b, s0 / m AS g0, sqrt(s0 / (m - 2)) AS sg, sqrt(s0 / (m - 2) / sxx) AS se, ceil(12 * pow((n - 1) / 100.0, 0.25)) AS l FROM f JOIN s ON f.market = s.market),
  w AS (SELECT v.market, (any_value(g0) * any_value(m) + sum(CASE WHEN j <= l THEN 2 * (1 - j / (l + 1)) * s ELSE 0 END)) / any_value(m) AS lrv FROM v JOIN c ON v.market = c.market GROUP BY 1)
  SELECT v.market, round(sqrt(g0 / lrv) * (b - 1) / se - 0.5 * (lrv - g0) / sqrt(lrv) * m * se / sg, 4) AS statistic FROM v JOIN w ON v.market = w.market"""

@@ -12,6 +12,7 @@ from bazaarlens.plans.lineage import saved
 from bazaarlens.plans.model_queries import flat, pairs, panel
 from bazaarlens.plans.panel import MARKETS_SQL, PANEL_SQL, market_panel, markets, read
 from bazaarlens.plans.registry import query, rounded
+from bazaarlens.plans.regression_sql import ols_sql
 from bazaarlens.sources import io
 
 M = f"WITH {MARKETS_SQL}"
@@ -298,7 +299,15 @@ def l3_two_way(spark, sf_dir):
     return slopes(panel_reg.fixed(table(spark, sf_dir), "price", XS, True, True))
 
 
-@query()
+#: Swamy-Arora: variances of the within and the between fit, then least squares of quasi-demeaned rows.
+RANDOM = f"""{L}, w AS (SELECT price - avg(price) OVER m AS y, conflict_intensity - avg(conflict_intensity) OVER m AS a, rate_a - avg(rate_a) OVER m AS b FROM panel WINDOW m AS (PARTITION BY market)),
+ means AS (SELECT market, count(*) AS t, avg(price) AS y, avg(conflict_intensity) AS a, avg(rate_a) AS b FROM panel GROUP BY 1), {ols_sql('fw', 'w', [], 'y', ['a', 'b'], const=False)}, {ols_sql('fb', 'means', [], 'y', ['a', 'b'])},
+ k AS (SELECT count(*) AS k, count(*) / sum(1.0 / t) AS h FROM means), v AS (SELECT fw.ssr / (fw.n - k - 2) AS s_e, greatest(0, fb.ssr / (k - 3) - fw.ssr / (fw.n - k - 2) / h) AS s_u FROM fw, fb, k),
+ th AS (SELECT means.*, 1 - sqrt(s_e / (s_e + t * s_u)) AS theta FROM means, v),
+ q AS (SELECT price - theta * y AS y, conflict_intensity - theta * a AS a, rate_a - theta * b AS b, 1 - theta AS one FROM panel JOIN th ON panel.market = th.market), {ols_sql('fr', 'q', [], 'y', ['one', 'a', 'b'], const=False)}"""
+
+
+@query(f"{RANDOM} SELECT n AS n_obs, round(b_a, 3) AS b1, round(b_b, 3) AS b2 FROM fr")
 def l4_random(spark, sf_dir):
     return slopes(panel_reg.random_effects(table(spark, sf_dir), "price", XS))
 
@@ -319,7 +328,9 @@ def l7_clustered(spark, sf_dir):
     return rounded(fit.select("cov_type", F.element_at("se", XS[0]).alias("se1"), F.element_at("se", XS[1]).alias("se2")), 4)
 
 
-@query()
+@query(f"""{RANDOM}, d AS (SELECT fw.b_a - fr.b_a AS da, fw.b_b - fr.b_b AS db, fw.v_a_a * (fw.n - 2) / (fw.n - 2 - k) - fr.v_a_a AS vaa, fw.v_a_b * (fw.n - 2) / (fw.n - 2 - k) - fr.v_a_b AS vab, fw.v_b_b * (fw.n - 2) / (fw.n - 2 - k) - fr.v_b_b AS vbb FROM fw, fr, k),
+ s AS (SELECT (vbb * da * da - 2 * vab * da * db + vaa * db * db) / (vaa * vbb - vab * vab) AS s FROM d)
+ SELECT round(s, 4) AS statistic, CAST(2 AS INT) AS df, round(exp(-greatest(s, 0) / 2), 4) AS p, CASE WHEN exp(-greatest(s, 0) / 2) < 0.05 THEN 'fixed' ELSE 'random' END AS prefer FROM s""")
 def l8_hausman(spark, sf_dir):
     return rounded(panel_reg.hausman(table(spark, sf_dir), "price", XS), 4)
 

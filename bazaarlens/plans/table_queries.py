@@ -271,6 +271,15 @@ def c13_profile(spark, sf_dir):
     return clean.profile_columns(read(spark, sf_dir, "lineitem"))
 
 
+_FITS = "CASE WHEN lo >= -128 AND hi <= 127 THEN 'tinyint' WHEN lo >= -32768 AND hi <= 32767 THEN 'smallint' WHEN lo >= -2147483648 AND hi <= 2147483647 THEN 'int' ELSE 'bigint' END"
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS n, CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, {f"(SELECT {_FITS} FROM (SELECT min({c}) AS lo, max({c}) AS hi FROM lineitem))" if whole else "'float'"} AS suggested FROM lineitem""" for c, whole in (("l_orderkey", True), ("l_partkey", True), ("l_suppkey", True), ("l_linenumber", True), ("l_quantity", False), ("l_extendedprice", False), ("l_discount", False), ("l_tax", False))))
+def c13_numbers(spark, sf_dir):
+    """What the profile says of numbers, without the approximate counts."""
+    return clean.profile_columns(read(spark, sf_dir, "lineitem")).where("lo is not null").select("column", "n", "lo", "hi", "suggested")
+
+
 # D: joins
 
 
