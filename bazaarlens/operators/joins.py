@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from bazaarlens.plans.lineage import saved
 
 
+#: Blocks into which a period's units are dealt.
+BLOCKS = 8
+
+
 def align(left: DataFrame, right: DataFrame, on: Sequence[str] = ("date",), y: str = "price", x: str = "price") -> DataFrame:
     """(on..., y, x): complete cases of two series on equal keys."""
     a = left.select(*on, F.col(y).alias("y")).dropna()
     return a.join(right.select(*on, F.col(x).alias("x")).dropna(), list(on))
 
 
-def market_pairs(panel: DataFrame, value: str = "price", market: str = "market", ts: str = "date", on: Sequence[str] = (), pair_filter: DataFrame | None = None, modes: Sequence[str] = ()) -> DataFrame:
+def market_pairs(panel: DataFrame, value: str = "price", market: str = "market", ts: str = "date", on: Sequence[str] = (), pair_filter: DataFrame | None = None, modes: Sequence[str] = (), blocks: int = BLOCKS) -> DataFrame:
     """All pairs of markets i < j at equal dates (D1): pair_id, market_y, market_x, ts, y, x, and mode if any are named.
 
     Pairs grow with the square of the markets; ``pair_filter`` (src, dst) restricts them to an edge table.  A date's markets
@@ -32,15 +36,11 @@ def market_pairs(panel: DataFrame, value: str = "price", market: str = "market",
         edges = pair_filter.select(F.least("src", "dst").alias("market_y"), F.greatest("src", "dst").alias("market_x")).where("market_y != market_x").distinct()
         joined = a.join(edges, "market_y").join(b, ["ts", *on, "market_x"])
     else:
-        joined = unit_pairs(a, b, ["ts", *on], "market_y", "market_x")
+        joined = unit_pairs(a, b, ["ts", *on], "market_y", "market_x", blocks)
     out = joined.select(F.concat_ws("|", "market_y", "market_x").alias("pair_id"), "market_y", "market_x", *on, "ts", "y", "x")
     return out.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))) if modes else out
 
 
-#: Blocks into which a period's units are dealt.
-BLOCKS = 8
-
-
 def unit_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], left: str, right: str, blocks: int = BLOCKS) -> DataFrame:
     """Rows of ``a`` and ``b`` alike in ``on`` whose units are in order: left < right.
 

@@ -31,10 +31,9 @@ def test_average_ranks(numbers):
     assert all(got[i] is None if np.isnan(w) else got[i] == w for i, w in enumerate(want))
 
 
-def test_pairs_by_blocks(spark, monkeypatch):
+def test_pairs_by_blocks(spark):
     panel = spark.createDataFrame([(f"m{m}", f"2020-0{t + 1}-01", float(m * 10 + t)) for m in range(9) for t in range(3) if (m + t) % 4], "market string, date string, price double")
-    plain = sorted(map(tuple, joins.market_pairs(panel).collect()))
-    monkeypatch.setattr(joins, "BLOCK_UNITS", 2)
+    plain = sorted(map(tuple, joins.market_pairs(panel, blocks=1).collect()))
     assert sorted(map(tuple, joins.market_pairs(panel).collect())) == plain and len(plain) > 50
 
 
