@@ -81,10 +81,13 @@ def _maximum(f, lo: float, hi: float) -> float:
     return float((a + b) / 2)
 
 
-def _likeliest(f, det) -> float:
-    """The rho of the largest f within the interval of the weights; moments are carried on while it is near their reach."""
+def _likeliest(f, det, bounds: tuple[float, float]) -> float:
+    """The rho of the largest f within the bounds and the interval of the weights.
+
+    Moments are carried on while it is near their reach.
+    """
     while True:
-        lo, hi = max(det.lo, -det.reach, -1e6), min(det.hi, det.reach, 1e6)
+        lo, hi = max(det.lo, -det.reach, bounds[0]), min(det.hi, det.reach, bounds[1])
         rho = _maximum(f, lo, hi)
         if lo + 0.02 * (hi - lo) < rho < hi - 0.02 * (hi - lo) or not det.widen():
             return rho
@@ -115,8 +118,8 @@ def _moments(rows: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, int]:
     return m, r["n"]
 
 
-def lag_model(data: DataFrame, edges: DataFrame, y: str, xs: Sequence[str], key: str = "market", method: str = "iv", durbin: bool = False) -> DataFrame:
-    """y = rho W y + X b + e (J2): ``iv`` by instruments WX and W^2 X, ``ml`` by the concentrated likelihood, or ``ols``."""
+def lag_model(data: DataFrame, edges: DataFrame, y: str, xs: Sequence[str], key: str = "market", method: str = "iv", durbin: bool = False, bounds: tuple[float, float] = (-1.0, 1.0)) -> DataFrame:
+    """y = rho W y + X b + e (J2): ``iv`` by instruments WX and W^2 X, ``ml`` by the concentrated likelihood within ``bounds``, or ``ols``."""
     rows = data.select(key, *[F.col(c).cast("double").alias(c) for c in (y, *xs)]).dropna()
     rows = saved(_lags(edges, rows, [y, *xs], key))
     used = [*xs, *[f"w_{x}" for x in xs]] if durbin else list(xs)
@@ -154,7 +157,7 @@ def lag_model(data: DataFrame, edges: DataFrame, y: str, xs: Sequence[str], key:
     ell = m[at[wy], at[wy]] - bl @ m[ix, at[wy]]
     det = logdet.determinant(edges, rows, key)
     ll = lambda r: det.log(r) - n / 2 * (math.log(2 * math.pi) + math.log(max((e00 - 2 * r * e0l + r * r * ell) / n, 1e-300)) + 1)
-    rho = _likeliest(ll, det)
+    rho = _likeliest(ll, det, bounds)
     b = b0 - rho * bl
     sigma2 = (e00 - 2 * rho * e0l + rho * rho * ell) / n
     h = min(1e-4, (min(det.hi, 1e6) - rho) / 4, (rho - max(det.lo, -1e6)) / 4)
@@ -167,8 +170,8 @@ def lag_model(data: DataFrame, edges: DataFrame, y: str, xs: Sequence[str], key:
     return _model(spark, name, "ml", rho, [*names, "rho"], [*b, rho], cov, sigma2, float(1 - n * sigma2 / sst), float(ll(rho)), n)
 
 
-def error_model(data: DataFrame, edges: DataFrame, y: str, xs: Sequence[str], key: str = "market", method: str = "gm") -> DataFrame:
-    """y = X b + u, u = lambda W u + e (J3): ``gm`` by Kelejian and Prucha (1999), ``ml`` by the likelihood, or ``ols``."""
+def error_model(data: DataFrame, edges: DataFrame, y: str, xs: Sequence[str], key: str = "market", method: str = "gm", bounds: tuple[float, float] = (-1.0, 1.0)) -> DataFrame:
+    """y = X b + u, u = lambda W u + e (J3): ``gm`` by Kelejian and Prucha (1999), ``ml`` by the likelihood within ``bounds``, or ``ols``."""
     rows = saved(data.select(key, *[F.col(c).cast("double").alias(c) for c in (y, *xs)]).dropna())
     fit = ols(rows, y, xs).first()
     names, n, spark = [CONST, *xs], fit["n_obs"], data.sparkSession
@@ -207,7 +210,7 @@ def error_model(data: DataFrame, edges: DataFrame, y: str, xs: Sequence[str], ke
     elif method == "ml":
         det = logdet.determinant(edges, rows, key)
         value = lambda r: det.log(r) - n / 2 * (math.log(2 * math.pi) + math.log(max(filtered(r)[2] / n, 1e-300)) + 1)
-        lam = _likeliest(value, det)
+        lam = _likeliest(value, det, bounds)
         ll = float(value(lam))
     else:
         raise ValueError(f"unknown method {method}")

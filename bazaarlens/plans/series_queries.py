@@ -160,12 +160,16 @@ _POWERS = """ids AS (SELECT market, row_number() OVER (ORDER BY market) AS i FRO
  tr AS (SELECT k, coalesce(sum(v) FILTER (WHERE i = j), 0) AS t FROM pw GROUP BY 1)"""
 
 
+#: Where the series converges quickly.
+BOUNDS = (-0.93, 0.93)
+
+
 def _likeliest(value: str, source: str) -> str:
     """CTEs that end in ``top`` (rho, ll): the rho of the largest ``value`` of ``source`` (one row for each rho)."""
     out, centre = [], None
     for level, (step, count) in enumerate(((0.01, 93), (1e-4, 100), (1e-6, 100), (1e-8, 100))):
         grid = f"SELECT x * {step} AS rho FROM range(-{count}, {count + 1}) t(x)" if centre is None else f"SELECT rho + x * {step} AS rho FROM {centre}, range(-{count}, {count + 1}) t(x)"
-        out.append(f"grid{level} AS ({grid})")
+        out.append(f"grid{level} AS (SELECT * FROM ({grid}) WHERE rho BETWEEN {BOUNDS[0]} AND {BOUNDS[1]})")
         out.append(f"det{level} AS (SELECT rho, -sum(pow(rho, k) * t / k) AS logdet FROM grid{level}, tr GROUP BY 1)")
         out.append(f"like{level} AS (SELECT rho, logdet + ({value}) AS ll FROM ({source.replace('GRID', f'det{level}')}))")
         out.append(f"best{level} AS (SELECT arg_max(rho, ll) AS rho, max(ll) AS ll FROM like{level})")
@@ -181,7 +185,7 @@ LAG_ML = f"{SPATIAL.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_POWERS}, {_LAG_SU
 
 @query(f"{LAG_ML} SELECT n AS n_obs, round(rho, 4) AS rho, round(ll, 4) AS log_lik, round((bp - rho * bw) / 1000, 3) AS b_x FROM top, sums")
 def j2_lag_likelihood(spark, sf_dir):
-    fit = spatial_reg.lag_model(cross(spark, sf_dir), edges(spark, sf_dir), "price", ["conflict_intensity"], method="ml")
+    fit = spatial_reg.lag_model(cross(spark, sf_dir), edges(spark, sf_dir), "price", ["conflict_intensity"], method="ml", bounds=BOUNDS)
     return rounded(fit.select("n_obs", F.col("spatial").alias("rho"), "log_lik", F.round(F.element_at("coef", "conflict_intensity") / 1000, 3).alias("b_x")), 4)
 
 
@@ -189,7 +193,7 @@ def j2_lag_likelihood(spark, sf_dir):
 def j5_effect_shares(spark, sf_dir):
     """The part of the total effect that is direct, and the total effect of a unit change over its coefficient."""
     c, e = cross(spark, sf_dir), edges(spark, sf_dir)
-    model = saved(spatial_reg.lag_model(c, e, "price", ["conflict_intensity"], method="ml"))
+    model = saved(spatial_reg.lag_model(c, e, "price", ["conflict_intensity"], method="ml", bounds=BOUNDS))
     found = spatial_reg.impacts(model, e, c, ["conflict_intensity"])
     coef = model.select(F.element_at("coef", "conflict_intensity").alias("b"))
     return rounded(found.crossJoin(F.broadcast(coef)).select("variable", (F.col("direct") / F.col("total")).alias("direct_share"), (F.col("total") / F.col("b")).alias("multiplier")), 4)
@@ -203,7 +207,7 @@ ERROR_ML = f"{SPATIAL.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_POWERS}, r1 AS
 
 @query(f"{ERROR_ML} SELECT round(rho, 4) AS lambda, round(ll, 4) AS log_lik FROM top")
 def j3_error_likelihood(spark, sf_dir):
-    fit = spatial_reg.error_model(cross(spark, sf_dir), edges(spark, sf_dir), "price", ["conflict_intensity"], method="ml")
+    fit = spatial_reg.error_model(cross(spark, sf_dir), edges(spark, sf_dir), "price", ["conflict_intensity"], method="ml", bounds=BOUNDS)
     return rounded(fit.select(F.col("spatial").alias("lambda"), "log_lik"), 4)
 
 
