@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from bazaarlens.operators import clean, ranges
 
 
-def over(keys: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(*order)
-
-
 def lags(data: DataFrame, columns: Sequence[str], ks: Sequence[int], keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> DataFrame:
     """``c_lag_k`` (F1); a negative k leads."""
     part = ranges.cut(data, keys, order, rows, max(0, *ks), max(0, *[-k for k in ks]))
