@@ -4,6 +4,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from bazaarlens.llm import queries
@@ -72,6 +73,6 @@ def test_sql(results, name):
     columns = sorted(want.columns)
     assert sorted(results[name].columns) == columns
     # a column of integers with nulls is one of floats on either side
-    word = lambda v: "null" if v is None or v != v else str(int(v)) if isinstance(v, (float, np.integer, np.floating)) and v == int(v) else str(v)
+    word = lambda v: "null" if pd.isna(v) else str(int(v)) if isinstance(v, (float, np.integer, np.floating)) and v == int(v) else str(v)
     plain = lambda df: sorted(tuple(map(word, r)) for r in df[columns].itertuples(index=False, name=None))
     assert plain(results[name]) == plain(want)
