@@ -22,7 +22,21 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Spark's setting by which a query's shuffle files go when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """A checkpoint of ``df`` in the shared folder.
+
+    The shuffle files behind it are removed as soon as it is written: nothing reads them again, and a loop of checkpoints would
+    keep those of every round until the driver collects garbage.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a query of its own, planned under the setting
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
