@@ -22,6 +22,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v")))
 
 
+def contracted(edges: DataFrame, rounds: int) -> DataFrame:
+    """Edges (u > v) of the same components after some rounds, each a checkpoint: most nodes have one edge left, to the least node near them."""
+    now = edges.where("u > v").select("u", "v").distinct()
+    for _ in range(rounds):
+        now = saved(_small_star(_large_star(now).distinct()).distinct())
+    return now
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): each node that isn't the least of its component, and that least node.
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .common import saved, table
-from .components import components
+from .components import components, contracted
 
 RADIUS = 4
 NODES = 2048
@@ -287,8 +287,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 MET = "bucket long, head long, head_fp long, head_root long, node long, fp long, root long"
-#: Turns of stars before all pairs are looked for.
-TURNS = 3
+#: Turns of stars before all pairs are looked for, and rounds by which links are contracted between turns.
+TURNS, ROUNDS = 2, 2
 
 
 def _stars_of(members: DataFrame, turn: int) -> DataFrame:
@@ -315,11 +315,13 @@ def similar_texts(docs: DataFrame, radius: int = WIDE, nodes: int = NODES, text:
     pair = [F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")]
     for turn in range(TURNS + 1):
         if turn:
-            members = members.drop("root").join(edges.toDF("node", "r"), "node", "left").select("bucket", "node", "fp", F.coalesce("r", "node").alias("root"))
+            # a root is a node of one's component, and not always the least: unlike roots may be linked, like ones are
+            roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("r"))
+            members = members.drop("root").join(roots, "node", "left").select("bucket", "node", "fp", F.coalesce("r", "node").alias("root"))
             open_ = members.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("bucket")
             members = saved(members.join(open_, "bucket", "left_semi"))
             if members.isEmpty():
-                return edges
+                break
         if turn < TURNS:
             found = (_stars_of(members, turn) if turn else met).where(near & (F.lit(turn == 0) | (F.col("root") != F.col("head_root")))).select(*pair)
         else:
@@ -333,8 +335,10 @@ def similar_texts(docs: DataFrame, radius: int = WIDE, nodes: int = NODES, text:
         found = saved(found if tried is None else found.join(tried, ["u", "v"], "left_anti"))
         tried = found if tried is None else tried.unionByName(found)
         linked = shingles.similar(shingles.near(found, sketches) if turn < TURNS else found, texts)
-        edges = components(linked if edges is None else edges.unionByName(linked))
-    return edges
+        edges = linked if edges is None else edges.unionByName(linked)
+        if turn < TURNS:
+            edges = contracted(edges, ROUNDS)
+    return components(edges)
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
