@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.operators import ranges
+from bazaarlens.operators.local_lines import local_lines
 from bazaarlens.plans.lineage import saved
 
 
@@ -230,40 +231,40 @@ def conflict_outliers(data: DataFrame, price: str = "price", conflict: str = "co
     return flagged if rows is None else flagged.drop(ranges.INDEX, ranges.LENGTH)
 
 
-def lowess(data: DataFrame, value: str = "price", keys: Sequence[str] = ("market",), order: Sequence[str] = ("date",), fraction: float = 0.2, rounds: int = 3, name: str = "trend") -> DataFrame:
+def lowess(data: DataFrame, value: str = "price", keys: Sequence[str] = ("market",), order: Sequence[str] = ("date",), fraction: float = 0.2, rounds: int = 3, name: str = "trend", rows: int | None = None) -> DataFrame:
     """Locally weighted lines on the row number (Cleveland 1979), robustly re-weighted.
 
-    Each point is joined with its ceil(fraction * n) nearest rows, found from its place in the series.
+    A point's neighbours are its ceil(fraction * n) nearest rows, known from its place in the series; sums over them come from
+    running sums (see ``local_lines``).  ``rows`` cuts long series into ranges (see ``ranges``).
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = data.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w) - 1)
-    rows = rows.join(rows.groupBy(*keys).agg(F.count("*").alias("_n")), list(keys))
+    known = data.where(F.col(value).isNotNull())
+    if rows is None:
+        series = Window.partitionBy(*keys)
+        placed = known.withColumns({"_j": F.row_number().over(series.orderBy(*order)) - 1, "_n": F.count("*").over(series)})
+    else:
+        placed = ranges.numbered(known, keys, order).withColumnsRenamed({ranges.INDEX: "_j", ranges.LENGTH: "_n"})
     k = F.least(F.greatest(F.ceil(F.col("_n") * fraction), F.lit(2)), F.col("_n")).cast("int")
     # on evenly numbered points the nearest k are the block around the point, pushed inwards at the ends
-    rows = rows.withColumn("_k", k).withColumn("_a", F.greatest(F.lit(0), F.least(F.col("_i") - F.floor((F.col("_k") - 1) / 2), F.col("_n") - F.col("_k"))).cast("int"))
-    rows = saved(rows)
-    points = rows.select(*keys, "_i", F.explode(F.sequence(F.col("_a"), F.col("_a") + F.col("_k") - 1)).alias("_j"), F.greatest(F.col("_i") - F.col("_a"), F.col("_a") + F.col("_k") - 1 - F.col("_i")).alias("_h"))
-    values = rows.select(*keys, F.col("_i").alias("_j"), F.col(value).alias("_y")).withColumn("_r", F.lit(1.0))
-    fitted = None
+    placed = saved(placed.withColumn("_k", k).withColumn("_a", F.greatest(F.lit(0), F.least(F.col("_j") - F.floor((F.col("_k") - 1) / 2), F.col("_n") - F.col("_k"))).cast("long")))
+    # lines are fitted to differences from the mean, which lose fewer digits
+    means = placed.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    centred = placed.join(means, list(keys)).select(*keys, "_j", "_n", "_k", "_a", "_mean", (F.col(value) - F.col("_mean")).alias("_y"))
+    values = centred.withColumn("_r", F.lit(1.0))
     for turn in range(rounds + 1):
-        d = F.abs(F.col("_j") - F.col("_i")) / F.greatest(F.col("_h").cast("double"), F.lit(1e-12))
-        tri = F.pow(1 - F.pow(F.least(d, F.lit(1.0)), 3), 3)
-        near = points.join(values, [*keys, "_j"]).withColumn("_w", tri * F.col("_r")).withColumn("_x", (F.col("_j") - F.col("_i")).cast("double"))
-        sums = near.groupBy(*keys, "_i").agg(*[F.sum(e).alias(n) for n, e in {"s": F.col("_w"), "sx": F.col("_w") * F.col("_x"), "sxx": F.col("_w") * F.col("_x") ** 2, "sy": F.col("_w") * F.col("_y"), "sxy": F.col("_w") * F.col("_x") * F.col("_y")}.items()])
-        det = F.col("s") * F.col("sxx") - F.col("sx") ** 2
-        fit = F.when(det > 1e-12, (F.col("sxx") * F.col("sy") - F.col("sx") * F.col("sxy")) / det).otherwise(F.col("sy") / F.nullif(F.col("s"), F.lit(0.0)))
-        fitted = saved(sums.select(*keys, F.col("_i").alias("_j"), fit.alias("_fit")))
+        fitted = saved(local_lines(values, keys, rows))
         if turn < rounds:
-            off = values.drop("_r").join(fitted, [*keys, "_j"]).withColumn("_e", F.abs(F.col("_y") - F.col("_fit")))
-            off = off.join(off.groupBy(*keys).agg((6 * F.percentile("_e", 0.5)).alias("_six")), list(keys))
-            u = F.col("_e") / F.nullif(F.col("_six"), F.lit(0.0))
-            values = off.select(*keys, "_j", "_y", F.coalesce(F.when(u < 1, F.pow(1 - u * u, 2)).otherwise(F.when(u.isNull(), 1.0).otherwise(0.0)), F.lit(1.0)).alias("_r"))
-    return rows.withColumnRenamed("_i", "_j").join(fitted, [*keys, "_j"]).withColumnRenamed("_fit", name).drop("_j", "_n", "_k", "_a")
-
-
-def trend_outliers(data: DataFrame, price: str = "price", threshold: float = 3.0, keys: Sequence[str] = ("market",), order: Sequence[str] = ("date",)) -> DataFrame:
-    """``is_outlier`` by the MAD z-score of what a LOWESS trend leaves."""
-    out = lowess(data, price, keys, order).withColumn("_e", F.col(price) - F.col("trend"))
+            off = centred.join(fitted, [*keys, "_j"]).withColumn("_off", F.abs(F.col("_y") - F.col("_fit")))
+            off = off.join(off.groupBy(*keys).agg((6 * F.percentile("_off", 0.5)).alias("_six")), list(keys))
+            u = F.col("_off") / F.nullif(F.col("_six"), F.lit(0.0))
+            weight = F.when(u < 1, F.pow(1 - u * u, 2)).when(u.isNull(), 1.0).otherwise(0.0)
+            values = off.withColumn("_r", weight).drop("_fit", "_off", "_six")
+    trend = fitted.join(means, list(keys)).select(*keys, "_j", (F.col("_fit") + F.col("_mean")).alias(name))
+    return placed.join(trend, [*keys, "_j"]).drop("_j", "_n", "_k", "_a")
+
+
+def trend_outliers(data: DataFrame, price: str = "price", threshold: float = 3.0, keys: Sequence[str] = ("market",), order: Sequence[str] = ("date",), rows: int | None = None) -> DataFrame:
+    """``is_outlier`` by the MAD z-score of what a LOWESS trend leaves (C10); ``rows`` cuts long series into ranges."""
+    out = lowess(data, price, keys, order, rows=rows).withColumn("_e", F.col(price) - F.col("trend"))
     return outlier_flags(out, "_e", "modified_zscore", threshold, keys).drop("_e")
 
 

@@ -230,7 +230,29 @@ def c9_conflict_outliers(spark, sf_dir):
     return clean.conflict_outliers(market_panel(spark, sf_dir), threshold=1.5).select("market", "date", "is_outlier")
 
 
-@query()
+def _lowess_sql(points: str, key: str, value: str, rounds: int = 3) -> str:
+    """CTEs up to ``f{rounds}`` (key, i, fit): every point joined with its neighbours, once for each round."""
+    fit = lambda t: f"""f{t} AS (SELECT {key}, i, CASE WHEN s * sxx - sx * sx > 1e-12 THEN (sxx * sy - sx * sxy) / (s * sxx - sx * sx) ELSE sy / nullif(s, 0) END AS fit FROM (
+      SELECT p.{key}, p.i, sum(w * r) AS s, sum(w * r * x) AS sx, sum(w * r * x * x) AS sxx, sum(w * r * y) AS sy, sum(w * r * x * y) AS sxy
+      FROM near p JOIN r{t} v ON p.{key} = v.{key} AND p.j = v.i GROUP BY 1, 2))"""
+    weigh = lambda t: f"""e{t} AS (SELECT v.{key}, v.i, v.y, abs(v.y - f.fit) AS e FROM r{t} v JOIN f{t} f ON v.{key} = f.{key} AND v.i = f.i),
+    r{t + 1} AS (SELECT {key}, i, y, CASE WHEN six = 0 THEN 1.0 WHEN e < six THEN (1 - (e / six) * (e / six)) * (1 - (e / six) * (e / six)) ELSE 0.0 END AS r
+      FROM (SELECT *, 6 * quantile_cont(e, 0.5) OVER (PARTITION BY {key}) AS six FROM e{t}))"""
+    steps = [f"""n AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY {key}) AS n FROM {points} WHERE {value} IS NOT NULL),
+    k AS (SELECT *, CAST(least(greatest(ceil(n * 0.2), 2), n) AS BIGINT) AS k FROM n),
+    a AS (SELECT *, greatest(0, least(i - (k - 1) // 2, n - k)) AS a FROM k),
+    near AS (SELECT a.{key}, a.i, b.i AS j, b.i - a.i AS x, pow(1 - pow(abs(b.i - a.i) / greatest(a.i - a.a, a.a + a.k - 1 - a.i, 1), 3), 3) AS w
+      FROM a JOIN a b ON a.{key} = b.{key} AND b.i BETWEEN a.a AND a.a + a.k - 1),
+    r0 AS (SELECT {key}, i, {value} AS y, 1.0 AS r FROM a)"""]
+    for t in range(rounds + 1):
+        steps += [fit(t)] + ([weigh(t)] if t < rounds else [])
+    return ", ".join(steps)
+
+
+@query(P + ", " + _lowess_sql("panel", "market", "price") + """,
+  o AS (SELECT a.market, a.date, f.fit AS trend, a.price - f.fit AS e FROM a JOIN f3 f ON a.market = f.market AND a.i = f.i),
+  d AS (SELECT *, abs(e - quantile_cont(e, 0.5) OVER (PARTITION BY market)) AS d FROM o)
+  SELECT market, date, round(trend, 6) AS trend, coalesce(0.6745 * d / nullif(quantile_cont(d, 0.5) OVER (PARTITION BY market), 0) > 2.0, false) AS is_outlier FROM d""")
 def c10_trend_outliers(spark, sf_dir):
     return rounded(clean.trend_outliers(market_panel(spark, sf_dir), threshold=2.0).select("market", "date", "trend", "is_outlier"))
 

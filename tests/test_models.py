@@ -270,6 +270,43 @@ def test_lowess_follows_a_line(spark):
     assert 20 in flagged
 
 
+def _lowess_by_rows(y, fraction=0.2, rounds=3):
+    n = len(y)
+    k = int(min(max(np.ceil(n * fraction), 2), n))
+    r, fit = np.ones(n), np.zeros(n)
+    for turn in range(rounds + 1):
+        for i in range(n):
+            a = max(0, min(i - (k - 1) // 2, n - k))
+            x = np.arange(a, a + k) - i
+            w = (1 - (np.abs(x) / max(np.abs(x).max(), 1)) ** 3) ** 3 * r[a : a + k]
+            design = np.stack([np.ones(k), x], 1) * np.sqrt(w)[:, None]
+            fit[i] = np.linalg.lstsq(design, y[a : a + k] * np.sqrt(w), rcond=None)[0][0]
+        if turn < rounds:
+            u = np.abs(y - fit)
+            u = u / (6 * np.median(u))
+            r = np.where(u < 1, (1 - u**2) ** 2, 0.0)
+    return fit
+
+
+def test_lowess_is_that_of_every_point_with_its_neighbours(spark):
+    rng = np.random.default_rng(4)
+    series = {m: rng.normal(size=n).cumsum() * 5 + 900 + (rng.random(n) < 0.1) * 80 for m, n in (("a", 301), ("b", 47), ("c", 10), ("d", 120))}
+    data = spark.createDataFrame([(m, i, float(v)) for m, y in series.items() for i, v in enumerate(y)] + [("a", 999, None)], "market string, date int, price double")
+    for rows in (None, 7):  # one range, ranges within a stretch of neighbours
+        got = clean.lowess(data, rows=rows).toPandas()
+        assert len(got) == sum(map(len, series.values()))
+        for m, y in series.items():
+            np.testing.assert_allclose(got[got.market == m].sort_values("date").trend.astype(float), _lowess_by_rows(y), rtol=0, atol=1e-7)
+
+
+def test_lowess_of_short_and_level_series(spark):
+    data = spark.createDataFrame([("one", 1, 5.0), ("two", 1, 1.0), ("two", 2, 3.0), *[("level", i, 4.0) for i in range(12)], ("none", 1, None)], "market string, date int, price double")
+    got = {(r.market, r.date): r.trend for r in clean.lowess(data).collect()}
+    assert got[("one", 1)] == pytest.approx(5.0) and all(got[("level", i)] == pytest.approx(4.0) for i in range(12))
+    assert got[("two", 1)] == pytest.approx(1.0) and got[("two", 2)] == pytest.approx(3.0) and len(got) == 15
+    assert clean.lowess(data.where("false")).count() == 0
+
+
 def test_shapiro_wilk_published_value(spark):
     # the men's weights of Shapiro and Wilk (1965): W = .79
     x = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
