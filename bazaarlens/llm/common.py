@@ -58,8 +58,9 @@ def split_words(text: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarr
     Nulls count as empty.  ``lower`` turns A-Z, and nothing else, into lower case.
     """
     text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
-    text = pc.fill_null(text.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
+    # lower-cased before any cast: pyarrow's ascii_lower misreads a slice that was cast to large_string
+    text = pc.fill_null((pc.ascii_lower(text) if lower else text).cast(pa.large_string()), "")
+    lists = pc.ascii_split_whitespace(text)
     flat, offsets = lists.values, lists.offsets.to_numpy().astype(np.int64)
     flat, offsets = flat.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
     filled = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)

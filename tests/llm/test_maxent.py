@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from bazaarlens.llm import common
 from bazaarlens.llm import maxent_lm as lm
 from tests.llm.test_text_operators import SYLLABLES, docs, invented
 
@@ -86,3 +87,32 @@ def test_names_survive_their_planes():
 def test_repeated_rows_are_rows(spark):
     got = lm.score_texts(docs(spark, ["a b a", "a b a", "c"], [1, 1, None]), F.lit(True)).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 2), (1, 4), (1, 4)] and len({r.score for r in got}) == 2
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+@pytest.mark.parametrize("lower", [False, True])
+@pytest.mark.parametrize("nulls", [0, 5])
+def test_words_of_a_slice(kind, lower, nulls):
+    texts = [f"A{i} b  Ä{i}" + " Dd" * (i % 4) if i % 5 else "" for i in range(40)]
+    texts[:nulls] = [None] * nulls
+    whole = pa.array(texts, kind)
+    for at, n in ((0, 40), (0, 9), (7, 20), (13, 27), (39, 1), (5, 0)):
+        flat, bounds = common.split_words(whole.slice(at, n), lower)
+        got = [flat[a:b].to_pylist() for a, b in zip(bounds, bounds[1:], strict=False)]
+        low = lambda t: t.encode().lower().decode() if lower else t
+        assert got == [low(t or "").split() for t in texts[at : at + n]]
+
+
+def test_contract_of_a_task_with_more_text_than_a_piece(spark):
+    """Counts and base scores of one partition whose texts come in several slices, some of them with upper case."""
+    texts = [f"Common{i % 7} of THE {i % 50} " * (15_000 if i % 3 else 40) + f"once{i}" for i in range(60)] + [None, "", "never seen"]
+    assert sum(len(t or "") for t in texts) > 2 * lm.STEP
+    rows = docs(spark, texts).coalesce(1)
+    got = {r.doc_id: r for r in lm.score_texts(rows, F.col("doc_id") % 7 != 2).collect()}
+    tokens = [[*(t or "").lower().split(), None] for t in texts]
+    count = Counter(w for i, t in enumerate(tokens) if i % 7 != 2 for w in t)
+    n, v = sum(count.values()), len(count)
+    assert len(got) == len(texts)
+    for i, t in enumerate(tokens):
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(count[w] > 0 for w in t), n), i
+        assert got[i].base_score == pytest.approx(math.fsum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), rel=1e-12), i
