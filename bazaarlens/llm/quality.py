@@ -2,7 +2,8 @@
 
 A document is the mean of the learned vectors of its words, its word pairs and its words' byte n-grams, each hashed into a
 bucket; a softmax layer on the mean gives the classes.  Vectors and layer are learned together by stochastic gradient
-descent in numpy, on a bounded sample of labelled documents: shards of it learn in tasks and their models are averaged.
+descent in numpy, on a bounded sample of labelled documents: shards of it learn in tasks, and their scores per bucket are
+averaged.  One shard is what is set, as averages of several learn less from a sample of this size.
 
 As the mean and the layer are linear, a bucket's vector times the layer is one number per class: scoring a text of any
 length is a sum of such numbers over its features, in the scan.
@@ -18,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, buffers, encoded, mix2, saved, split_words, table, training_rows, word_hashes
-from .features import averaged, gram_sums, grams, pieces, sample
+from .features import gram_sums, grams, pieces, sample
 
 #: Bound of the training sample: documents over both classes.
 TRAIN_DOCS = 3000
 SIZES, BUCKETS, DIMENSION = (3, 4, 5), 1 << 16, 16
 EPOCHS, BATCH, RATE = 6, 32, 0.1
-#: Tasks that learn: averages of several learn less from a sample of this size.
+#: Tasks that learn.
 SHARDS = 1
 STEP = 8 << 20
 
@@ -91,24 +92,30 @@ def counts(text: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return used, np.bincount(where, each, len(used))
 
 
-def _learn(batches: Iterator[pa.RecordBatch], arrays: list[np.ndarray], turn: int) -> int:
-    """Gradient steps on BATCH documents at a time, of which only the features are held."""
-    model = Embeddings(len(arrays[0]), arrays[0].shape[1])
-    model.vectors, model.layer, model.bias = arrays
-    sizes, n = [np.full(x.shape, 1e-6) for x in arrays], 0
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gradient steps on BATCH documents at a time, of which only the features are held; rows come turn by turn.
+
+    What leaves the task is a number per bucket, not the vectors.
+    """
+    model, n, turn = Embeddings(), 0, -1
     held: list[tuple[np.ndarray, np.ndarray]] = []
     labels: list[int] = []
+    sizes: list[np.ndarray] = []
     for batch in batches:
         for i in range(batch.num_rows):
+            now = batch.column(2)[i].as_py()
+            if held and (len(held) == BATCH or now != turn):
+                model.step(held, np.array(labels), sizes)
+                held, labels = [], []
+            if now != turn:
+                turn, sizes = now, [np.full(x.shape, 1e-6) for x in (model.vectors, model.layer, model.bias)]
             held.append(counts(batch.column(0).slice(i, 1), model.buckets))
             labels.append(batch.column(1)[i].as_py())
             n += 1
-            if len(held) == BATCH:
-                model.step(held, np.array(labels), sizes)
-                held, labels = [], []
     if held:
         model.step(held, np.array(labels), sizes)
-    return n
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([model.flattened().tobytes()]), pa.array([float(model.bias[1] - model.bias[0])])], names=["n", "scores", "bias"])
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, label: str = "quality") -> tuple[np.ndarray, float]:
@@ -127,12 +134,16 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, labe
     ids = first(ids.select(F.col("text").cast("long").alias("doc_id"), "label"), "label")
     # at most train_docs rows: the broadcast has a fixed bound
     some = first(texts.join(F.broadcast(ids), "doc_id"), F.xxhash64("text"), "text")
-    rows = saved(some.withColumn("key", F.xxhash64("doc_id", F.lit(9))).repartition(SHARDS, "key").sortWithinPartitions("key", "doc_id").select("text", "label"))
+    rows = saved(some.withColumn("key", F.xxhash64("doc_id", F.lit(9))).repartition(SHARDS, "key").select("text", "label", "key", "doc_id"))
     drawn = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    model = Embeddings()
-    model.vectors, model.layer, model.bias = averaged(rows, _learn, [model.vectors, model.layer, model.bias], EPOCHS)
-    bias = model.bias[1] - model.bias[0] + np.log(seen[1] / seen[0]) - np.log(max(1, drawn.get(1, 0)) / max(1, drawn.get(0, 0)))
-    return model.flattened(), float(bias)
+    # every turn reads the shard again, in one pass of its task: vectors don't travel by the driver from turn to turn
+    turns = rows.withColumn("turn", F.explode(F.array(*[F.lit(k) for k in range(EPOCHS)]))).sortWithinPartitions("turn", "key", "doc_id")
+    total, scores, bias = 0.0, np.zeros(BUCKETS), 0.0
+    for r in turns.select("text", "label", "turn").mapInArrow(_learn, "n double, scores binary, bias double").toLocalIterator():
+        total, scores, bias = total + r["n"], scores + r["n"] * np.frombuffer(bytes(r["scores"])), bias + r["n"] * r["bias"]
+    total = max(total, 1.0)
+    bias = bias / total + np.log(seen[1] / seen[0]) - np.log(max(1, drawn.get(1, 0)) / max(1, drawn.get(0, 0)))
+    return scores / total, float(bias)
 
 
 def _scored(model):

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,3 +65,23 @@ def test_repeated_queries(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (None, [9.0, 9.0])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in topk.exact_topk(rows, F.col("vec_id") == 0).collect()]
     assert {(q, v, s) for q, _, v, s in got} == {(0, 1, 65536)}
+
+
+def test_quality_learns_without_its_vectors_at_the_driver(spark, monkeypatch):
+    """Every turn over the sample in one pass: equal to turns by themselves, and no model is broadcast between them."""
+    texts = [f"good words of text number {i} and {i % 7}" if i % 3 else f"junk {i} !! buy junk {i % 5}" for i in range(75)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(75)], "doc_id long, quality int")
+    sent = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value))
+    scores, bias = quality.train(rows, labels)
+    assert not sent
+    order = [r.doc_id for r in rows.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").collect()]
+    model = quality.Embeddings()
+    for _ in range(quality.EPOCHS):
+        sizes = [np.full(x.shape, 1e-6) for x in (model.vectors, model.layer, model.bias)]
+        for at in range(0, 75, quality.BATCH):
+            some = order[at : at + quality.BATCH]
+            model.step([quality.counts(pa.array([texts[i]]), model.buckets) for i in some], np.array([int(i % 3 > 0) for i in some]), sizes)
+    np.testing.assert_allclose(scores, model.flattened(), atol=1e-9)
+    assert bias == pytest.approx(model.bias[1] - model.bias[0], abs=1e-9)
