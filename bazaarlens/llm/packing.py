@@ -14,17 +14,18 @@ from __future__ import annotations
 import heapq
 import math
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoded, split_words, table
+from .common import buffers, encoded, split_words, table
 from .features import give_back, pieces
 
 LENGTH = 2048
@@ -33,13 +34,15 @@ END_ID = 1
 GROUP_DOCS = 4096
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n^2.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-#: Words and pieces of words whose ids a task remembers.
+#: Pieces of words whose ids a task remembers.
 REMEMBERED = 250_000
 #: Bytes of text whose ids are laid out at once.
 STEP = 4 << 20
 
 #: The pattern by which the tokenizer file splits normalised text.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Up to U+012F letters are lower-cased one for one and nothing composes; control characters and odd spaces are left out.
+PLAIN = r"^[!-~¡-į]+$"
 
 #: The characters that stand for bytes in the tokenizer's merges.  Printable ones stand for themselves.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -61,42 +64,46 @@ class WordTokenizer:
         contents = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         if any(c.split() != [c] for c in contents):
             raise ValueError("an added token with white space can't be found in words")
-        self.added = regex.compile("|".join(map(regex.escape, contents)) or r"(?!)")
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    @staticmethod
-    def split(word: str) -> list[str] | None:
-        """Normalised parts, of which the tokenizer merges each by itself; None where that takes more than lower case."""
-        if word.isascii() and word.isalpha():
-            return [word.lower()]
-        # up to U+012F letters are lower-cased one for one and nothing composes
-        return PIECES.findall(word.lower()) if word.isascii() or max(word) < "İ" else None
+        self.added = "|".join(map(re.escape, contents))
+        self.known: dict[str, bytes] = {"": b""}
+
+    def plain(self, words: pa.Array) -> pa.Array:
+        """Whether a word is lower-cased and split into PIECES as the tokenizer does it, each of which it merges by itself."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        if self.added:  # found in raw or in normalised text, before the model's merges
+            for text in (words, pc.utf8_lower(words)):
+                plain = pc.and_not(plain, pc.match_substring_regex(text, self.added))
+        return plain
 
     def forget(self) -> None:
         """Give the memory back at the end of a task: the worker may be kept for others."""
-        self.words, self.pieces = {}, {}
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian 16-bit numbers."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        known, parts_known = self.words, self.pieces
-        for w in words:
-            if w not in known:
-                # added tokens are found in raw or in normalised text, before the model's merges
-                parts = None if self.added.search(w) or self.added.search(w.lower()) else self.split(w)
-                if parts is None:
-                    known[w] = array("H", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
-                    continue
-                for piece in parts:
-                    if piece not in parts_known:
-                        merged = self.model.tokenize(piece.encode().decode("latin-1").translate(BYTES))
-                        parts_known[piece] = array("H", [t.id for t in merged]).tobytes()
-                known[w] = parts_known[parts[0]] if len(parts) == 1 else b"".join([parts_known[p] for p in parts])
-        return [known[w] for w in words]
+        self.known = {"": b""}
+
+    def learn(self, names: list[str]) -> None:
+        """Remember the ids of pieces, or of words that are not plain, as little-endian 16-bit numbers."""
+        for piece, plain in zip(names, self.plain(pa.array(names, pa.large_string())).to_pylist(), strict=True):
+            if plain:
+                ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTES))]
+            else:
+                ids = self.whole.encode(piece, add_special_tokens=False).ids
+            self.known[piece] = array("H", ids).tobytes()
+
+    def encode(self, words: pa.Array) -> pa.Array:
+        """The ids of each word as little-endian 16-bit numbers, and after the last word the end id.
+
+        The words are split by Arrow; Python sees each distinct piece once.
+        """
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        cut = pc.replace_substring_regex(pc.utf8_lower(words), PIECES, r"\0 ")
+        lists = pc.split_pattern(pc.if_else(self.plain(words), cut, words), " ")
+        code, distinct = encoded(lists.values)
+        names = distinct.to_numpy(zero_copy_only=False).tolist()
+        self.learn([x for x in names if x not in self.known])
+        raw, at = buffers(pa.array([self.known[x] for x in names], pa.large_binary()).take(pa.array(code)))
+        ends = np.append(at[lists.offsets.to_numpy()] if len(words) else np.zeros(1, np.int64), len(raw) + 2)
+        data = pa.py_buffer(raw.tobytes() + array("H", [END_ID]).tobytes())
+        return pa.Array.from_buffers(pa.large_binary(), len(words) + 1, [None, pa.py_buffer(ends), data])
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -113,18 +120,9 @@ def document_ids(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each followed by the end id, and the range of each text."""
     flat, offsets = split_words(text)
     code, distinct = encoded(flat)
-    parts = tokenizer(path).encode(distinct.to_pylist())
-    sizes = np.array([len(x) // 2 for x in parts], np.int64)
-    first = np.cumsum(sizes) - sizes
-    ids = np.frombuffer(b"".join(parts), "<u2")
-    n = sizes[code]
-    after = np.cumsum(n)
-    bounds = np.concatenate([[0], after])[offsets] + np.arange(len(offsets))
-    out = np.full(int(bounds[-1]), END_ID, "<u2")
-    body = np.ones(len(out), bool)
-    body[bounds[1:] - 1] = False
-    out[body] = ids[np.repeat(first[code] - (after - n), n) + np.arange(int(n.sum()))]
-    return out, bounds
+    words = tokenizer(path).encode(distinct)
+    raw, at = buffers(words.take(pa.array(np.insert(code, offsets[1:], len(distinct)))))
+    return raw.view("<u2"), at[offsets + np.arange(len(offsets))] // 2
 
 
 def checksum(ids: np.ndarray) -> int:

@@ -1,3 +1,4 @@
+import sys
 import zlib
 
 import numpy as np
@@ -34,6 +35,35 @@ def test_added_tokens_inside_and_beside_words():
     assert len(tokens) == 2 and 49407 in ids.tolist()
 
 
+def test_every_letter_and_sign_between_words():
+    model = Tokenizer.from_file(PATH)
+    texts = [f"a{chr(c)}b {chr(c)} 'S{chr(c)}'lL! {chr(c)}{chr(c)}1" for c in range(1, 0x250)]
+    ids, bounds = packing.document_ids(pa.array(texts), PATH)
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == [*model.encode(t, add_special_tokens=False).ids, 1], t
+
+
+@pytest.mark.parametrize("texts", [[], [""], ["", None], [None, "a", "", None]])
+def test_texts_without_words_have_the_end_alone(texts):
+    ids, bounds = packing.document_ids(pa.array(texts, pa.string()), PATH)
+    assert np.diff(bounds).tolist() == [2 if t else 1 for t in texts]
+    assert ids.tolist() == [i for t in texts for i in ([320, 1] if t else [1])]
+
+
+def test_words_of_known_pieces_take_no_python():
+    # words differ in capitals and signs, of the same few pieces: calls from Python must not grow with the words
+    parts, signs = ["the", "Of", "ORE", "that"], [".", ",", "-", "!", "_", "+", "=", "/"]
+    words = [f"{a}{s}{b}{t}{c}" for a in parts for s in signs for b in parts for t in signs for c in parts]
+    packing.tokenizer(PATH).forget()
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        packing.document_ids(pa.array([" ".join(words)]), PATH)
+    finally:
+        sys.setprofile(None)
+    assert len(set(words)) == 4096 and len(calls) < 2000
+
+
 @pytest.mark.parametrize("group", [4, 4096])
 def test_every_id_is_packed_once(spark, group):
     rng = np.random.default_rng(7)
